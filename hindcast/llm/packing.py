@@ -16,6 +16,7 @@ one row per piece.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -140,54 +141,65 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-class WordIds:
-    """Token ids of a text by way of its words, each distinct word tokenized once per worker.
+class WordIds(dict):
+    """Token ids of each word (little-endian 32-bit bytes), looked up once per worker and distinct word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. A
-    word of letters and a last ``.`` or ``,`` is the letters' ids and the sign's. The cache holds
-    ``most`` words and starts anew when full.
+    word of Latin letters and a last run of ASCII signs is the letters' ids and the signs' ids: its
+    pattern splits there, and the letters go straight to the BPE model. Other words take the whole way.
+    The cache holds ``most`` words and starts anew when full.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words: dict[bytes, bytes] = {}
-        self.signs = {s: self._ids([s.decode()])[0] for s in (b".", b",")}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain: list[bytes] = []
-        cores: dict[str, list[bytes]] = {}
-        for w in new:
-            text = w.decode()
-            core = text[:-1] if w[-1:] in self.signs else text
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:  # Latin letters: lower case is one to one
-                cores.setdefault(core.lower(), []).append(w)
-            else:
-                plain.append(w)
-        keys = list(cores)
-        for core, ids in zip(keys, self._ids(keys), strict=True):
-            for w in cores[core]:
-                self.words[w] = ids + self.signs[w[-1:]] if w[-1:] in self.signs else ids
-        for w, ids in zip(plain, self._ids([w.decode() for w in plain]), strict=True):
-            self.words[w] = ids
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_names = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(128)} | {
+            b: level.pre_tokenize_str(bytes(t).decode())[0][0][k] for t in _utf8_samples() for k, b in enumerate(t)
+        }
+
+    def whole(self, text: str) -> bytes:
+        return little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        core = text.rstrip(self.SIGNS)
+        # Latin letters: composed, and lower case is one to one
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
+            names = core.lower()
+            if not core.isascii():
+                names = names.encode().decode("latin-1").translate(self.byte_names)
+            ids = little([t.id for t in self.model.tokenize(names)])
+            if signs := word[len(core.encode()) :]:
+                ids += self._signs(signs)
+        else:
+            ids = self.whole(text)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _signs(self, run: bytes) -> bytes:
+        return self[run] if len(run) < 8 else self.whole(run.decode())
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit bytes."""
-        split = [t.encode().split() for t in texts]
-        known = self.words
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = {w for ws in split for w in ws}
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        """Each text's ids as bytes."""
+        return [b"".join(map(self.__getitem__, t.encode().split())) for t in texts]
+
+
+def little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _utf8_samples() -> list[bytes]:
+    """Two-byte characters that between them hold every byte of U+0080..U+024F."""
+    return [chr(c).encode() for c in range(0x80, 0x250)]
 
 
 _WORKER: dict[str, WordIds] = {}
