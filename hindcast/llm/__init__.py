@@ -10,14 +10,16 @@ from .chat import OP1_SQL, op1_chat_format
 from .packing import op10_packing
 from .quality import OP7_SQL, op7_quality_rules
 from .secrets import op8_secret_scan
+from .substring import OP2_SQL, op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format,
+        op2_substring_dedup,
         op7_quality_rules,
         op8_secret_scan,
         op10_packing,
     )
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_quality_rules": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL}
