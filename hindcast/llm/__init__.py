@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_chat_format
 from .packing import op10_packing
+from .pii import op5_pii_pseudonyms
 from .quality import OP7_SQL, op7_quality_rules
 from .secrets import op8_secret_scan
 from .substring import OP2_SQL, op2_substring_dedup
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_format,
         op2_substring_dedup,
+        op5_pii_pseudonyms,
         op7_quality_rules,
         op8_secret_scan,
         op10_packing,
