@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_chat_format
+from .jaccard import OP9_SQL, op9_ngram_jaccard
 from .packing import op10_packing
 from .pii import op5_pii_pseudonyms
 from .quality import OP7_SQL, op7_quality_rules
@@ -21,7 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_pii_pseudonyms,
         op7_quality_rules,
         op8_secret_scan,
+        op9_ngram_jaccard,
         op10_packing,
     )
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL, "op9_ngram_jaccard": OP9_SQL}
