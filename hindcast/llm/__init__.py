@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_chat_format
+from .embeddings import OP6_SQL, op6_embedding_near_dedup
 from .jaccard import OP9_SQL, op9_ngram_jaccard
 from .packing import op10_packing
 from .pii import op5_pii_pseudonyms
@@ -20,10 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_chat_format,
         op2_substring_dedup,
         op5_pii_pseudonyms,
+        op6_embedding_near_dedup,
         op7_quality_rules,
         op8_secret_scan,
         op9_ngram_jaccard,
         op10_packing,
     )
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL, "op9_ngram_jaccard": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL, "op6_embedding_near_dedup": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}
