@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP1_SQL, op1_chat_format
 from .embeddings import OP6_SQL, op6_embedding_near_dedup
 from .jaccard import OP9_SQL, op9_ngram_jaccard
+from .lm import op4_lm_scoring
 from .packing import op10_packing
 from .pii import op5_pii_pseudonyms
 from .quality import OP7_SQL, op7_quality_rules
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_format,
         op2_substring_dedup,
+        op4_lm_scoring,
         op5_pii_pseudonyms,
         op6_embedding_near_dedup,
         op7_quality_rules,
