@@ -14,6 +14,7 @@ from .packing import op10_packing
 from .pii import op5_pii_pseudonyms
 from .quality import OP7_SQL, op7_quality_rules
 from .secrets import op8_secret_scan
+from .spm import op3_sentencepiece
 from .substring import OP2_SQL, op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_format,
         op2_substring_dedup,
+        op3_sentencepiece,
         op4_lm_scoring,
         op5_pii_pseudonyms,
         op6_embedding_near_dedup,
