@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, spare, table
-from .words import Words, gather, grams, mix, text_bytes, text_slices, whole, words_of
+from .words import Words, blocks, gather, grams, mix, text_bytes, text_slices, whole, words_of
 
 WIDTH = 13
 PAIR = 2
@@ -52,8 +52,9 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def equal_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Are the byte ranges a..a+size_a and b..b+size_b equal, pair by pair?"""
     same = size_a == size_b
-    at = np.flatnonzero(same)
-    if len(at):
+    fits = np.flatnonzero(same)
+    for lo, hi in blocks(size_a[fits]):
+        at = fits[lo:hi]
         left, offsets = gather(buf, a[at], size_a[at])
         right, _ = gather(buf, b[at], size_a[at])
         differs = np.concatenate(([0], np.cumsum(left != right)))
@@ -214,7 +215,7 @@ def _judge(group: pa.Table, width: int) -> pa.Table:
     return pa.table({"d": pa.array(out[0].astype(np.int64)), "t": pa.array(out[1].astype(np.int32)), "a": pa.array(out[2].astype(np.int32)), "b": pa.array(out[3].astype(np.int32))})
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, slice_bytes: int = 6 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, slice_bytes: int = 4 << 20) -> DataFrame:
     """(d, t, a, b): word ranges a..b-1 that repeated windows cover; ``docs`` is id, tag, text without null ids."""
     spark = docs.sparkSession
     buckets = buckets or 4 * partitions(spark)

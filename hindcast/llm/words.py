@@ -55,6 +55,17 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Re
             yield batch.slice(a, b - a)
 
 
+BLOCK = 1 << 20
+
+
+def blocks(size: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Runs of items whose sizes sum to about ``most``, so that per-byte arrays stay small."""
+    if len(size):
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+        edges = [0, *cuts.tolist(), len(size)]
+        yield from zip(edges[:-1], edges[1:], strict=True)
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: byte bounds of each word, and the first word of each text (one more at the end)."""
@@ -74,17 +85,25 @@ class Words:
             return np.zeros(0, np.uint64)
         size = self.end - self.start
         power = np.cumprod(np.full(int(size.max()), _STEP, np.uint64))
-        lead = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) + np.repeat(self.start - lead, size)
-        within = np.arange(len(at)) - np.repeat(lead, size)
-        return mix(np.add.reduceat(_BYTE[self.buf[at]] * power[within], lead))
+        out = np.empty(len(size), np.uint64)
+        for lo, hi in blocks(size):
+            n = size[lo:hi]
+            lead = np.cumsum(n) - n
+            within = np.arange(int(n.sum())) - np.repeat(lead, n)
+            value = _BYTE[self.buf[within + np.repeat(self.start[lo:hi], n)]]
+            value *= power[within]
+            out[lo:hi] = np.add.reduceat(value, lead)
+        return mix(out)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """All words with one space after each; and where each word starts there (one more at the end)."""
         size = self.end - self.start + 1
         out_start = np.concatenate(([0], np.cumsum(size)))
-        at = np.arange(int(out_start[-1])) + np.repeat(self.start - out_start[:-1], size)
-        out = self.buf[np.minimum(at, max(len(self.buf) - 1, 0))] if len(at) else np.zeros(0, np.uint8)
+        out = np.empty(int(out_start[-1]), np.uint8)
+        for lo, hi in blocks(size):
+            a, b = out_start[lo], out_start[hi]
+            at = np.arange(a, b) + np.repeat(self.start[lo:hi] - out_start[lo:hi], size[lo:hi])
+            out[a:b] = self.buf[np.minimum(at, len(self.buf) - 1)]
         out[out_start[1:] - 1] = 32
         return out, out_start
 
@@ -128,5 +147,8 @@ def whole(first: np.ndarray, n_words: int, width: int) -> np.ndarray:
 def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate byte ranges; returns the bytes and the offsets."""
     offsets = np.concatenate(([0], np.cumsum(size)))
-    at = np.arange(int(offsets[-1])) + np.repeat(start - offsets[:-1], size)
-    return buf[at], offsets
+    out = np.empty(int(offsets[-1]), buf.dtype)
+    for lo, hi in blocks(size):
+        a, b = offsets[lo], offsets[hi]
+        out[a:b] = buf[np.arange(a, b) + np.repeat(start[lo:hi] - offsets[lo:hi], size[lo:hi])]
+    return out, offsets
