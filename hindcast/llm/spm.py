@@ -306,7 +306,8 @@ def giant_ids(texts: DataFrame, model: str, chunk_chars: int, bpe: bool | None =
                 for k, lo in enumerate(range(0, len(marked), chunk_chars)):
                     hi = min(lo + chunk_chars, len(marked))
                     a, z = max(0, lo - margin), min(len(marked), hi + margin)
-                    yield pa.RecordBatch.from_pylist([{"key": key, "k": k, "lo": lo - a, "hi": hi - a, "window": marked[a:z]}])
+                    row = {"key": key, "k": k, "lo": lo - a, "hi": hi - a, "window": marked[a:z]}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("key", pa.string()), *[(c, pa.int32()) for c in ("k", "lo", "hi")], ("window", pa.string())]))
 
     chunks = written(texts.mapInArrow(cut, "key string, k int, lo int, hi int, window string").repartition(n_parts, "key", "k"), "chunks")
 
