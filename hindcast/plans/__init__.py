@@ -1 +1,4 @@
-"""See the module docstrings."""
+"""The registered queries, by subject."""
+
+from . import point_in_time  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
