@@ -1,4 +1,4 @@
 """The registered queries, by subject."""
 
-from . import point_in_time, ruling  # noqa: F401
+from . import feature_queries, point_in_time, ruling  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
