@@ -1,4 +1,4 @@
 """The registered queries, by subject."""
 
-from . import feature_queries, group_queries, point_in_time, ruling  # noqa: F401
+from . import feature_queries, group_queries, measure_queries, point_in_time, ruling  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
