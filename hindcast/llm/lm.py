@@ -83,6 +83,21 @@ def class_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def segment_sums(x: np.ndarray, begin: np.ndarray, short: int = 8) -> np.ndarray:
+    """Sums of the row runs of ``x`` that start at ``begin``; most runs are short, and are added up side by side."""
+    count = np.diff(np.append(begin, len(x)))
+    out = x[begin]
+    for i in np.flatnonzero(count > short):
+        out[i] = x[begin[i] : begin[i] + count[i]].sum(axis=0)
+    at = np.flatnonzero((count > 1) & (count <= short))
+    k = 1
+    while len(at):
+        out[at] += x[begin[at] + k]
+        k += 1
+        at = at[count[at] > k]
+    return out
+
+
 def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
     """One step on a minibatch: each touched row moves against its summed gradient, scaled by its past size."""
     g = class_probabilities(weights, rows)
@@ -91,10 +106,12 @@ def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.
         order = np.argsort(rows[:, f], kind="stable")
         r = rows[order, f]
         begin = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        step = np.add.reduceat(g[order], begin, axis=0)
+        step = segment_sums(g[order], begin)
         at = r[begin]
-        squares[at] += (step * step).mean(axis=1)
-        weights[at] -= rate * step / np.sqrt(squares[at] + 1e-3)[:, None]
+        size = squares[at] + np.einsum("ij,ij->i", step, step) / np.float32(CLASSES)
+        squares[at] = size
+        step *= (rate / np.sqrt(size + 1e-3))[:, None]
+        weights[at] -= step
     step = g.sum(axis=0)
     squares[-1] += (step * step).mean()
     weights[-1] -= rate * step / np.sqrt(squares[-1] + 1e-3)
