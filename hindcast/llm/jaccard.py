@@ -11,12 +11,13 @@ is each document's set size and the least document id of its connected group.
    near copies in linear work, and it only ever saves work, as every link is verified.
 3. Exact candidates. If two sets link, their first (p + l - 1) hashes in any common order share at least
    l, where p = n - ceil(percent * n / 100) + 1. The order puts zone hashes first, and of these the
-   frequent ones last. Documents of one group so far form leaf nodes of at most 64; two nodes are
-   candidates if they lie in different groups and share enough index hashes.
-4. Candidate nodes meet in units, where signature trees decide: a tree node holds the OR of its
-   documents' token bitmaps and their size range; two trees are walked together from the roots, and a
-   pair of nodes is dropped when no pair of their documents can overlap enough. Pairs of documents
-   that survive are intersected in full.
+   frequent ones last. Documents that met in step 2, linked or not, form leaf nodes of about 64, so a
+   large group of near copies is a few nodes; two nodes are candidates if they share enough index
+   hashes and are not wholly of one linked group.
+4. A node travels as one row with its texts. For each candidate pair signature trees decide: a tree node
+   holds the OR of its documents' token bitmaps and their size range; two trees are walked together
+   from the roots, and a pair of nodes is dropped when no pair of their documents can overlap enough.
+   Pairs of documents that survive, and are not yet linked by others, are intersected in full.
 
 Frequent hashes come from a sixteenth of the documents and are at most a fixed share of it each, so
 the list is bounded; they change only the order, not the links.
@@ -159,6 +160,20 @@ def may_link(a: Tree, la: int, i: int, b: Tree, lb: int, j: int, percent: int) -
     return (100 + percent) * most >= percent * (low_a + low_b)
 
 
+def bottom(a: Tree, la: int, i: int, b: Tree, lb: int, j: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same test for all pairs of sets below two nodes at once."""
+    x = np.arange(i * a.FAN**la, min((i + 1) * a.FAN**la, len(a.sets)))
+    y = np.arange(j * b.FAN**lb, min((j + 1) * b.FAN**lb, len(b.sets)))
+    map_a, size_a, _, spill_a = (v[x] for v in a.levels[0])
+    map_b, size_b, _, spill_b = (v[y] for v in b.levels[0])
+    most = np.minimum(spill_a[:, None], spill_b[None, :])
+    for r in range(len(x)):
+        most[r] += np.bitwise_count(map_a[r] & map_b).sum(axis=1, dtype=np.int64)
+    low, high = np.minimum(size_a[:, None], size_b[None, :]), np.maximum(size_a[:, None], size_b[None, :])
+    at, to = np.nonzero((100 * low >= percent * high) & ((100 + percent) * most >= percent * (low + high)))
+    return x[at], y[to]
+
+
 def dual_walk(a: Tree, b: Tree, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of places (in the lists the trees were built from) that may link."""
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
@@ -166,8 +181,9 @@ def dual_walk(a: Tree, b: Tree, percent: int) -> Iterator[tuple[int, int]]:
         la, i, lb, j = stack.pop()
         if not may_link(a, la, i, b, lb, j, percent):
             continue
-        if la == lb == 0:
-            yield a.place[i], b.place[j]
+        if la <= 1 and lb <= 1:
+            x, y = bottom(a, la, i, b, lb, j, percent)
+            yield from ((a.place[p], b.place[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
         elif la >= lb:
             stack += [(la - 1, c, lb, j) for c in a.children(la, i)]
         else:
@@ -183,13 +199,26 @@ def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def tree_join(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links between two lists of (id, set), without those that other links of the result already imply."""
-    left, right = [x for x in left if len(x[1])], [x for x in right if len(x[1])]
-    if not left or not right:
+class Side:
+    """Documents of one node with their sets, and a tree over them for each bitmap size asked for."""
+
+    def __init__(self, ids: list[int], groups: list[int], sets: list[np.ndarray]) -> None:
+        full = [k for k, s in enumerate(sets) if len(s)]
+        self.ids, self.groups, self.sets = [ids[k] for k in full], [groups[k] for k in full], [sets[k] for k in full]
+        self.most = max(map(len, self.sets), default=0)
+        self.trees: dict[int, Tree] = {}
+
+    def tree(self, bits: int) -> Tree:
+        if bits not in self.trees:
+            self.trees[bits] = Tree(self.sets, bits)
+        return self.trees[bits]
+
+
+def tree_join(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
+    """Links between the documents of two nodes, without those that groups or other links already imply."""
+    if not left.sets or not right.sets:
         return []
-    most = max(len(s) for _, s in left + right)
-    bits = max(512, 1 << (4 * most - 1).bit_length())
+    bits = max(512, 1 << (8 * max(left.most, right.most) - 1).bit_length())
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -198,30 +227,22 @@ def tree_join(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndar
         return v
 
     found = []
-    a, b = Tree([s for _, s in left], bits), Tree([s for _, s in right], bits)
-    for i, j in dual_walk(a, b, percent):
-        u, v = left[i][0], right[j][0]
-        if root(u) != root(v) and links(left[i][1], right[j][1], percent):
-            parent[root(u)] = root(v)
-            found.append((u, v))
+    for i, j in dual_walk(left.tree(bits), right.tree(bits), percent):
+        u, v = root(left.groups[i]), root(right.groups[j])
+        if u != v and links(left.sets[i], right.sets[j], percent):
+            parent[u] = v
+            found.append((left.ids[i], right.ids[j]))
     return found
 
 
-def verified(pairs: DataFrame, members: DataFrame | None, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between the documents of candidate nodes.
-
-    ``pairs`` (a, b): candidate nodes; ``members`` (node, doc): their documents (None: a node is its
-    document). The pairs of a node b form units of at most about 64 partners, so a hub is spread out.
-    """
+def star_links(stars: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among candidate pairs, most of which share few b: units of about LEAF partners of one b."""
     spark = docs.sparkSession
-    pairs = written(pairs.select("a", "b"), "pairs")
+    pairs = written(stars.select("a", "b"), "stars")
     units = F.ceil(F.col("many") / LEAF)
-    placed = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("many")), "b").select("a", "b", F.pmod(F.xxhash64("a"), units).cast("int").alias("unit"))
-    placed = placed.select(F.xxhash64("b", "unit").alias("u"), "a", "b")
-    sides = placed.select("u", F.col("a").alias("node"), F.lit(0).alias("side")).unionByName(placed.select("u", F.col("b").alias("node"), F.lit(1).alias("side")).distinct())
-    sides = sides.withColumnRenamed("node", "doc") if members is None else sides.join(members, "node").select("u", "doc", "side")
-    names = docs.columns
-    full = sides.join(docs.select(F.col(names[0]).alias("doc"), F.col(names[1]).alias("text")), "doc").select("u", "side", "doc", "text")
+    placed = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("many")), "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), units)).alias("u"), "a", "b")
+    sides = placed.select("u", F.col("a").alias("doc"), F.lit(0).alias("side")).unionByName(placed.select("u", F.col("b").alias("doc"), F.lit(1).alias("side")).distinct())
+    full = sides.join(docs, "doc").select("u", "side", "doc", "text")
 
     def decide(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -231,16 +252,53 @@ def verified(pairs: DataFrame, members: DataFrame | None, docs: DataFrame, width
         found: list[tuple[int, int]] = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             x = order[lo:hi]
-            token, first = shingle_sets(group.column("text").take(pa.array(x)).combine_chunks(), width)
-            both: tuple[list, list] = ([], [])
-            for k, i in enumerate(x):
-                both[side[i]].append((int(doc[i]), token[first[k] : first[k + 1]]))
+            sets = sets_of(group.column("text").take(pa.array(x)).combine_chunks(), width)
+            both = []
+            for k in (0, 1):
+                at = np.flatnonzero(side[x] == k)
+                ids = doc[x[at]].tolist()
+                both.append(Side(ids, ids, [sets[i] for i in at]))
             found += tree_join(*both, percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return full.withColumn("g", F.pmod("u", F.lit(4 * partitions(spark)))).groupBy("g").applyInArrow(lambda t: decide(t), "a long, b long")
 
 
+def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
+    token, first = shingle_sets(texts, width)
+    return [token[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def node_links(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of candidate nodes (a, b); ``members``: (leaf, doc, comp)."""
+    asked = pairs.select(F.col("a").alias("leaf")).unionByName(pairs.select(F.col("b").alias("leaf"))).distinct()
+    nodes = written(
+        members.join(asked, "leaf", "left_semi").join(docs, "doc").groupBy("leaf").agg(F.collect_list(F.struct("doc", "comp", "text")).alias("m"))
+        .select("leaf", F.col("m.doc").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.text").alias("texts")),
+        "nodes",
+    )
+    side = lambda s: nodes.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "comps", "texts")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None  # rows come sorted by b in a partition
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+
+            def read(s: str, r: int) -> Side:
+                texts = batch.column(f"texts_{s}")[r].values  # noqa: B023
+                return Side(batch.column(f"ids_{s}")[r].as_py(), batch.column(f"comps_{s}")[r].as_py(), sets_of(texts, width))  # noqa: B023
+
+            found: list[tuple[int, int]] = []
+            for r in range(batch.num_rows):
+                if b[r] != key:
+                    key, held = b[r], read("b", r)
+                found += tree_join(held if a[r] == key else read("a", r), held, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return both.mapInArrow(each, "a long, b long")
+
+
 def frequent(rows: DataFrame) -> np.ndarray:
     """Zone hashes that over 1 in FREQUENT groups of a sample hold (4 at least): a list bounded by FREQUENT zones."""
     sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(16)) == 0)
@@ -251,7 +309,10 @@ def frequent(rows: DataFrame) -> np.ndarray:
 
 
 def index_rows(rows: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
-    """(token, leaf, comp, least, n) for the index hashes of each row: zone hashes first, of these the frequent last."""
+    """(token, leaf, comp, least, low, high) for the index hashes of each row: zone hashes first, of these the frequent last.
+
+    ``least`` is that of the leaf's smallest set, low..high the leaf's sizes.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,28 +321,30 @@ def index_rows(rows: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
             token = np.asarray(pc.list_flatten(lists)).astype(np.uint64)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             n = np.asarray(b.column("n"), np.int64)
-            take, least = prefix_sizes(n, percent)
+            take = prefix_sizes(n, percent)[0]
+            low, high = (np.asarray(b.column(c), np.int64) for c in ("low", "high"))
+            least = prefix_sizes(low, percent)[1]
             kind = np.where(token < ZONE, np.isin(token, often).astype(np.int8), 2)
             order = np.lexsort((token, kind, doc))
             place = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[doc]
             keep = order[place < take[doc]]
             d = doc[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[keep].astype(np.int64)), b.column("leaf").take(pa.array(d)), b.column("comp").take(pa.array(d)), pa.array(least[d].astype(np.int32)), pa.array(np.asarray(b.column("size"))[d])],
-                ["token", "leaf", "comp", "least", "size"],
+                [pa.array(token[keep].astype(np.int64)), b.column("leaf").take(pa.array(d)), b.column("comp").take(pa.array(d)), pa.array(least[d].astype(np.int32)), pa.array(low[d].astype(np.int32)), pa.array(high[d].astype(np.int32))],
+                ["token", "leaf", "comp", "least", "low", "high"],
             )
 
-    return rows.select("n", "leaf", "comp", "size", "zone").mapInArrow(each, "token long, leaf long, comp long, least int, size long")
+    return rows.select("n", "leaf", "comp", "low", "high", "zone").mapInArrow(each, "token long, leaf long, comp long, least int, low int, high int")
 
 
 def node_pairs(index: DataFrame, percent: int) -> DataFrame:
     """(a, b): leaf nodes of different groups that share enough index hashes. Streams over hashes sorted in each partition."""
     spread = index.repartition(partitions(index.sparkSession), "token").sortWithinPartitions("token", "leaf")
 
-    def pairs(token, leaf, comp, least, size) -> pa.RecordBatch | None:
+    def pairs(token, leaf, comp, least, low, high) -> pa.RecordBatch | None:
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (leaf[1:] != leaf[:-1])
-        token, leaf, comp, least, size = (x[keep] for x in (token, leaf, comp, least, size))
+        token, leaf, comp, least, low, high = (x[keep] for x in (token, leaf, comp, least, low, high))
         run = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         long = np.diff(np.append(run, len(token)))
         mixed = np.repeat(np.minimum.reduceat(comp, run) != np.maximum.reduceat(comp, run), long)
@@ -290,9 +353,7 @@ def node_pairs(index: DataFrame, percent: int) -> DataFrame:
         at, step = np.flatnonzero(mixed & (left >= 1)), 1
         while len(at):
             other = at + step
-            fits = (comp[at] != comp[other]) & (
-                (size[at] < 0) | (size[other] < 0) | (100 * np.minimum(size[at], size[other]) >= percent * np.maximum(size[at], size[other]))
-            )
+            fits = (comp[at] != comp[other]) & (100 * high[at] >= percent * low[other]) & (100 * high[other] >= percent * low[at])
             x, y = at[fits], other[fits]
             if len(x):
                 out.append(np.stack((leaf[x], leaf[y], np.minimum(least[x], least[y])), axis=1))
@@ -311,7 +372,7 @@ def node_pairs(index: DataFrame, percent: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            cols = [np.asarray(b.column(c), np.int64) for c in ("token", "leaf", "comp", "least", "size")]
+            cols = [np.asarray(b.column(c), np.int64) for c in ("token", "leaf", "comp", "least", "low", "high")]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -344,24 +405,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = met.where((F.col("j") == MINIMA) & F.col("same")).select(F.col("doc").alias("a"), F.col("to").alias("b"))
     originals = met.join(copies.select(F.col("a").alias("doc")), "doc", "left_anti")
     stars = originals.where((F.col("j") < MINIMA) & ~F.col("same") & alike("n", "to_n", percent)).groupBy(F.col("doc").alias("a"), F.col("to").alias("b")).agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
-    near = written(verified(stars, None, docs, width, percent), "links")
+    stars = written(stars.select("a", "b"), "stars")
+    near = written(star_links(stars, docs, width, percent), "links")
     groups = components(near)
 
-    # nodes: a group's documents in blocks of LEAF, others alone
-    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("many")), "component").select(F.col("id").alias("doc"), "component", "many")
-    rows = some.join(copies.select(F.col("a").alias("doc")), "doc", "left_anti").join(sized, "doc", "left")
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("many") / LEAF))
-    rows = written(
-        rows.select(
-            "doc", "n", "zone",
-            F.coalesce("component", "doc").alias("comp"),
-            F.when(F.col("component").isNull(), F.xxhash64(F.lit("doc"), "doc")).otherwise(F.xxhash64(F.lit("block"), "component", block)).alias("leaf"),
-            F.when(F.col("component").isNull(), F.col("n")).otherwise(F.lit(-1)).cast("long").alias("size"),
-        ),
-        "rows",
-    )
+    # leaf nodes: documents that met, in blocks of about LEAF; others alone
+    sized = components(stars)
+    sized = sized.join(sized.groupBy("component").agg(F.count(F.lit(1)).alias("many")), "component")
+    block = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.ceil(F.col("many") / LEAF))
+    met = sized.select(F.col("id").alias("doc"), F.xxhash64(F.lit("block"), "component", block).alias("block"))
+    slim = some.select("doc", "n").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti").join(met, "doc", "left").join(groups.withColumnRenamed("id", "doc"), "doc", "left")
+    slim = written(slim.select("doc", "n", F.coalesce("block", F.xxhash64(F.lit("doc"), "doc")).alias("leaf"), F.coalesce("component", "doc").alias("comp")), "slim")
+    leaves = slim.groupBy("leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    # a leaf of one group can skip others of that group; any other leaf is a group of its own here
+    leaves = written(leaves.select("leaf", "low", "high", F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(F.xxhash64(F.lit("mixed"), "leaf")).alias("comp"), (F.col("c0") != F.col("c1")).alias("mixed")), "leaves")
+    rows = written(some.select("doc", "n", "zone").join(slim.select("doc", "leaf").join(leaves, "leaf"), "doc").select("doc", "n", "zone", "leaf", "comp", "low", "high"), "rows")
     candidates = node_pairs(index_rows(rows, frequent(rows), percent), percent)
-    crossed = verified(candidates, rows.select(F.col("leaf").alias("node"), "doc").distinct(), docs, width, percent)
+    within = leaves.where("mixed").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
+    candidates = written(candidates.unionByName(within), "candidates")
+    crossed = node_links(candidates, slim.select("leaf", "doc", "comp"), docs, width, percent)
     return sets.select("doc", "n"), components(copies.unionByName(near).unionByName(crossed))
 
 

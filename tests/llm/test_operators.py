@@ -134,6 +134,9 @@ def test_signature_tree_loses_no_link():
     want = {(i, j) for i in range(24) for j in range(len(sets) - 20) if jaccard.links(sets[i], sets[20 + j], 85)}
     assert want <= walked and len(walked) < 24 * (len(sets) - 20) / 3
 
+    side = lambda x: jaccard.Side(list(range(len(x))), list(range(1000, 1000 + len(x))), x)
+    assert jaccard.tree_join(side([]), side(sets), 85) == []
+
 
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 30)] + [(500, 500), (29, 7)]
