@@ -379,6 +379,27 @@ def test_pseudonyms(spark, docs):
     assert all(r.text == t for r, (i, t) in zip(pii.pseudonymised(spark.createDataFrame(TEXTS, "doc_id long, text string").coalesce(1), "k").collect(), TEXTS, strict=True))
 
 
+ALONE = {
+    "email": ["a@b.co"], "iban": ["DE89370400440532013000"], "date": ["1985-03-31", "31.03.1985", "31/03/1985", "12/05/1980", "12/05.1980"], "ssn": ["123-45-6789"],
+    "phone": ["(017) 555-7713", "(01)555.7713", "+1 (017) 555-7713", "+1.017.555.7713", "+390612345678", "017-555-7713"], "ip": ["1.1.1.1", "233.254.104.120"],
+    "card": ["4539578763621486", "4539 5787 6362 1486", "4539-5787-6362-1486", "3782 822463 10005"],
+}
+
+
+def test_each_format_alone_in_a_text(spark):
+    """Personal data is found, and gets the same pseudonym, whatever else its text holds."""
+    values = [(k, v) for k, vs in ALONE.items() for v in vs]
+    assert set(ALONE) == set(pii.FORMATS)
+    rows = [(i, form.format(v)) for i, (_, v) in enumerate(values) for form in ("{}", "born {} in Rome", "born {} in Rome, mail c@d.org")]
+    out = collections.defaultdict(list)
+    for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "k").collect():
+        out[r.doc_id].append(r)
+    for i, (kind, v) in enumerate(values):
+        bare, inside, beside = out[i]
+        assert (bare.pii, inside.pii, beside.pii) == ([kind], [kind], [kind, "email"]), v
+        assert bare.text != v and inside.text == f"born {bare.text} in Rome" and beside.text.startswith(f"{inside.text}, mail "), v
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(13 * 7).select(pii.feistel(F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(13), F.lit(7), "k", "t").alias("p")).distinct()
     assert out.count() == 91
