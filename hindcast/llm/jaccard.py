@@ -59,7 +59,8 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     for n in range(1, width):
         short = np.flatnonzero(w.counts == n)
         if len(short):
-            value = sum((h[w.first[short] + j] * GRAM[32 + 8 * n + j] for j in range(n)), np.uint64(0))
+            salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 32)) | np.uint64(1)
+            value = sum((h[w.first[short] + j] * salt[j] for j in range(n)), np.uint64(0))
             token, doc = np.concatenate((token, mix(value))), np.concatenate((doc, short))
     order = np.lexsort((token, doc))
     token, doc = token[order], doc[order]

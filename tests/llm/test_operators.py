@@ -125,6 +125,24 @@ def test_jaccard_join(spark, docs, width, percent):
         assert jaccard.without_near_copies(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 2, 4, 5, 9, 13])
+def test_shingle_sets_of_texts_shorter_than_the_width(width):
+    import pyarrow as pa
+
+    texts = ["", None, *(" ".join(f"{c}{j}" for j in range(n)) for c in "ab" for n in range(1, width + 3)), *(" ".join(f"A{j}" for j in range(n)) for n in range(1, width + 3)), "b0 " * 4, "b1 b0", "b0 b1"]
+    token, first = jaccard.shingle_sets(pa.array(texts), width)
+    got = [frozenset(token[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    want = [sets_of(t, width) for t in texts]
+    assert all(len(x & y) == len(v & w) and len(x) == len(v) for x, v in zip(got, want, strict=True) for y, w in zip(got, want, strict=True))
+
+
+def test_near_copies_of_raw_short_texts(spark):
+    """At the default width: texts of 1 to width - 1 words link with their copies and with nothing else."""
+    rows = [(10 * n + k, " ".join(f"{'AaB'[k]}{j}" for j in range(n))) for n in range(1, 7) for k in range(3)]
+    kept = jaccard.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i % 10 != 1)
+
+
 def test_signature_tree_loses_no_link():
     r = np.random.default_rng(0)
     base = [np.unique(r.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(12)]
