@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node moves to the neighbour (or itself) with the least hash of that round, and the
     edges follow; loops and repeats go. Random priorities shrink any graph geometrically, so the number
     of rounds is logarithmic whatever the diameter. Minima are combined before the shuffle, so a hub
-    costs no more than its partitions.
+    costs no more than its partitions; joins read written tables, so that AQE can split a hub's rows.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -27,12 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
         moves.append(move)
         at = left.join(move.withColumnRenamed("id", "a").withColumnRenamed("to", "x"), "a").join(move.withColumnRenamed("id", "b").withColumnRenamed("to", "y"), "b")
         at = at.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        left = written(at, "edges")
+        before, left = left, written(at, "edges")
+        dropped(before)
     if not moves:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    dropped(left)
     label = moves[0]
     for move in moves[1:]:
         step = move.select(F.col("id").alias("to"), F.col("to").alias("next"))
         label = label.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-    least = label.groupBy("to").agg(F.min("id").alias("component"))
+    label = written(label, "labels")
+    dropped(*moves)
+    least = written(label.groupBy("to").agg(F.min("id").alias("component")), "least")
     return label.join(least, "to").select("id", "component")

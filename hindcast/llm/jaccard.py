@@ -4,27 +4,32 @@ Two documents link when 100 * |x & y| >= percent * |x | y| over their distinct w
 is each document's set size and the least document id of its connected group.
 
 1. One pass turns texts into shingle hashes. It keeps per document the set's size, a 128-bit sum that
-   identifies the set, four minima, and its *zone*: the hashes below a quarter of the range, or as many
-   of the lowest as the index needs.
+   identifies the set, MINIMA minima, a token bitmap of 4 to 8 bits a token, and its index hashes (below).
 2. Equal sets are copies of their smallest document, and only that one goes on. Documents that share
    two minima with the smallest of their bucket are compared with it: this collapses large groups of
    near copies in linear work, and it only ever saves work, as every link is verified.
-3. Exact candidates. If two sets link, their first (p + l - 1) hashes in any common order share at least
-   l, where p = n - ceil(percent * n / 100) + 1. The order puts zone hashes first, and of these the
-   frequent ones last. Documents that met in step 2, linked or not, form leaf nodes of about 64, so a
-   large group of near copies is a few nodes; two nodes are candidates if they share enough index
-   hashes and are not wholly of one linked group.
-4. A node travels as one row with its texts. For each candidate pair signature trees decide: a tree node
-   holds the OR of its documents' token bitmaps and their size range; two trees are walked together
-   from the roots, and a pair of nodes is dropped when no pair of their documents can overlap enough.
-   Pairs of documents that survive, and are not yet linked by others, are intersected in full.
-
-Frequent hashes come from a sixteenth of the documents and are at most a fixed share of it each, so
-the list is bounded; they change only the order, not the links.
+3. The tree. Documents that met in step 2, linked or not, form one root; under it lie leaves of about
+   LEAF documents and LEAF_TOKENS tokens, of one linked group where that group is large. A node holds
+   the OR of its documents' bitmaps and their size range. A document that met nobody is a root alone.
+4. The walk. Two roots are a pair if they can hold a link: if two sets link, their first (p + l - 1)
+   hashes in any common order share at least l, where p = n - ceil(percent * n / 100) + 1; these are its
+   index hashes, and the order puts frequent ones last. A join takes each pair of roots to the pairs
+   of their leaves, without those that lie in one linked group, whose sizes are too far apart, or whose
+   bitmaps share too few bits for the greatest possible overlap. Only then do texts travel, leaves in
+   cells of 8 x 8 so that a leaf is sent once to a row of cells and not once to each partner. In a cell
+   the walk goes on below the leaves: the two trees are walked together from the leaves to single sets,
+   and a pair of nodes is dropped when no pair of their documents can overlap enough. Pairs of
+   documents that survive, and are not yet linked by others, are intersected in full.
+
+Frequent hashes come from one in SAMPLE of the documents. At most OFTEN of them, the most frequent, set a
+bit of a bitmap of OFTEN_BITS bits each, so what is broadcast has a fixed size; they change only the
+order and so the work, not the links.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows without id have no
-component; rows that repeat an id share a component; empty tables give empty tables; extra columns pass
-through ``without_near_copies``.
+component; equal rows share a component; rows that repeat an id with another text are documents of
+their own, of which the one with the least text hash has the id's place in the order and the others come
+last; a very long text is one leaf; empty tables give empty tables; extra columns pass through
+``without_near_copies``.
 """
 
 from __future__ import annotations
@@ -34,18 +39,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, spare, table, written
+from .common import dropped, partitions, spare, table, written
 from .components import components
 from .words import GRAM, grams, mix, text_bytes, text_slices, whole, words_of
 
 WIDTH, PERCENT = 4, 85
-MINIMA = 4
-ZONE = np.uint64(1 << 62)
-LEAF = 64
-FREQUENT = 5000
+MINIMA = 6
+LEAF, LEAF_TOKENS = 64, 1 << 16
+CELL = 8
+SAMPLE, OFTEN, OFTEN_BITS = 32, 1 << 20, 26
+#: Bitmaps of single documents and of leaves have a power of two of bits, at least 64 and at most MOST_BITS.
+MOST_BITS, FOLDS = 1 << 20, 4
+#: Rows of node pairs that a task holds before it adds up and sends them on.
+HELD = 1 << 19
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -85,31 +94,80 @@ def _reduce(f, values: np.ndarray, first: np.ndarray, default: int) -> np.ndarra
     return out
 
 
-def signatures(docs: DataFrame, width: int, percent: int, slice_bytes: int = 3 << 20) -> DataFrame:
-    """(doc, n, k1, k2, keys, zone) per row of ``docs`` (id, text)."""
+def index_places(token: np.ndarray, first: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Each hash's place in its set's order: frequent ones (a bit set in ``often``) last, each kind by value."""
+    at = token >> np.uint64(64 - OFTEN_BITS)
+    late = (often[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    before = np.concatenate(([0], np.cumsum(late)))  # frequent hashes before each
+    lates = before[:-1] - before[first[:-1]][doc]
+    place = np.arange(len(token)) - first[:-1][doc]
+    return np.where(late, (np.diff(first) - np.diff(before[first]))[doc] + lates, place - lates)
+
+
+def signatures(docs: DataFrame, often: np.ndarray, width: int, percent: int, slice_bytes: int = 3 << 20) -> DataFrame:
+    """(row's first columns, n, k1, k2, keys, index, bits) per row of ``docs`` (id, its text's hash, text)."""
     names = docs.columns
     salts = GRAM[:MINIMA]
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_slices(batch, names[1], slice_bytes):
-                token, first = shingle_sets(b.column(1), width)
+            for b in text_slices(batch, names[2], slice_bytes):
+                token, first = shingle_sets(b.column(2), width)
                 n = np.diff(first)
                 k1 = _reduce(np.add, mix(token ^ GRAM[20]), first, 0)
                 k2 = _reduce(np.add, mix(token ^ GRAM[21]), first, 0)
                 keys = np.stack([*[_reduce(np.minimum, mix(token ^ s), first, 0) for s in salts], mix(k1 ^ k2)], axis=1)
-                doc = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(token)) - first[:-1][doc]
-                zone = (token < ZONE) | (place < prefix_sizes(n, percent)[0][doc])
-                ends = np.concatenate(([0], np.cumsum(zone)))[first]
+                index = index_places(token, first, sent.value) < np.repeat(prefix_sizes(n, percent)[0], n)
+                ends = np.concatenate(([0], np.cumsum(index)))[first]
                 i64 = lambda a: pa.array(a.astype(np.int64))
                 lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), i64(v))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), i64(n), i64(k1), i64(k2), lists(np.arange(len(n) + 1) * (MINIMA + 1), keys.ravel()), lists(ends, token[zone])],
-                    ["doc", "n", "k1", "k2", "keys", "zone"],
+                    [b.column(0), b.column(1), i64(n), i64(k1), i64(k2), lists(np.arange(len(n) + 1) * (MINIMA + 1), keys.ravel()), lists(ends, token[index]), bitmaps(token, first)],
+                    ["id", "h", "n", "k1", "k2", "keys", "index", "bits"],
                 )
 
-    return docs.mapInArrow(each, "doc long, n long, k1 long, k2 long, keys array<long>, zone array<long>")
+    return docs.mapInArrow(each, "id long, h long, n long, k1 long, k2 long, keys array<long>, index array<long>, bits binary")
+
+
+def bitmaps(token: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Each set's token bitmap: bit (hash modulo bits), bits the power of two that gives a token 4 to 8 of them."""
+    n = np.diff(first)
+    bits = np.clip(np.exp2(np.ceil(np.log2(np.maximum(4 * n, 1)))).astype(np.int64), 64, MOST_BITS)
+    start = np.concatenate(([0], np.cumsum(bits)))
+    flags = np.zeros(int(start[-1]), bool)
+    flags[(token & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(start[:-1], n)] = True
+    data = np.packbits(flags, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (64-bit words) on fewer words: its halves, quarters, ... OR-combined."""
+    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def node_of(bits: list[bytes], n: list[int]) -> tuple[bytes, list[int]]:
+    """A node over sets: the OR of their bitmaps on the least size, and its spills.
+
+    A spill is the most tokens that a set below the node has beyond its set bits: tokens that share a
+    bit. It is kept for the node's size and each of FOLDS - 1 halvings.
+    """
+    words = [np.frombuffer(b, np.uint64) for b in bits]
+    size = min(map(len, words))
+    spill = [max(k - int(np.bitwise_count(folded(w, size >> f)).sum()) for w, k in zip(words, n, strict=True)) for f in range(FOLDS) if size >> f]
+    return np.bitwise_or.reduce([folded(w, size) for w in words]).tobytes(), spill
+
+
+def nodes_may_link(low_a: int, bits_a: bytes, spill_a: list[int], low_b: int, bits_b: bytes, spill_b: list[int], percent: int) -> bool:
+    """Is the greatest overlap of a set below one node and one below the other enough for a link?"""
+    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    size = min(len(a), len(b))
+    fold_a, fold_b = (len(a) // size).bit_length() - 1, (len(b) // size).bit_length() - 1
+    if fold_a >= len(spill_a) or fold_b >= len(spill_b):
+        return True
+    most = int(np.bitwise_count(folded(a, size) & folded(b, size)).sum()) + min(spill_a[fold_a], spill_b[fold_b])
+    return (100 + percent) * most >= percent * (low_a + low_b)
 
 
 def alike(x: str, y: str, percent: int):
@@ -236,162 +294,263 @@ def tree_join(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def star_links(stars: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among candidate pairs, most of which share few b: units of about LEAF partners of one b."""
-    spark = docs.sparkSession
-    pairs = written(stars.select("a", "b"), "stars")
-    units = F.ceil(F.col("many") / LEAF)
-    placed = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("many")), "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), units)).alias("u"), "a", "b")
-    sides = placed.select("u", F.col("a").alias("doc"), F.lit(0).alias("side")).unionByName(placed.select("u", F.col("b").alias("doc"), F.lit(1).alias("side")).distinct())
-    full = sides.join(docs, "doc").select("u", "side", "doc", "text")
-
-    def decide(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        u, side, doc = (np.asarray(group.column(c)) for c in ("u", "side", "doc"))
-        order = np.argsort(u, kind="stable")
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(u[order])) + 1, [len(order)]))
-        found: list[tuple[int, int]] = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            x = order[lo:hi]
-            sets = sets_of(group.column("text").take(pa.array(x)).combine_chunks(), width)
-            both = []
-            for k in (0, 1):
-                at = np.flatnonzero(side[x] == k)
-                ids = doc[x[at]].tolist()
-                both.append(Side(ids, ids, [sets[i] for i in at]))
-            found += tree_join(*both, percent)
+def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
+    token, first = shingle_sets(texts, width)
+    return [token[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def pair_links(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the documents of node pairs (cell, a, b); ``members``: (node, doc, comp, n); ``docs``: (doc, text).
+
+    A cell's nodes meet in one task, each with its texts once; cells are dealt in groups of a bounded number of tokens.
+    """
+    asked = pairs.select("cell", F.col("a").alias("node")).unionByName(pairs.select("cell", F.col("b").alias("node"))).distinct()
+    sent = written(asked.join(members, "node").select("cell", "node", "doc", "comp", "n"), "sent")
+    tokens = sent.agg(F.sum("n")).first()[0] or 0
+    g = F.pmod(F.xxhash64("cell", F.lit(3)), F.lit(max(2 * partitions(docs.sparkSession), tokens >> 19)))
+    full = sent.join(docs, "doc").select(g.alias("g"), "cell", "node", "doc", "comp", "text")
+    wanted = pairs.select(g.alias("g"), "cell", "a", "b")
+
+    def decide(texts: pa.Table, asks: pa.Table) -> pa.Table:
+        cell, node, doc, comp = (np.asarray(texts.column(c)) for c in ("cell", "node", "doc", "comp"))
+        order = np.lexsort((doc, node, cell))
+        cell, node = cell[order], node[order]
+        cut = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])))) if len(order) else np.zeros(0, np.int64)
+        place = {(int(cell[i]), int(node[i])): order[i:j] for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True)}
+        column, found = texts.column("text").combine_chunks(), []
+        at, sides = None, {}
+        for c, a, b in sorted(zip(*(asks.column(x).to_pylist() for x in ("cell", "a", "b")), strict=True)):
+            if c != at:
+                at, sides = c, {}
+            for x in (a, b):
+                if x not in sides:
+                    rows = place.get((c, x), order[:0])
+                    sides[x] = Side(doc[rows].tolist(), comp[rows].tolist(), sets_of(column.take(pa.array(rows)), width) if len(rows) else [])
+            found += tree_join(sides[a], sides[b], percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return full.withColumn("g", F.pmod("u", F.lit(4 * partitions(spark)))).groupBy("g").applyInArrow(lambda t: decide(t), "a long, b long")
+    return full.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(lambda t, p: decide(t, p), "a long, b long")
 
 
-def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
-    token, first = shingle_sets(texts, width)
-    return [token[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+def star_links(stars: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among candidate pairs, most of which share few b: cells of about LEAF partners of one b."""
+    many = written(stars.groupBy("b").agg(F.count(F.lit(1)).alias("many")), "many")
+    units = F.ceil(F.col("many") / LEAF)
+    placed = stars.join(many, "b").select(F.xxhash64(F.lit("star"), "b", F.pmod(F.xxhash64("a"), units)).alias("cell"), "a", "b")
+    pairs = placed.select("cell", F.col("cell").alias("a"), "b").distinct()
+    nodes = placed.select(F.col("cell").alias("node"), F.col("a").alias("doc")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("doc")).distinct())
+    members = nodes.join(sizes, "doc").select("node", "doc", F.col("doc").alias("comp"), "n")
+    return pair_links(written(pairs, "pairs"), written(members, "members"), docs, width, percent)
 
 
-def node_links(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between documents of candidate nodes (a, b); ``members``: (leaf, doc, comp)."""
-    asked = pairs.select(F.col("a").alias("leaf")).unionByName(pairs.select(F.col("b").alias("leaf"))).distinct()
-    nodes = written(
-        members.join(asked, "leaf", "left_semi").join(docs, "doc").groupBy("leaf").agg(F.collect_list(F.struct("doc", "comp", "text")).alias("m"))
-        .select("leaf", F.col("m.doc").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.text").alias("texts")),
-        "nodes",
-    )
-    side = lambda s: nodes.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "comps", "texts")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def frequent(docs: DataFrame, width: int, slice_bytes: int = 3 << 20) -> np.ndarray:
+    """A bitmap over hashes (by their first OFTEN_BITS bits): those of the at most OFTEN hashes that most documents of a sample hold, 4 at least."""
+    names = docs.columns
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None  # rows come sorted by b in a partition
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-
-            def read(s: str, r: int) -> Side:
-                texts = batch.column(f"texts_{s}")[r].values  # noqa: B023
-                return Side(batch.column(f"ids_{s}")[r].as_py(), batch.column(f"comps_{s}")[r].as_py(), sets_of(texts, width))  # noqa: B023
+            for b in text_slices(batch, names[2], slice_bytes):
+                value, c = np.unique(shingle_sets(b.column(2), width)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(c.astype(np.int64))], ["token", "c"])
+
+    sample = docs.where(F.pmod(F.xxhash64(names[0], names[1]), F.lit(SAMPLE)) == 0)
+    counts = sample.mapInArrow(tokens, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c >= 4")
+    counts = written(counts.withColumn("power", F.floor(F.log2("c"))), "frequent")
+    least, total = 0, 0
+    for r in sorted(counts.groupBy("power").count().collect(), reverse=True):  # at most 64 rows
+        total += r["count"]
+        least = r["power"] + 1 if total > OFTEN else least
+        if total > OFTEN:
+            break
+    found = counts.where(F.col("power") >= least).select("token").toArrow().column("token")
+    at = np.unique(np.asarray(found, np.int64).astype(np.uint64) >> np.uint64(64 - OFTEN_BITS)).astype(np.int64)
+    out = np.zeros(1 << (OFTEN_BITS - 3), np.uint8)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    dropped(counts)
+    return out
 
-            found: list[tuple[int, int]] = []
-            for r in range(batch.num_rows):
-                if b[r] != key:
-                    key, held = b[r], read("b", r)
-                found += tree_join(held if a[r] == key else read("a", r), held, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(each, "a long, b long")
+def index_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, root, comp, least, low, high) for the index hashes of each row; ``least`` is that of the root's smallest set, low..high the root's sizes."""
+    p = f"(low - ceil({percent} * low / 100) + 1)"
+    least = F.expr(f"cast(1 + {p} div 4 as int)")
+    return rows.select(F.explode("index").alias("token"), least.alias("least"), "root", "comp", "low", "high")
 
 
-def frequent(rows: DataFrame) -> np.ndarray:
-    """Zone hashes that over 1 in FREQUENT groups of a sample hold (4 at least): a list bounded by FREQUENT zones."""
-    sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(16)) == 0)
-    held = sample.select(F.explode("zone").alias("token"), "comp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    many = sample.agg(F.greatest(F.lit(4), F.count(F.lit(1)) / FREQUENT).alias("least"))
-    found = held.where("c >= 4").join(F.broadcast(many), F.col("c") >= F.col("least")).select("token")
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64).astype(np.uint64))
+def _added_up(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, least, count) with one row for each a and b."""
+    rows = np.concatenate(rows)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+    return np.column_stack((rows[first, :2], np.minimum.reduceat(rows[:, 2], first), np.add.reduceat(rows[:, 3], first)))
 
 
-def index_rows(rows: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
-    """(token, leaf, comp, least, low, high) for the index hashes of each row: zone hashes first, of these the frequent last.
+def root_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b): roots of different groups that share enough index hashes.
 
-    ``least`` is that of the leaf's smallest set, low..high the leaf's sizes.
+    Streams over hashes sorted in each partition; a task adds up the pairs it meets and never holds more than
+    about 2 * HELD of them.
     """
+    spread = index.repartition(partitions(index.sparkSession), "token").sortWithinPartitions("token", "root")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("zone")
-            sizes = np.asarray(pc.list_value_length(lists), np.int64)
-            token = np.asarray(pc.list_flatten(lists)).astype(np.uint64)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            n = np.asarray(b.column("n"), np.int64)
-            take = prefix_sizes(n, percent)[0]
-            low, high = (np.asarray(b.column(c), np.int64) for c in ("low", "high"))
-            least = prefix_sizes(low, percent)[1]
-            kind = np.where(token < ZONE, np.isin(token, often).astype(np.int8), 2)
-            order = np.lexsort((token, kind, doc))
-            place = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[doc]
-            keep = order[place < take[doc]]
-            d = doc[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[keep].astype(np.int64)), b.column("leaf").take(pa.array(d)), b.column("comp").take(pa.array(d)), pa.array(least[d].astype(np.int32)), pa.array(low[d].astype(np.int32)), pa.array(high[d].astype(np.int32))],
-                ["token", "leaf", "comp", "least", "low", "high"],
-            )
-
-    return rows.select("n", "leaf", "comp", "low", "high", "zone").mapInArrow(each, "token long, leaf long, comp long, least int, low int, high int")
-
-
-def node_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b): leaf nodes of different groups that share enough index hashes. Streams over hashes sorted in each partition."""
-    spread = index.repartition(partitions(index.sparkSession), "token").sortWithinPartitions("token", "leaf")
-
-    def pairs(token, leaf, comp, least, low, high) -> pa.RecordBatch | None:
+    def met(token, root, comp, least, low, high) -> Iterator[np.ndarray]:
         keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (leaf[1:] != leaf[:-1])
-        token, leaf, comp, least, low, high = (x[keep] for x in (token, leaf, comp, least, low, high))
+        keep[1:] = (token[1:] != token[:-1]) | (root[1:] != root[:-1])
+        token, root, comp, least, low, high = (x[keep] for x in (token, root, comp, least, low, high))
         run = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         long = np.diff(np.append(run, len(token)))
         mixed = np.repeat(np.minimum.reduceat(comp, run) != np.maximum.reduceat(comp, run), long)
         left = np.repeat(run + long, long) - np.arange(len(token)) - 1  # rows of the run after this one
-        out: list[np.ndarray] = []
         at, step = np.flatnonzero(mixed & (left >= 1)), 1
         while len(at):
-            other = at + step
-            fits = (comp[at] != comp[other]) & (100 * high[at] >= percent * low[other]) & (100 * high[other] >= percent * low[at])
-            x, y = at[fits], other[fits]
-            if len(x):
-                out.append(np.stack((leaf[x], leaf[y], np.minimum(least[x], least[y])), axis=1))
+            for lo in range(0, len(at), HELD):
+                x = at[lo : lo + HELD]
+                y = x + step
+                fits = (comp[x] != comp[y]) & (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
+                x, y = x[fits], y[fits]
+                if len(x):
+                    yield np.column_stack((root[x], root[y], np.minimum(least[x], least[y]), np.ones(len(x), np.int64)))
             step += 1
             at = at[left[at] >= step]
-        if not out:
-            return None
-        rows = np.concatenate(out)
-        order = np.lexsort((rows[:, 1], rows[:, 0]))
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
-        count = np.diff(np.append(first, len(rows)))
-        least = np.minimum.reduceat(rows[:, 2], first)
-        return pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(least), pa.array(count)], ["a", "b", "least", "c"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        kept = None
         for b in batches:
-            cols = [np.asarray(b.column(c), np.int64) for c in ("token", "leaf", "comp", "least", "low", "high")]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not b.num_rows:
+                continue
+            cols = [np.asarray(b.column(c), np.int64) for c in ("token", "root", "comp", "least", "low", "high")]
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if last and (r := pairs(*[c[:last] for c in cols])) is not None:
-                yield r
-            held = [c[last:] for c in cols]
-        if held is not None and len(held[0]) and (r := pairs(*held)) is not None:
-            yield r
+            if last:
+                yield from met(*[c[:last] for c in cols])
+            kept = [c[last:] for c in cols]
+        if kept is not None and len(kept[0]):
+            yield from met(*kept)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, fresh, size = np.zeros((0, 4), np.int64), [], 0
+
+        def sent(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[lo : lo + (1 << 16)].T], ["a", "b", "least", "c"])
+
+        for rows in runs(batches):
+            fresh.append(rows)
+            size += len(rows)
+            if size >= HELD:
+                total, fresh, size = _added_up([total, *fresh]), [], 0
+                if len(total) >= HELD:
+                    yield from sent(total)
+                    total = total[:0]
+        if fresh:
+            total = _added_up([total, *fresh])
+        yield from sent(total)
 
     found = spread.mapInArrow(each, "a long, b long, least long, c long")
     return found.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("c").alias("c")).where("c >= least").select("a", "b")
 
 
+def leaf_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(cell, a, b): the leaves below pairs of roots that may still link.
+
+    ``nodes``: (leaf, root, cell, low, high, comp, mixed, bits, spill).
+    """
+    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("leaf", "root", "cell", "low", "high", "comp", "mixed", "bits", "spill")])
+    both = pairs.join(side("a"), F.col("a") == F.col("root_a")).join(
+        side("b"),
+        (F.col("b") == F.col("root_b"))
+        & F.expr(f"low_a * {percent} <= high_b * 100 and low_b * {percent} <= high_a * 100")
+        & F.expr("(leaf_a = leaf_b and mixed_a) or (comp_a <> comp_b and (a <> b or leaf_a < leaf_b))"),
+    )
+    asked = ["leaf_a", "leaf_b", "cell_a", "cell_b", "root_a", "root_b", *[f"{c}_{s}" for s in "ab" for c in ("low", "bits", "spill")]]
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                sides = zip(*[b.column(f"{c}_{s}").to_pylist() for s in "ab" for c in ("low", "bits", "spill")], strict=True)
+                same = np.asarray(b.column("leaf_a")) == np.asarray(b.column("leaf_b"))
+                keep = same | np.array([nodes_may_link(*x, percent) for x in sides], bool)
+                yield b.select(asked[:6]).filter(pa.array(keep))
+
+    left = written(both.select(*asked).mapInArrow(pruned, ", ".join(f"{c} long" for c in asked[:6])), "kept-pairs")
+    # documents alone that are paired with leaves of one root go in cell rows of that root
+    many, few = (F.when(F.col("leaf_a") == F.col("root_a"), F.col(x)).otherwise(F.col(y)) for x, y in (("root_b", "root_a"), ("leaf_a", "leaf_b")))
+    uneven = left.where("(leaf_a = root_a) <> (leaf_b = root_b)").withColumns({"many": many, "few": few})
+    units = written(uneven.select("many", "few").distinct().groupBy("many").agg(F.ceil(F.count(F.lit(1)) / (CELL * LEAF)).alias("units")), "units")
+    row = F.xxhash64(F.lit("by"), "many", F.pmod(F.xxhash64("few", F.lit(2)), "units"))
+    uneven = uneven.join(units, "many").select("leaf_a", "leaf_b", row.alias("cell_a"), F.when(F.col("few") == F.col("leaf_a"), F.col("cell_b")).otherwise(F.col("cell_a")).alias("cell_b"))
+    left = left.where("(leaf_a = root_a) = (leaf_b = root_b)").select("leaf_a", "leaf_b", "cell_a", "cell_b").unionByName(uneven)
+    return left.select(F.xxhash64(F.least("cell_a", "cell_b"), F.greatest("cell_a", "cell_b")).alias("cell"), F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b"))
+
+
+def leaves_of(slim: DataFrame, clusters: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc, n, root, leaf, cell, comp) per document of ``slim`` (doc, n).
+
+    ``clusters`` (doc, cluster): documents that met; ``groups`` (id, component): linked groups. A group with many documents
+    of a cluster has leaves of its own; a leaf belongs to the cell row of its eight neighbours.
+    """
+    named = written(
+        slim.join(clusters, "doc", "left").join(groups.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "n", "cluster", F.coalesce("component", "doc").alias("comp")),
+        "named",
+    )
+    alone = named.where("cluster is null").select("doc", "n", F.col("doc").alias("root"), F.col("doc").alias("leaf"), F.col("doc").alias("cell"), "comp")
+    met = named.where("cluster is not null")
+    counts = met.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("tokens"))
+    counts = written(counts.withColumn("part", F.when(F.col("many") >= LEAF // 4, F.xxhash64("cluster", "comp")).otherwise(F.xxhash64(F.lit("rest"), "cluster"))), "counts")
+    units = counts.groupBy("part").agg(F.greatest(F.ceil(F.sum("many") / LEAF), F.ceil(F.sum("tokens") / LEAF_TOKENS), F.lit(1)).alias("units"))
+    parts = written(counts.join(units, "part").select("cluster", "comp", "part", "units"), "parts")
+    block = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("units"))
+    placed = met.join(parts, ["cluster", "comp"]).select(
+        "doc", "n", F.xxhash64(F.lit("root"), "cluster").alias("root"), F.xxhash64(F.lit("leaf"), "part", block).alias("leaf"),
+        F.xxhash64(F.lit("cell"), "part", F.floor(block / CELL)).alias("cell"), "comp",
+    )
+    return alone.unionByName(placed)
+
+
+def tree_nodes(placed: DataFrame, bits: DataFrame) -> DataFrame:
+    """One row per leaf: (leaf, root, cell, low, high, comp, mixed, bits, spill). A leaf of several groups is a group of its own."""
+    full = placed.join(bits, "doc").select("leaf", "root", "cell", "comp", "n", "bits")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [node_of([x], [n])[1] for x, n in zip(b.column("bits").to_pylist(), b.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.int64()))], [*b.schema.names, "spill"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        n, comp = group.column("n").to_pylist(), group.column("comp").to_pylist()
+        bits, spill = node_of(group.column("bits").to_pylist(), n)
+        mixed = min(comp) != max(comp)
+        return group.slice(0, 1).select(["leaf", "root", "cell"]).append_column("low", pa.array([min(n)])).append_column("high", pa.array([max(n)])).append_column(
+            "comp", pa.array([group.column("leaf")[0].as_py() if mixed else comp[0]], pa.int64())
+        ).append_column("mixed", pa.array([mixed])).append_column("bits", pa.array([bits], pa.binary())).append_column("spill", pa.array([spill], pa.list_(pa.int64())))
+
+    schema = "leaf long, root long, cell long, low long, high long, comp long, mixed boolean, bits binary, spill array<long>"
+    one = full.where("leaf = root").select("leaf", "root", "cell", F.col("n").alias("low"), F.col("n").alias("high"), "comp", F.lit(False).alias("mixed"), "bits")
+    one = one.withColumn("n", F.col("low")).mapInArrow(alone, "leaf long, root long, cell long, low long, high long, comp long, mixed boolean, bits binary, n long, spill array<long>").drop("n")
+    return one.unionByName(full.where("leaf <> root").groupBy("leaf").applyInArrow(lambda t: joined(t), schema))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """((doc, n) per row of ``docs``, (id, component) per linked document)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sets = written(signatures(docs, width, percent), "sets")
+    """((id, h, n, doc) per row of ``docs``, (doc, component, least) per linked document).
+
+    ``h`` is a hash of the text, and ``doc`` names the document: its id, or a number from 1 << 61 on for rows
+    that repeat an id with another text; the component is the least doc, ``least`` the least id.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    sets = written(signatures(docs, frequent(docs, width), width, percent), "sets")
+    again = written(sets.where("id is not null").groupBy("id").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("id", "first"), "again")
+    repeated = again.limit(1).count() > 0
+
+    def named(rows: DataFrame) -> DataFrame:
+        other = F.lit(1 << 61) + F.pmod(F.xxhash64("id", "h"), F.lit(1 << 61))
+        return rows.join(again, "id", "left").withColumn("doc", F.when(F.col("first") != F.col("h"), other).otherwise(F.col("id"))).drop("first")
+
+    sets, texts = named(sets), named(docs.where("id is not null and text is not null")).select("doc", "text")
     some = sets.where("n > 0 and doc is not null")
+    if repeated:
+        some, texts = written(some.dropDuplicates(["doc"]), "some"), texts.dropDuplicates(["doc"])
 
     # copies, and near copies of the smallest document of a bucket
     keyed = some.select("doc", "n", "k1", "k2", F.posexplode("keys").alias("j", "key"))
@@ -403,44 +562,56 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "met",
     )
-    copies = met.where((F.col("j") == MINIMA) & F.col("same")).select(F.col("doc").alias("a"), F.col("to").alias("b"))
-    originals = met.join(copies.select(F.col("a").alias("doc")), "doc", "left_anti")
-    stars = originals.where((F.col("j") < MINIMA) & ~F.col("same") & alike("n", "to_n", percent)).groupBy(F.col("doc").alias("a"), F.col("to").alias("b")).agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
-    stars = written(stars.select("a", "b"), "stars")
-    near = written(star_links(stars, docs, width, percent), "links")
-    groups = components(near)
-
-    # leaf nodes: documents that met, in blocks of about LEAF; others alone
-    sized = components(stars)
-    sized = sized.join(sized.groupBy("component").agg(F.count(F.lit(1)).alias("many")), "component")
-    block = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.ceil(F.col("many") / LEAF))
-    met = sized.select(F.col("id").alias("doc"), F.xxhash64(F.lit("block"), "component", block).alias("block"))
-    slim = some.select("doc", "n").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti").join(met, "doc", "left").join(groups.withColumnRenamed("id", "doc"), "doc", "left")
-    slim = written(slim.select("doc", "n", F.coalesce("block", F.xxhash64(F.lit("doc"), "doc")).alias("leaf"), F.coalesce("component", "doc").alias("comp")), "slim")
-    leaves = slim.groupBy("leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    # a leaf of one group can skip others of that group; any other leaf is a group of its own here
-    leaves = written(leaves.select("leaf", "low", "high", F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(F.xxhash64(F.lit("mixed"), "leaf")).alias("comp"), (F.col("c0") != F.col("c1")).alias("mixed")), "leaves")
-    rows = written(some.select("doc", "n", "zone").join(slim.select("doc", "leaf").join(leaves, "leaf"), "doc").select("doc", "n", "zone", "leaf", "comp", "low", "high"), "rows")
-    candidates = node_pairs(index_rows(rows, frequent(rows), percent), percent)
-    within = leaves.where("mixed").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
-    candidates = written(candidates.unionByName(within), "candidates")
-    crossed = node_links(candidates, slim.select("leaf", "doc", "comp"), docs, width, percent)
-    return sets.select("doc", "n"), components(copies.unionByName(near).unionByName(crossed))
+    copies = written(met.where((F.col("j") == MINIMA) & F.col("same")).select(F.col("doc").alias("a"), F.col("to").alias("b")), "copies")
+    gone = copies.select(F.col("a").alias("doc"))
+    slim = written(some.select("doc", "n").join(gone, "doc", "left_anti"), "slim")
+    originals = written(met.where((F.col("j") < MINIMA) & ~F.col("same") & alike("n", "to_n", percent)).select("j", "doc", "to").join(gone, "doc", "left_anti"), "originals")
+    stars = written(originals.groupBy(F.col("doc").alias("a"), F.col("to").alias("b")).agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("a", "b"), "stars")
+    near = written(star_links(stars, slim, texts, width, percent), "links")
+    dropped(met)
+
+    # the tree: documents that met, and those that share two minima with documents of one such cluster
+    first = written(components(stars).select(F.col("id").alias("doc"), F.col("component").alias("cluster")), "clusters")
+    late = originals.join(first, "doc", "left_anti").join(first.withColumnRenamed("doc", "to"), "to").groupBy("doc", "cluster").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+    late = late.groupBy("doc").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("cluster"))
+    clusters = written(first.unionByName(late), "clusters")
+    placed = written(leaves_of(slim, clusters, components(near)), "placed")
+    nodes = written(tree_nodes(placed, some.select("doc", "bits")), "nodes")
+    roots = nodes.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    roots = roots.select("root", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(F.col("root")).alias("comp"))
+    roots = written(roots, "roots")
+    owner = written(placed.select("doc", "root").join(roots, "root"), "owner")
+    pairs = root_pairs(index_rows(some.select("doc", "index").join(owner, "doc"), percent), percent)
+    within = nodes.where("leaf <> root").groupBy("root").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("mixed").alias("mixed")).where("mixed or c0 <> c1")
+    pairs = written(pairs.unionByName(within.select(F.col("root").alias("a"), F.col("root").alias("b"))), "root-pairs")
+    todo = written(leaf_pairs(pairs, nodes, percent), "leaf-pairs")
+    crossed = written(pair_links(todo, placed.select(F.col("leaf").alias("node"), "doc", "comp", "n"), texts, width, percent), "crossed")
+    dropped(nodes, originals, slim, first, clusters, placed, owner, roots, pairs, todo)
+    groups = components(copies.unionByName(near).unionByName(crossed)).withColumnRenamed("id", "doc")
+    found = sets.select("id", "h", "n", "doc")
+    if not repeated:
+        return found, groups.withColumn("least", F.col("component"))
+    groups = written(groups, "groups")
+    least = written(groups.join(found.where("doc is not null").select("doc", "id").distinct(), "doc").groupBy("component").agg(F.min("id").alias("least")), "least")
+    return found, groups.join(least, "component").select("doc", "component", "least")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The smallest document of each group, with all columns; rows without id stay; a repeated id stays once."""
-    _, groups = near_copies(docs, id_col, text_col, width, percent)
-    gone = groups.where("id <> component").select(F.col("id").alias(spare(docs, "gone")))
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(gone, F.col(id_col).cast("long") == gone[0], "left_anti").dropDuplicates([id_col])
+    """The smallest document of each group, with all columns; rows without id stay; of equal texts of one id one row stays."""
+    found, groups = near_copies(docs, id_col, text_col, width, percent)
+    gone = groups.where("doc <> component").join(found, "doc").select(F.col("id").alias(i := spare(docs, "id")), F.col("h").alias(h := spare(docs, "h"))).distinct()
+    place = spare(docs, "place")
+    named = docs.where(F.col(id_col).isNotNull()).withColumns({i: F.col(id_col).cast("long"), h: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = named.join(gone, [i, h], "left_anti")
+    others = [F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    first = Window.partitionBy(i, h).orderBy(F.xxhash64(*others))
+    kept = kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes, groups = near_copies(table(spark, sf_dir, "documents"))
-    joined = sizes.join(groups, sizes["doc"] == groups["id"], "left")
-    return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    found, groups = near_copies(table(spark, sf_dir, "documents"))
+    return found.join(groups.select("doc", "least"), "doc", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 OP9_SQL = """

@@ -116,8 +116,10 @@ def test_jaccard_join(spark, docs, width, percent):
     group = brute_groups(pairs)
     sizes, found = jaccard.near_copies(df, width=width, percent=percent)
     assert sorted(map(str, ((r.doc, r.n) for r in sizes.collect()))) == sorted(map(str, ((i, len(s)) for i, s in sets)))
-    assert {r.id: r.component for r in found.collect()} == group
+    assert {r.doc: r.component for r in found.collect()} == group
     if width == 5:
+        clash = docs.withColumns({c: F.lit(1) for c in ("id", "h", "doc", "n", "place", "first", "component", "least", "gone")})
+        assert sorted(map(str, (r.doc_id for r in jaccard.without_near_copies(clash).collect()))) == sorted(map(str, (r.doc_id for r in jaccard.without_near_copies(docs).collect())))
         kept = jaccard.without_near_copies(docs)
         ids = [r.doc_id for r in kept.collect()]
         alone = brute_groups([(a, b) for a, b in pairs if a < 1000])
@@ -156,6 +158,32 @@ def test_signature_tree_loses_no_link():
     assert jaccard.tree_join(side([]), side(sets), 85) == []
 
 
+def test_node_bounds_lose_no_link():
+    """Bitmaps of any size, folded and OR-combined, never rule out two sets that link."""
+    r, gone = np.random.default_rng(2), 0
+    for _ in range(60):
+        base = r.integers(0, 2**63, r.integers(3, 700)).astype(np.uint64)
+        sets = [np.unique(np.concatenate((base[r.random(len(base)) > q], r.integers(0, 2**63, 1 + len(base) // 20).astype(np.uint64)))) for q in r.choice([0.0, 0.05, 0.1, 0.6], 5)]
+        bits = jaccard.bitmaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).to_pylist()
+        left, right = jaccard.node_of(bits[:3], [len(s) for s in sets[:3]]), jaccard.node_of(bits[3:], [len(s) for s in sets[3:]])
+        low = [min(map(len, x)) for x in (sets[:3], sets[3:])]
+        kept = jaccard.nodes_may_link(low[0], *left, low[1], *right, 80)
+        assert kept or not any(jaccard.links(x, y, 80) for x in sets[:3] for y in sets[3:])
+        gone += not kept
+    assert gone
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Rows of one id are documents of their own if their texts differ; equal rows stay once."""
+    a, b, c = text(41, 60), text(42, 60), text(43, 60)
+    rows = [(5, a), (5, b), (5, b), (3, b + " x"), (9, a), (7, c), (7, c), (None, a)]
+    kept = jaccard.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got in (collections.Counter([(3, b + " x"), (x, a), (7, c), (None, a)]) for x in (5, 9))
+    removed = substring.without_repeats(spark.createDataFrame([(1, a), (1, b), (2, a), (2, c)], "doc_id long, text string"))
+    assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in removed.collect()) == collections.Counter([(1, a, 0), (1, b, 0), (2, a, 60), (2, c, 0)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 30)] + [(500, 500), (29, 7)]
     found = {r.id: r.component for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
