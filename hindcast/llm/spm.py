@@ -10,12 +10,19 @@ Ordinary texts are encoded where they are read. No piece crosses the start of a
 another character), so a text's path is its words' paths, and each distinct word is solved once per
 worker. A giant text is cut into chunks of ``chunk_chars`` anywhere. The state at a cut is the piece
 occurrence that covers the character before it: how far it reaches back and ahead. Each chunk yields a
-max-plus matrix from entry to exit states; the matrices of a text are combined associatively; the best
-states at the cuts follow, and each chunk is traced back on its own between its two states.
+max-plus matrix from entry to exit states. The product of matrices is associative, so they are combined
+in rounds: blocks of BLOCK neighbours become one matrix each, until one is left for a text. Then the best
+states at the cuts are pushed down, round by round, and each chunk is traced back on its own between its
+two states.
+
+A task holds a slice of about a megabyte of texts or one chunk at a time; its caches of solved words are
+bounded in bytes, and words of over LONG characters are not kept.
 
 Defined results: null text stays null and has no ids; an empty text has no ids; repeated rows get equal
-results; empty tables stay empty; extra columns pass through. Decoding gives back the text, but for the
-word mark U+2581 inside it, which decodes to a space.
+results; empty tables stay empty; a very long text is cut into chunks, whose results do not depend on the
+cuts; extra columns pass through: where ``docs`` has a column ``ids``, the new one gets an underscore, and
+``decoded`` reads the last column unless told another. Decoding gives back the text, but for the word mark
+U+2581 inside it, which decodes to a space.
 """
 
 from __future__ import annotations
@@ -32,16 +39,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, spare, table, written
-from .words import gather
+from .words import gather, text_slices
 
 MARK = "▁"
 NEVER = float("-inf")
+LONG = 64
+BLOCK = 16
+#: Bytes that a worker's cache of solved units, and that of compatible neighbours, may take before it starts anew.
+CACHE_BYTES = 96 << 20
 
 
 class Pieces:
     """The pieces of a model file and the best paths of units (runs that no piece leaves)."""
 
-    def __init__(self, path: str, bpe: bool | None = None, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, bpe: bool | None = None, cache_bytes: int = CACHE_BYTES) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,10 +73,11 @@ class Pieces:
         for value, i in self.bytes.items():
             self.output[i] = bytes([value])
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.runs: dict[str, bytes] = {}
+        self.fits: dict[str, bool] = {}
+        self.fits_bytes = 0
+        self.cache_bytes = cache_bytes
         self.units = Units(self)
-        self.most = most
+        self.joins: np.ndarray | None = None
 
     # ---- the rule -----------------------------------------------------------------------------------
 
@@ -87,14 +99,79 @@ class Pieces:
         """Weight of ``piece`` after ``before`` (None: at the start of a unit)."""
         if not self.bpe:
             return self.score.get(piece, self.unknown)
-        key = (before or "", piece)
+        key = f"{before or ''}\n{piece}"  # no piece of two characters holds a line end
         ok = self.fits.get(key)
         if ok is None:
-            ok = self.fits[key] = self.merged((before or "") + piece) == ([before] if before else []) + [piece]
-            if len(self.fits) > 4 * self.most:
+            ok = self.merged((before or "") + piece) == ([before] if before else []) + [piece]
+            self.fits_bytes += 2 * len(key) + 200
+            if self.fits_bytes > self.cache_bytes:
                 self.fits.clear()
+                self.fits_bytes = 0
+            self.fits[key] = ok
         return 0.0 if ok else NEVER
 
+    # ---- many words at once --------------------------------------------------------------------------
+
+    def _tables(self) -> None:
+        """Symbols are piece ids, and n + code point for a character that is no piece. Pairs of symbols that can be joined, sorted."""
+        n = len(self.output)
+        self.symbols = np.arange(n, n + 0x110000, dtype=np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        symbol = lambda x: self.ids.get(x, int(self.symbols[ord(x)]) if len(x) == 1 else None)
+        rows = [(symbol(p[:k]), symbol(p[k:]), i, self.score[p]) for p, i in self.ids.items() for k in range(1, len(p))]
+        rows = sorted((a << 24 | b, i, score) for a, b, i, score in rows if a is not None and b is not None)
+        self.joins, self.joined, self.gains = (np.array([r[k] for r in rows]) for k in range(3))
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs of symbols stand in the tables, and the score of joining them (NEVER: they cannot be)."""
+        key = (a << 24) | b
+        at = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+        return at, np.where(self.joins[at] == key, self.gains[at], NEVER)
+
+    def merged_rows(self, ids: np.ndarray) -> np.ndarray:
+        """The merge rule on each row of symbols (padded with -1): all rows take their best merge in the same step."""
+        out, alive = np.full(ids.shape, -1, np.int64), np.arange(len(ids))
+        _, gain = self._join(ids[:, :-1], ids[:, 1:])
+        while True:
+            r = np.arange(len(alive))
+            best = gain.argmax(axis=1) if gain.shape[1] else np.zeros(len(alive), np.int64)
+            go = gain[r, best] > NEVER if gain.shape[1] else np.zeros(len(alive), bool)
+            out[alive[~go], : ids.shape[1]] = ids[~go]
+            if not go.any():
+                return out
+            alive, ids, gain, best = alive[go], ids[go], gain[go], best[go]
+            r = np.arange(len(alive))
+            at, _ = self._join(ids[r, best], ids[r, best + 1])
+            cols = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, cols + (cols > best[:, None]), 1)
+            ids[r, best] = self.joined[at]
+            gain = np.take_along_axis(gain, cols[:-1] + (cols[:-1] > best[:, None]), 1)
+            left, right = best > 0, best < ids.shape[1] - 1
+            gain[r[left], best[left] - 1] = self._join(ids[r[left], best[left] - 1], ids[r[left], best[left]])[1]
+            gain[r[right], best[right]] = self._join(ids[r[right], best[right]], ids[r[right], best[right] + 1])[1]
+
+    def solve_many(self, units: list[str]) -> None:
+        """Put the ids of units of at most LONG characters into the cache."""
+        if self.joins is None:
+            self._tables()
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        codes = self.symbols[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        start = np.cumsum(size) - size
+        for lo, hi in zip((0, 4, 8, 12, 16, 32), (4, 8, 12, 16, 32, LONG), strict=True):
+            for rows in np.array_split(x := np.flatnonzero((size > lo) & (size <= hi)), len(x) // 8192 + 1):
+                inside = np.arange(hi) < size[rows, None]
+                ids = np.full(inside.shape, -1, np.int64)
+                ids[inside] = codes[(start[rows, None] + np.arange(hi))[inside]]
+                done = self.merged_rows(ids)
+                raw = done[done >= 0].astype(np.int32).tobytes()
+                end = 4 * np.cumsum((done >= 0).sum(axis=1))
+                plain = (done < len(self.output)).all(axis=1)
+                for row, z, k, ok in zip(rows.tolist(), end.tolist(), (4 * (done >= 0).sum(axis=1)).tolist(), plain.tolist(), strict=True):
+                    if ok:
+                        self.units.keep(units[row], raw[z - k : z])
+
     def at(self, text: str, start: int) -> Iterator[str]:
         """Pieces that occur at ``start``; a character that is no piece stands for itself."""
         ids = self.ids
@@ -106,7 +183,7 @@ class Pieces:
     def solved(self, unit: str) -> list[str]:
         """The best path of a whole unit; of equal paths, the one whose last piece starts first."""
         n, step, ids = len(unit), self.step, self.ids
-        if self.bpe and n <= 64:  # merging costs n times the merges, which pays for ordinary words
+        if self.bpe and n <= LONG:  # merging costs n times the merges, which pays for ordinary words
             return self.merged(unit)
         if self.bpe:  # each prefix has one last piece
             last: list[str | None] = [None] * (n + 1)
@@ -140,22 +217,22 @@ class Pieces:
 
     def run(self, key: str) -> bytes:
         """Ids of a run of characters that no piece leaves."""
-        ids = self.runs.get(key)
-        if ids is None:
-            if len(self.runs) >= self.most:
-                self.runs.clear()
-            numbers = self.numbers(self.solved(key))
-            ids = self.runs[key] = struct.pack(f"<{len(numbers)}i", *numbers)
-        return ids
+        numbers = self.numbers(self.solved(key))
+        return struct.pack(f"<{len(numbers)}i", *numbers)
 
     # ---- whole texts --------------------------------------------------------------------------------
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit bytes."""
-        if not text:
-            return b""
-        marked = MARK + text.replace(" ", MARK)
-        return b"".join(map(self.units.__getitem__, UNIT.findall(marked)))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes. Units that are new are solved together."""
+        found = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if self.bpe:
+            units = [u for u in set().union(*found) if len(u) <= LONG]
+            new = [u for u in units if u not in self.units]
+            if self.units.make_room(new):
+                new = units
+            if new:
+                self.solve_many(new)
+        return [b"".join(map(self.units.__getitem__, x)) for x in found]
 
     # ---- chunks -------------------------------------------------------------------------------------
 
@@ -243,16 +320,28 @@ class Units(dict):
 
     def __init__(self, pieces: Pieces) -> None:
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.bytes = pieces, 0
 
     def __missing__(self, unit: str) -> bytes:
         p = self.pieces
         cuts = [0, *[i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in p.pairs], len(unit)]
         ids = b"".join([p.run(unit[a:b]) for a, b in zip(cuts, cuts[1:])])
-        if len(self) >= p.most:
+        if len(unit) <= LONG:
+            self.make_room([unit])
+            self.keep(unit, ids)
+        return ids
+
+    def make_room(self, units: list[str]) -> bool:
+        """Start anew if ``units`` do not fit in; True if so."""
+        full = self.bytes + 2 * sum(map(len, units)) + 240 * len(units) > self.pieces.cache_bytes
+        if full:
             self.clear()
+            self.bytes = 0
+        return full
+
+    def keep(self, unit: str, ids: bytes) -> None:
+        self.bytes += 2 * len(unit) + len(ids) + 200
         self[unit] = ids
-        return ids
 
 
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -271,8 +360,8 @@ def times(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.max(axis=1), both.argmax(axis=1)
 
 
-def encoded(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids", chunk_chars: int = 1 << 16, bpe: bool | None = None) -> DataFrame:
-    """``docs`` with ``out``: the ids of each text."""
+def encoded(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids", chunk_chars: int = 1 << 16, bpe: bool | None = None, slice_bytes: int = 1 << 20) -> DataFrame:
+    """``docs`` with a last column ``out``: the ids of each text."""
     text = F.col(text_col)
     out, key = spare(docs, out), spare(docs, "key")
     giant = F.coalesce(F.length(text) > chunk_chars, F.lit(False))
@@ -281,11 +370,12 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model, bpe)
-        for b in batches:
-            raw = [p.encode(t or "") for t in b.column(text_col).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(raw), np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*b.schema.names, out])
+        for batch in batches:
+            for b in text_slices(batch, text_col, slice_bytes):
+                raw = p.encode(b.column(text_col).to_pylist())
+                offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(raw), np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*b.schema.names, out])
 
     small = docs.where(~giant).mapInArrow(each, schema)
     large = docs.where(giant).withColumn(key, F.sha2(text, 256))
@@ -294,69 +384,126 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids
     return small.unionByName(large)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other, so that one chunk at a time is a Python object."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
+
+
+def _one(row: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([row], schema)
+
+
+_KEY = [("key", pa.string()), ("k", pa.int32())]
+WINDOWS = pa.schema([*_KEY, ("lo", pa.int32()), ("hi", pa.int32()), ("window", pa.string())])
+MATRICES = pa.schema([*_KEY, ("entry", pa.list_(pa.int32())), ("leave", pa.list_(pa.int32())), ("score", pa.list_(pa.float64()))])
+STATES = pa.schema([*_KEY, *[(c, pa.int32()) for c in ("b0", "a0", "b1", "a1")]])
+MATRIX_DDL = "key string, k int, entry array<int>, leave array<int>, score array<double>"
+STATE_DDL = "key string, k int, b0 int, a0 int, b1 int, a1 int"
+
+
+def _pairs(flat: list[int]) -> list[tuple[int, int]]:
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
+def _product(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The max-plus product of neighbouring matrices, and for each cut between them the best state for each entry and exit."""
+    total, backs, order = None, [], None
+    for r in rows:
+        entry, leave = _pairs(r["entry"]), _pairs(r["leave"])
+        m = np.array(r["score"]).reshape(len(entry), len(leave))
+        if total is None:
+            total = m
+        else:
+            at = {s: i for i, s in enumerate(entry)}
+            total, back = times(total, m[[at[s] for s in order]])
+            backs.append(back)
+        order = leave
+    return total, backs
+
+
+def combined(group: pa.Table) -> pa.Table:
+    """One matrix for a block of neighbours."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["k"])
+    total, _ = _product(rows)
+    out = {"key": rows[0]["key"], "k": rows[0]["k"] // BLOCK, "entry": rows[0]["entry"], "leave": rows[-1]["leave"], "score": total.ravel().tolist()}
+    return pa.Table.from_pylist([out], MATRICES)
+
+
+def pushed(group: pa.Table) -> pa.Table:
+    """The states at both ends of each matrix of a block, from those at the ends of the block (b0, a0, b1, a1)."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["k"])
+    _, backs = _product(rows)
+    i, j = _pairs(rows[0]["entry"]).index((rows[0]["b0"], rows[0]["a0"])), _pairs(rows[-1]["leave"]).index((rows[0]["b1"], rows[0]["a1"]))
+    chosen = [j]
+    for back in reversed(backs):
+        chosen.append(int(back[i, chosen[-1]]))
+    out, before = [], (rows[0]["b0"], rows[0]["a0"])
+    for r, j in zip(rows, reversed(chosen), strict=True):
+        state = _pairs(r["leave"])[j]
+        out.append({"key": r["key"], "k": r["k"], "b0": before[0], "a0": before[1], "b1": state[0], "a1": state[1]})
+        before = state
+    return pa.Table.from_pylist(out, STATES)
+
+
+def scanned(matrices: DataFrame, last: int) -> DataFrame:
+    """(key, k, b0, a0, b1, a1): the best path's states at both ends of each chunk; ``last`` is the greatest k.
+
+    Up: blocks of BLOCK matrices become one, until each text has one. Down: a text's best end gives the states at the ends
+    of its blocks, and so on to its chunks. No group holds more than BLOCK matrices.
+    """
+    levels = [written(matrices, "matrices")]
+    while last:
+        block = levels[-1].withColumn("g", F.floor(F.col("k") / BLOCK))
+        levels.append(written(block.groupBy("key", "g").applyInArrow(lambda t: combined(t.drop_columns("g")), MATRIX_DDL), "matrices"))
+        last //= BLOCK
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            leave = _pairs(r["leave"])
+            score = np.array(r["score"]).reshape(-1, len(leave))
+            j = max((j for j, s in enumerate(leave) if s[1] == 0), key=lambda j: score[0, j])
+            yield _one({"key": r["key"], "k": 0, "b0": 0, "a0": 0, "b1": leave[j][0], "a1": 0}, STATES)
+
+    states = levels[-1].mapInArrow(best, STATE_DDL)
+    for level in levels[-2::-1]:
+        ends = states.withColumnRenamed("k", "g")
+        block = level.withColumn("g", F.floor(F.col("k") / BLOCK)).join(ends, ["key", "g"])
+        states = block.groupBy("key", "g").applyInArrow(lambda t: pushed(t), STATE_DDL)
+    return states
+
+
 def giant_ids(texts: DataFrame, model: str, chunk_chars: int, bpe: bool | None = None) -> DataFrame:
     """(key, ids) of giant texts (key, text) by the scan."""
-    n_parts = partitions(texts.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin = pieces_of(model, bpe).longest + 1
-        for b in batches:
-            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                marked = MARK + t.replace(" ", MARK)
-                for k, lo in enumerate(range(0, len(marked), chunk_chars)):
-                    hi = min(lo + chunk_chars, len(marked))
-                    a, z = max(0, lo - margin), min(len(marked), hi + margin)
-                    row = {"key": key, "k": k, "lo": lo - a, "hi": hi - a, "window": marked[a:z]}
-                    yield pa.RecordBatch.from_pylist([row], pa.schema([("key", pa.string()), *[(c, pa.int32()) for c in ("k", "lo", "hi")], ("window", pa.string())]))
+        for r in rows_of(batches):
+            t, n = r["text"], len(r["text"]) + 1
+            for k, lo in enumerate(range(0, n, chunk_chars)):  # the marked text is a mark and then the text
+                hi = min(lo + chunk_chars, n)
+                a, z = max(0, lo - margin), min(n, hi + margin)
+                window = (MARK * (a == 0) + t[max(a - 1, 0) : z - 1]).replace(" ", MARK)
+                yield _one({"key": r["key"], "k": k, "lo": lo - a, "hi": hi - a, "window": window}, WINDOWS)
 
+    n_parts = partitions(texts.sparkSession)
     chunks = written(texts.mapInArrow(cut, "key string, k int, lo int, hi int, window string").repartition(n_parts, "key", "k"), "chunks")
+    last = chunks.agg(F.max("k")).first()[0] or 0
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model, bpe)
-        for b in batches:
-            for r in b.to_pylist():
-                entry, leave, score = chunk_matrix(p, r["window"], r["lo"], r["hi"], r["k"] == 0)
-                row = {"key": r["key"], "k": r["k"], "entry": [x for s in entry for x in s], "leave": [x for s in leave for x in s], "score": score.ravel().tolist()}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("key", pa.string()), ("k", pa.int32()), ("entry", pa.list_(pa.int32())), ("leave", pa.list_(pa.int32())), ("score", pa.list_(pa.float64()))]))
-
-    def scan(group: pa.Table) -> pa.Table:
-        """Combine the matrices of a text from the left, then read the states at the cuts from the right."""
-        rows = sorted(group.to_pylist(), key=lambda r: r["k"])
-        pair = lambda x: list(zip(x[::2], x[1::2], strict=True))
-        total, backs, order = None, [], None
-        for r in rows:
-            entry, leave = pair(r["entry"]), pair(r["leave"])
-            m = np.array(r["score"]).reshape(len(entry), len(leave))
-            if total is None:
-                total = m
-            else:
-                at = {s: i for i, s in enumerate(entry)}
-                total, back = times(total, m[[at[s] for s in order]])
-                backs.append(back)
-            order = leave
-        ends = [j for j, s in enumerate(order) if s[1] == 0]
-        j = max(ends, key=lambda j: total[0, j])
-        chosen = [j]
-        for back in reversed(backs):
-            chosen.append(int(back[0, chosen[-1]]))
-        chosen.reverse()
-        out, before = [], (0, 0)
-        for r, j in zip(rows, chosen, strict=True):
-            state = pair(r["leave"])[j]
-            out.append({"key": r["key"], "k": r["k"], "b0": before[0], "a0": before[1], "b1": state[0], "a1": state[1]})
-            before = state
-        return pa.Table.from_pylist(out, pa.schema([("key", pa.string()), *[(c, pa.int32()) for c in ("k", "b0", "a0", "b1", "a1")]]))
-
-    states = chunks.mapInArrow(matrices, "key string, k int, entry array<int>, leave array<int>, score array<double>").groupBy("key").applyInArrow(
-        lambda t: scan(t), "key string, k int, b0 int, a0 int, b1 int, a1 int"
-    )
+        for r in rows_of(batches):
+            entry, leave, score = chunk_matrix(p, r["window"], r["lo"], r["hi"], r["k"] == 0)
+            yield _one({"key": r["key"], "k": r["k"], "entry": [x for s in entry for x in s], "leave": [x for s in leave for x in s], "score": score.ravel().tolist()}, MATRICES)
+
+    states = scanned(chunks.mapInArrow(matrices, MATRIX_DDL), last)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model, bpe)
-        for b in batches:
-            for r in b.to_pylist():
-                ids = chunk_trace(p, r["window"], r["lo"], r["hi"], (r["b0"], r["a0"]), (r["b1"], r["a1"]))
-                yield pa.RecordBatch.from_pylist([{"key": r["key"], "k": r["k"], "ids": ids}], pa.schema([("key", pa.string()), ("k", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+        for r in rows_of(batches):
+            ids = chunk_trace(p, r["window"], r["lo"], r["hi"], (r["b0"], r["a0"]), (r["b1"], r["a1"]))
+            yield _one({"key": r["key"], "k": r["k"], "ids": ids}, pa.schema([*_KEY, ("ids", pa.list_(pa.int32()))]))
 
     traced = chunks.join(states, ["key", "k"]).select("key", "k", "lo", "hi", "window", "b0", "a0", "b1", "a1").mapInArrow(trace, "key string, k int, ids array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
@@ -407,9 +554,9 @@ def chunk_trace(p: Pieces, text: str, lo: int, hi: int, entry: tuple[int, int],
     return out + p.numbers(p.traced(text[z:], 0, hi - z, (0, 0), leave))
 
 
-def decoded(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with ``out``: the text of the ids (null where the ids are null)."""
-    out = spare(rows, out)
+def decoded(rows: DataFrame, model: str, ids_col: str | None = None, out: str = "decoded", slice_ids: int = 1 << 18) -> DataFrame:
+    """``rows`` with ``out``: the text of the ids (null where the ids are null) in ``ids_col``, the last column if it is not given."""
+    ids_col, out = ids_col or rows.columns[-1], spare(rows, out)
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in rows.columns) + f", `{out}` string"
 
@@ -418,16 +565,16 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decod
         size = np.array([len(x) for x in p.output], np.int64)
         start = np.cumsum(size) - size
         pool = np.frombuffer(b"".join(p.output), np.uint8)
-        for b in batches:
-            lists = b.column(ids_col)
-            ids = np.asarray(pc.list_flatten(lists), np.int64)
-            ends = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))))
-            data, offsets = gather(pool, start[ids], size[ids])
-            raw = data.tobytes()
-            at = offsets[ends]
-            texts = [raw[x + 1 : y].decode("utf-8", "replace") if y > x else "" for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            text = pc.if_else(pc.is_valid(lists), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, out])
+        for batch in batches:
+            for b in text_slices(batch, ids_col, slice_ids):
+                lists = b.column(ids_col)
+                ids = np.asarray(pc.list_flatten(lists))
+                ends = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))))
+                data, offsets = gather(pool, start[ids], size[ids])
+                raw, at = data.tobytes(), offsets[ends]
+                texts = [raw[x + 1 : y].decode("utf-8", "replace") if y > x else "" for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                text = pc.if_else(pc.is_valid(lists), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, out])
 
     return rows.mapInArrow(each, schema)
 
@@ -444,8 +591,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = decoded(encoded(docs, public_model()), public_model())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(np.asarray(x.values, "<i4").tobytes()) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(b.column("ids")).cast(pa.int64()), pa.array(crc, pa.int64()), pc.equal(pc.fill_null(b.column("text"), ""), b.column("decoded"))], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+        for batch in batches:
+            for b in text_slices(batch, "ids", 1 << 20):
+                lists = b.column("ids")
+                flat, n = np.asarray(pc.list_flatten(lists), "<i4"), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                end = np.cumsum(n)
+                crc = [zlib.crc32(flat[z - k : z].tobytes()) for z, k in zip(end.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(crc, pa.int64()), pc.equal(pc.fill_null(b.column("text"), ""), b.column("decoded"))], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return both.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

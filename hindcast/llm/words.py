@@ -45,8 +45,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about ``most`` text bytes (a longer text stands alone)."""
-    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    """Cut a batch into runs of rows of about ``most`` text bytes, or items of a list column (a longer row stands alone)."""
+    values = batch.column(column)
+    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = np.asarray(sizes.fill_null(0), dtype=np.int64)
     run = np.cumsum(sizes) // most
     cuts = np.flatnonzero(np.diff(run)) + 1
     edges = [0, *cuts.tolist(), len(sizes)]

@@ -365,11 +365,12 @@ def test_sentencepiece(spark, docs):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=spm.public_model())
+    docs = docs.withColumn("ids", F.lit("clash")).withColumn("key", F.lit("clash"))
     both = spm.decoded(spm.encoded(docs, spm.public_model(), chunk_chars=400), spm.public_model())
     rows = both.collect()
-    assert both.columns == [*docs.columns, "ids", "decoded"] and len(rows) == len(TEXTS)
+    assert both.columns == [*docs.columns, "_ids", "decoded"] and len(rows) == len(TEXTS)
     for r in rows:
-        assert list(r.ids or []) == sp.encode(r.text or "") and (r.decoded or "") == (r.text or "")
+        assert list(r._ids or []) == sp.encode(r.text or "") and (r.decoded or "") == (r.text or "") and r.ids == r.key == "clash"
     assert spm.encoded(empty(docs), spm.public_model()).count() == 0
 
 
@@ -383,6 +384,26 @@ def test_sentencepiece_scan_of_words_longer_than_chunks(spark):
         assert {r.text: list(r.ids) for r in rows} == {t: sp.encode(t) for t in texts}
 
 
+def test_words_solved_together_equal_the_merge_rule():
+    p = spm.Pieces(spm.public_model(), cache_bytes=20_000)
+    r = random.Random(8)
+    units = list({spm.MARK + "".join(r.choice("abehnorst.'é日😀") for _ in range(r.randrange(1, 40))) for _ in range(300)})
+    p.solve_many(units)
+    assert len(p.units) > 200 and all(p.units[u] == np.array(p.numbers(p.merged(u)), "<i4").tobytes() for u in units)
+    texts = [" ".join(r.choices(units, k=30)) for _ in range(20)]
+    assert p.encode(texts) == [b"".join(p.encode([t])) for t in texts] and p.units.bytes <= 20_000 + 500
+
+
+def test_scan_of_many_rounds(spark):
+    """More chunks than a block holds, in several rounds, with and without word starts in a chunk."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.public_model())
+    texts = ["thinghanthe" * 260, "so it goes\n" * 300]
+    rows = spm.encoded(spark.createDataFrame([(t,) for t in texts], "text string"), spm.public_model(), chunk_chars=9).collect()
+    assert {r.text: list(r.ids) for r in rows} == {t: sp.encode(t) for t in texts} and len(texts[0]) > 9 * spm.BLOCK**2
+
+
 def test_unigram_scores_equal_the_best_path():
     p = spm.Pieces(spm.public_model(), bpe=False)
     for unit in ("▁thinghan", "▁naïve", "▁xqz"):
