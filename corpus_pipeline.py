@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hindcast.llm.common import table, written
 from hindcast.llm.jaccard import without_near_copies
 from hindcast.llm.packing import packed, public_tokenizer
-from hindcast.llm.pii import DEMO_KEY, pseudonymised
+from hindcast.llm.pii import key_of, pseudonymised
 from hindcast.llm.quality import keep_good
 from hindcast.llm.substring import without_repeats
 
@@ -36,7 +36,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms of its own format."""
-    found = pseudonymised(docs, DEMO_KEY)
+    found = pseudonymised(docs, key_of(spark))
     return _rewritten(found, F.col("text"), docs.columns)
 
 

@@ -12,8 +12,14 @@ F is SHA-256 of key, kind, step and the other half.
 
 Mail addresses have no numeric format: their local part becomes a keyed 16-letter name at example.org.
 
-Defined results: null text stays null; repeated rows get equal results; empty tables stay empty;
-extra columns pass through.
+Every repeat in a pattern is bounded (a local part has at most 64 characters, a host at most 127 labels of
+at most 63), so a match takes bounded work and stack wherever it starts, and a very long text takes time
+in proportion to its length.
+
+Defined results: null text stays null and an empty one empty; repeated rows get equal results; a very long
+text is searched whole; empty tables stay empty; extra columns pass through (``pii`` gets an underscore
+where the table has it). Dates of the years 0001 to 9999 are moved, those of 1800-2199 among themselves;
+a year 0000 is no date.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from .quality import bind
 STEPS = 8
 #: Fixed formats, tried in this order where they start at the same place.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -38,8 +44,8 @@ FORMATS = {
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 #: Cheap, and found in every text that holds one of FORMATS: texts without it are not searched.
 WORTH = "[0-9][0-9()./ -]{5}|@|[A-Z]{2}[0-9]{2}[A-Z0-9]"
-#: Dates 1800-01-01 .. 2199-12-31: 400 years of 146,097 days = 189 x 773.
-FIRST_DAY, DATE_HALVES = "1800-01-01", (189, 773)
+#: Days from 0001-01-01: those of 1800-2199 (146,097 days = 189 x 773) and all others up to 9999-12-31 (3,505,962 = 642 x 5461).
+FIRST_DAY, COMMON_DAY, COMMON_HALVES, OTHER_HALVES = "0001-01-01", 657071, (189, 773), (642, 5461)
 #: Areas 001-899 without 666, groups 01-99, serials 0001-9999.
 SSN_HALVES = (898 * 99, 9999)
 
@@ -151,22 +157,26 @@ def ssn(s: Column, key: str) -> Column:
 
 
 def date(s: Column, key: str) -> Column:
-    """A valid date of 1800-2199 permuted among these 400 years, in its notation (year first, or day first)."""
+    """A valid date permuted in its notation (year first, or day first): of 1800-2199 among these years, others among the others."""
     iso = F.when(s.rlike("^[0-9]{4}-"), s).otherwise(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2)))
     day = F.datediff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    a, b = DATE_HALVES
+    many = COMMON_HALVES[0] * COMMON_HALVES[1]
 
-    def new(d: Column) -> Column:
-        pair = feistel(F.floor(d / b), d % b, F.lit(a), F.lit(b), key, "date")
-        moved = bind(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * b + p["b"]).cast("int")))
-        return bind(
-            moved,
-            lambda m: F.when(s.rlike("^[0-9]{4}-"), F.date_format(m, "yyyy-MM-dd")).otherwise(
-                F.concat(F.date_format(m, "dd"), F.substring(s, 3, 1), F.date_format(m, "MM"), F.substring(s, 6, 1), F.date_format(m, "yyyy"))
-            ),
+    def moved(d: Column, halves: tuple[int, int]) -> Column:
+        a, b = halves
+        return bind(feistel(F.floor(d / b), d % b, F.lit(a), F.lit(b), key, "date"), lambda p: p["a"] * b + p["b"])
+
+    def place(d: Column) -> Column:
+        common = bind(d - COMMON_DAY, lambda x: moved(x, COMMON_HALVES) + COMMON_DAY)
+        other = bind(moved(F.when(d < COMMON_DAY, d).otherwise(d - many), OTHER_HALVES), lambda x: F.when(x < COMMON_DAY, x).otherwise(x + many))
+        return F.when((d >= COMMON_DAY) & (d < COMMON_DAY + many), common).otherwise(other)
+
+    def shown(m: Column) -> Column:
+        return F.when(s.rlike("^[0-9]{4}-"), F.date_format(m, "yyyy-MM-dd")).otherwise(
+            F.concat(F.date_format(m, "dd"), F.substring(s, 3, 1), F.date_format(m, "MM"), F.substring(s, 6, 1), F.date_format(m, "yyyy"))
         )
 
-    return bind(day, lambda d: F.when((d >= 0) & (d < a * b), new(d)))
+    return bind(day, lambda d: F.when(d >= 0, bind(F.date_add(F.lit(FIRST_DAY).cast("date"), place(d).cast("int")), shown)))
 
 
 def _mod97(s: Column) -> Column:
@@ -219,11 +229,17 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", found: str
     return out.withColumns({text_col: F.when(some, new).otherwise(text), spare(docs, found): F.filter(F.transform(hits, lambda h: h["kind"]), lambda k: k.isNotNull())}).drop(hits)
 
 
-#: The key of the registered query and the pipeline; a deployment passes its own.
+#: The key where the session names none: for tests and demonstrations, as anyone can read it here.
 DEMO_KEY = "registered-query-key"
+KEY_CONF = "spark.hindcast.pii.key"
+
+
+def key_of(spark: SparkSession) -> str:
+    """The session's secret key: ``spark.hindcast.pii.key``."""
+    return spark.conf.get(KEY_CONF, DEMO_KEY)
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = lambda kind: F.size(F.filter("pii", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
-    return pseudonymised(docs, DEMO_KEY).select("doc_id", *[n(k) for k in FORMATS], F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+    return pseudonymised(docs, key_of(spark)).select("doc_id", *[n(k) for k in FORMATS], F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")

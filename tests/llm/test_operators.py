@@ -467,6 +467,123 @@ def test_each_format_alone_in_a_text(spark):
         assert bare.text != v and inside.text == f"born {bare.text} in Rome" and beside.text.startswith(f"{inside.text}, mail "), v
 
 
+class Plain:
+    """Pseudonyms one text at a time, by the definitions."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def feistel(self, a, b, m, n, kind):
+        noise = lambda k, half: int(hashlib.sha256(f"{self.key}|{kind}|{k}|{half}".encode()).hexdigest()[:15], 16)
+        for k in range(8):
+            a, b = ((a + noise(k, b) % m) % m, b) if k % 2 == 0 else (a, (b + noise(k, a) % n) % n)
+        return a, b
+
+    def digits(self, d, kind):
+        h = len(d) // 2
+        a, b = self.feistel(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), kind)
+        return f"{a:0{h}d}{b:0{len(d) - h}d}"
+
+    def remask(self, s, d):
+        it = iter(d)
+        return "".join(next(it) if c.isascii() and c.isdigit() else c for c in s)
+
+    def email(self, s):
+        h = hashlib.sha256(f"{self.key}|email|{s.lower()}".encode()).hexdigest()[:16]
+        return h.translate(str.maketrans("0123456789abcdef", "ghjkmnpqrstvwxyz")) + "@example.org"
+
+    def iban(self, s):
+        mod = lambda x: int("".join(str(int(c, 36)) for c in x)) % 97
+        d = re.sub("[^0-9]", "", s[4:])
+        if mod(s[4:] + s[:4]) != 1 or len(d) < 2 or not 2 <= int(s[2:4]) <= 98:
+            return None
+        body = self.remask(s[4:], self.digits(d, "iban"))
+        return f"{s[:2]}{98 - mod(body + s[:2] + '00'):02d}{body}"
+
+    def date(self, s):
+        import datetime
+
+        first = s[4] == "-"
+        try:
+            day = (datetime.date.fromisoformat(s if first else f"{s[6:]}-{s[3:5]}-{s[:2]}")).toordinal() - 1
+        except ValueError:
+            return None
+        lo, many = datetime.date(1800, 1, 1).toordinal() - 1, 146097
+        if lo <= day < lo + many:
+            a, b = self.feistel((day - lo) // 773, (day - lo) % 773, 189, 773, "date")
+            day = lo + a * 773 + b
+        else:
+            x = day if day < lo else day - many
+            a, b = self.feistel(x // 5461, x % 5461, 642, 5461, "date")
+            day = a * 5461 + b
+            day += many if day >= lo else 0
+        d = datetime.date.fromordinal(day + 1)
+        y = f"{d.year:04d}"
+        return f"{y}-{d:%m-%d}" if first else f"{d:%d}{s[2]}{d:%m}{s[5]}{y}"
+
+    def ssn(self, s):
+        area, group, serial = int(s[:3]), int(s[4:6]), int(s[7:])
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        areas = [x for x in range(1, 900) if x != 666]
+        a, b = self.feistel(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+        return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+    def phone(self, s):
+        d = re.sub("[^0-9]", "", s)
+        return self.remask(s, d[:-10] + self.digits(d[-10:], "phone")) if 7 <= len(d) <= 15 else None
+
+    def ip(self, s):
+        o = list(map(int, s.split(".")))
+        if max(o) > 255:
+            return None
+        return ".".join(str(x) for h in self.feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip") for x in divmod(h, 256))
+
+    def card(self, s):
+        d = re.sub("[^0-9]", "", s)
+        if not luhn(d):
+            return None
+        body = d[0] + self.digits(d[1:-1], "card")
+        return self.remask(s, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    def text(self, t):
+        kinds = []
+
+        def one(m):
+            for kind, pattern in pii.FORMATS.items():
+                if re.fullmatch(pattern, m[0]) and (new := getattr(self, kind)(m[0])) is not None:
+                    kinds.append(kind)
+                    return new
+            return m[0]
+
+        return (re.sub(pii.ANY, one, t, flags=re.ASCII), kinds) if t is not None else (None, [])
+
+
+def test_pseudonyms_equal_the_plain_version(spark):
+    r, texts = random.Random(4), [t for _, t in PII] + [t for _, t in TEXTS]
+    values = [v for vs in ALONE.values() for v in vs] + [
+        "0001-01-01", "9999-12-31", "1799-12-31", "2200-01-01", "01.01.1800", "31/12/2199", "2024-02-29", "2023-02-29", "0000-01-01", "29.02.1900", "899-99-9999", "667-01-0001", "999.1.1.1", "..j.d@x.org", "a@b", "a@b.c.d.ee",
+        "12345678901234567", "GB82WEST12345698765432", "GB83WEST12345698765432", "+62 21 5551 2345", "0.0.0.0", "255.255.255.255",
+    ]
+    texts += values + [" ".join(r.choices([*values, "x", "é日", "no. 5", "12", "(", ")", "\n"], k=12)) for _ in range(150)]
+    rows = pii.pseudonymised(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3), "k").collect()
+    plain = Plain("k")
+    for x in rows:
+        assert (x.text, x.pii) == plain.text(texts[x.doc_id]), texts[x.doc_id]
+    moved = {pii_text for v in ("0001-01-01", "9999-12-31", "1799-12-31", "2200-01-01") for pii_text in [plain.text(v)[0]]}
+    assert len(moved) == 4 and not moved & set(values)
+
+
+def test_very_long_matches_and_hosts(spark):
+    """Neither a host of a million labels nor a megabyte of one class ends the JVM or takes long."""
+    import time
+
+    rows = ["a@" + "b." * 500_000, "a@" + "b" * 1_000_000 + ".org", "a." * 500_000 + "@b.org", "1" * 1_000_000, "+1 " * 300_000, "AB12" * 250_000, "1.1" * 300_000, "x" * 1_000_000 + " a@b.org"]
+    began = time.monotonic()
+    out = pii.pseudonymised(spark.createDataFrame([(t,) for t in rows], "text string"), "k").select(F.length("text").alias("n"), "pii").collect()
+    assert time.monotonic() - began < 60 and out[-1].pii == ["email"]
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(13 * 7).select(pii.feistel(F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(13), F.lit(7), "k", "t").alias("p")).distinct()
     assert out.count() == 91
