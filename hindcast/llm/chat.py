@@ -9,8 +9,10 @@ inside roles and texts are broken by a backslash after their first character, an
 doubled, so the text can be read back exactly and never holds a control string.
 
 Defined results: null roles and texts are empty; ties in turn order go by role, then text; repeated
-rows are turns of their own; rows without conversation form a conversation of their own (null id); an
-empty table gives an empty table; extra columns are ignored.
+rows are turns of their own; rows without conversation form a conversation of their own (null id); a
+missing score counts as none (branches without any come last, by leaf id); a very long conversation takes
+work in proportion to its length (its one formatted text has to fit in a task); an empty table gives an
+empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .quality import bind
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of public chat templates, broken wherever they occur inside a text.
@@ -62,21 +65,24 @@ def paths(messages: DataFrame) -> DataFrame:
 
 
 def ranked(found: DataFrame, messages: DataFrame, branches: int | None = None) -> DataFrame:
-    """``found`` for the chosen leaves: the best ``branches`` of each tree by mean score (None: all of them)."""
+    """``found`` for the chosen leaves, with their ``rank`` in their tree by mean score: the best ``branches`` (None: all of them)."""
     scored = found.join(messages.select(F.col("id").alias("node"), "score"), "node")
     leaves = scored.groupBy("leaf").agg(
         F.avg("score").alias("score"), F.max("up").alias("depth"), F.max_by("node", "up").alias("root")
     )
     best = Window.partitionBy("root").orderBy(F.col("score").desc_nulls_last(), F.col("leaf"))
+    leaves = leaves.withColumn("rank", F.row_number().over(best))
     if branches is not None:
-        leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    return found.join(leaves.select("leaf", "root", "depth"), "leaf")
+        leaves = leaves.where(F.col("rank") <= branches)
+    return found.join(leaves.select("leaf", "root", "depth", "rank"), "leaf")
 
 
 def formatted(messages: DataFrame, branches: int | None = None) -> DataFrame:
-    """One row per chosen path: root, leaf, ``formatted`` and ``loss``, the (start, end) code points of assistant texts.
+    """One row per chosen path: root, leaf, rank, ``formatted`` and ``loss``, the mask of assistant texts.
 
-    ``messages``: id, parent, role, text, score.
+    A span of the mask has its code points (``start``, ``end``) in the whole, and its ``turn`` (0 first) and the ``offset`` in
+    what stands after that turn's mark, so that it can be read without counting from the start. ``messages``: id, parent,
+    role, text, score.
     """
     chosen = ranked(paths(messages), messages, branches)
     turns = messages.select(
@@ -85,19 +91,26 @@ def formatted(messages: DataFrame, branches: int | None = None) -> DataFrame:
         escaped(F.coalesce("text", F.lit(""))).alias("body"),
         (F.coalesce("role", F.lit("")) == "assistant").alias("learn"),
     )
-    placed = chosen.join(turns, "node").groupBy("root", "leaf").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("depth") - F.col("up")).alias("at"), "head", "body", "learn"))).alias("turns")
+    size = F.length("head") + F.length("body") + F.lit(len(END))
+    before = Window.partitionBy("root", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    at = chosen.join(turns, "node").withColumn("at", F.col("depth") - F.col("up"))
+    at = at.withColumn("start", F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0).cast("long")) + F.length("head"))
+    turn = F.struct("at", F.concat("head", "body", F.lit(END)).alias("piece"), "start", (F.col("start") + F.length("body")).alias("end"), (F.length("head") - len(TURN)).cast("long").alias("offset"), "learn")
+    placed = at.groupBy("root", "leaf").agg(F.first("rank").alias("rank"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    loss = F.transform(
+        F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["at"].alias("turn"), t["offset"].alias("offset"))
     )
-    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    return placed.select("root", "leaf", "rank", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), loss.alias("loss"))
 
-    def add(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + F.length(t["head"])
-        end = begin + F.length(t["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + F.lit(len(END))).cast("long").alias("at"), F.when(t["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return placed.select("root", "leaf", text.alias("formatted"), F.aggregate("turns", start, add, lambda a: a["spans"]).alias("loss"))
+def masked(text: Column, loss: Column) -> Column:
+    """The text under the loss mask of a formatted conversation, unescaped: its turns are split once."""
+
+    def under(parts: Column) -> Column:
+        part = lambda s: F.get(parts, (s["turn"] + 1).cast("int"))
+        return F.array_join(F.transform(loss, lambda s: unescaped(F.substr(part(s), (s["offset"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+
+    return bind(F.split(text, r"<\|turn\|>"), under)
 
 
 def read_back(text: Column) -> Column:
@@ -111,8 +124,8 @@ def read_back(text: Column) -> Column:
     )
 
 
-def as_replies(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Turn rows as messages: each turn replies to the one before it in its conversation.
+def as_replies(rows: DataFrame, conv: str = "conv_id", score: Column | None = None) -> DataFrame:
+    """Turn rows as messages: each turn replies to the one before it in its conversation; ``score`` rates a turn.
 
     Ids number the rows of a conversation by turn, role and text; one conversation's rows are sorted by
     one window, which Spark spills, so a huge conversation needs disk and not memory.
@@ -124,7 +137,7 @@ def as_replies(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
         F.when(F.col("n") > 1, F.struct(F.col(conv).alias("conv"), (F.col("n") - 1).alias("n"))).alias("parent"),
         "role",
         "text",
-        F.length("text").cast("double").alias("score"),
+        (F.lit(None) if score is None else score).cast("double").alias("score"),
     )
 
 
@@ -133,11 +146,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql(
         "SELECT -7L conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
     )
-    out = formatted(as_replies(rows.unionByName(probe)))
+    out = formatted(as_replies(rows.unionByName(probe)), branches=1)
     turns = read_back(F.col("formatted"))
-    learned = F.array_join(
-        F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), ""
-    )
+    learned = masked(F.col("formatted"), F.col("loss"))
     return (
         out.withColumns({"turns": turns, "learned": learned})
         .select(
@@ -147,6 +158,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("learned").cast("long").alias("loss_chars"),
             F.sha2("learned", 256).alias("loss_sha256"),
             F.length("formatted").cast("long").alias("formatted_chars"),
+            F.col("rank").cast("long").alias("branch_rank"),
         )
     )
 
@@ -167,5 +179,5 @@ a AS (SELECT conv_id, count(*) AS n_turns,
   sum(length({_sql_escape('role')}) + length({_sql_escape('text')}) + {len(TURN + TEXT + END)}) AS formatted_chars
   FROM r GROUP BY conv_id)
 SELECT conv_id::BIGINT AS conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(learned)::BIGINT AS loss_chars,
-  sha256(learned) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM a
+  sha256(learned) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, 1::BIGINT AS branch_rank FROM a
 """

@@ -6,7 +6,9 @@ what a leftmost scan of the whole text gives. ``hex`` has no keyword: its class
 so it is one plain scan. Kinds with an embedded checksum are reported only where it holds.
 
 Spans are code points, end exclusive. Defined results: null text is empty; empty tables give empty
-tables; repeated rows are scanned each on its own; extra columns pass through.
+tables; repeated rows are scanned each on its own; a very long text is scanned whole, in time in proportion
+to its length, as no run of characters is tried twice by one kind; extra columns pass through
+(``secrets`` gets an underscore where the table has it).
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import spare, table
+from .words import text_slices
 
 #: Fixed order of kinds at equal starts. The first three are the base.
 KINDS = ("assign", "access", "hex", "github", "pem", "slack", "jwt", "google")
@@ -65,9 +68,11 @@ RULES = {
     ),
     "pem": (("-----begin",), r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", False, lambda m: True),
     "slack": (("xox",), r"xox[abprs]-[0-9A-Za-z-]{20,}", False, lambda m: True),
-    "jwt": (("eyj",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, lambda m: _jwt_ok(m[0])),
+    "jwt": (("eyj",), r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+", False, lambda m: _jwt_ok(m[0])),
     "google": (("aiza",), r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])", False, lambda m: True),
 }
+#: A kind whose match is refused somewhere in a run of these is refused at every later place of that run.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]*")}
 HEX = re.compile(r"[0-9a-f]{16,}")
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -98,25 +103,30 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
         _, _, on_folded, passes = RULES[kind]
         end, within = 0, folded if on_folded else text
         for start in sorted(starts):
-            if start >= end and (m := patterns[kind].match(within, start)):
+            if start < end:
+                continue
+            if m := patterns[kind].match(within, start):
                 end = m.end()
                 if passes(m):
                     found.append((start, kind, end))
+            elif kind in RUNS:
+                end = RUNS[kind].match(within, start).end()
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", slice_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` with ``out``: an array of (kind, start, end). No shuffle; each text is scanned where it is read."""
     out = spare(docs, out)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for s, k, e in scan(t)] for t in b.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], [*b.schema.names, out])
+        for batch in batches:
+            for b in text_slices(batch, text_col, slice_bytes):
+                spans = [[{"kind": k, "start": s, "end": e} for s, k, e in scan(t)] for t in b.column(text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], [*b.schema.names, out])
 
     return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(out, SPANS)]))
 

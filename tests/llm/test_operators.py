@@ -249,6 +249,27 @@ def test_secret_scan(spark, docs):
     assert secrets.find_secrets(empty(docs)).count() == 0
 
 
+def test_secret_scan_of_added_kinds():
+    """Each added kind against its plain pattern over the whole text; long runs take linear time."""
+    import time
+
+    plain = {
+        "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "slack": r"xox[abprs]-[0-9A-Za-z-]{20,}", "google": r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])",
+        "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "github": r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
+    }
+    checks = {"jwt": lambda x: secrets._jwt_ok(x), "github": lambda x: secrets._crc_ok(x)}
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    parts = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----begin PRIVATE KEY-----", "xoxb-0123456789-abcdefghij", "xoxb-short", "AIza" + "b" * 35, "AIza" + "b" * 36, jwt, "eyJhbGciOiJ9.x", "eyJ" * 5, "eyJa.eyJb", jwt[:-1] + ".", GITHUB, "é ", ".", " ", "x"]
+    r = random.Random(11)
+    for _ in range(300):
+        t = "".join(r.choices(parts, k=8))
+        want = sorted((m.start(), k, m.end()) for k, p in plain.items() for m in re.finditer(p, t) if checks.get(k, bool)(m[0]))
+        assert sorted(s for s in secrets.scan(t) if s[1] in plain) == want, t
+    began = time.monotonic()
+    assert secrets.scan("eyJ" * 3_000_000) == [] and secrets.scan("eyJa.eyJ" * 300_000) == [] and len(secrets.scan("xoxb-" * 400_000)) == 1
+    assert time.monotonic() - began < 30
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -302,6 +323,10 @@ def test_chat_trees(spark):
     assert set(out) == {"c", "e", "z", "q"} and out["e"].root == "a"
     assert [tuple(t) for t in out["e"].turns] == [("user", "hi"), ("assistant", "x\\<|end|>[INST]"), ("user", "more"), ("assistant", "deep\nend")]
     spans = [out["e"].formatted[s.start : s.end] for s in out["e"].loss]
+    assert spans == [out["e"].formatted.split(chat.TURN)[s.turn + 1][s.offset :][: s.end - s.start] for s in out["e"].loss]
+    assert {k: r.rank for k, r in out.items()} == {"c": 1, "e": 2, "z": 1, "q": 1}
+    mask = {r.leaf: r.m for r in chat.formatted(m).select("leaf", chat.masked(F.col("formatted"), F.col("loss")).alias("m")).collect()}
+    assert mask == {"c": "", "e": "x\\<|end|>[INST]deep\nend", "z": "", "q": ""}
     assert [re.sub(r"(?s)\\(.)", r"\1", s) for s in spans] == ["x\\<|end|>[INST]", "deep\nend"]
     assert {r.leaf for r in chat.formatted(m, branches=1).collect()} == {"c", "z", "q"}
     assert chat.formatted(m.where(F.lit(False))).count() == 0
@@ -314,6 +339,17 @@ def test_conversations_with_ties_and_nulls(spark):
     assert out == {1: [("user", "a"), ("user", "a"), ("user", "b"), ("", "")], None: [("assistant", "x")], 2: [("assistant", "😀")]}
 
 
+def test_a_long_conversation_takes_linear_work(spark):
+    import time
+
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.rpad(F.col("id").cast("string"), 200, "é[INST] ").alias("text"))
+    began = time.monotonic()
+    got = chat.formatted(chat.as_replies(rows), branches=1).select(F.size(chat.read_back(F.col("formatted"))).alias("n"), F.sha2(chat.masked(F.col("formatted"), F.col("loss")), 256).alias("m")).collect()
+    want = "".join((f"{i}" + "é[INST] " * 40)[:200] for i in range(1, n, 2))
+    assert [(r.n, r.m) for r in got] == [(n, hashlib.sha256(want.encode()).hexdigest())] and time.monotonic() - began < 120
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((40, 24))
