@@ -53,6 +53,8 @@ CELL = 8
 SAMPLE, OFTEN, OFTEN_BITS = 32, 1 << 20, 26
 #: Bitmaps of single documents and of leaves have a power of two of bits, at least 64 and at most MOST_BITS.
 MOST_BITS, FOLDS = 1 << 20, 4
+#: Ids that may be broadcast (about 32 MB as a hash relation).
+BROADCAST_ROWS = 1_000_000
 #: Rows of node pairs that a task holds before it adds up and sends them on.
 HELD = 1 << 19
 
@@ -303,10 +305,13 @@ def pair_links(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int
     """Links (a, b) between the documents of node pairs (cell, a, b); ``members``: (node, doc, comp, n); ``docs``: (doc, text).
 
     A cell's nodes meet in one task, each with its texts once; cells are dealt in groups of a bounded number of tokens.
+    Up to BROADCAST_ROWS ids are broadcast, so that other texts are not shuffled; beyond that all texts are.
     """
     asked = pairs.select("cell", F.col("a").alias("node")).unionByName(pairs.select("cell", F.col("b").alias("node"))).distinct()
     sent = written(asked.join(members, "node").select("cell", "node", "doc", "comp", "n"), "sent")
-    tokens = sent.agg(F.sum("n")).first()[0] or 0
+    tokens, rows = sent.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if rows <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(sent.select("doc").distinct()), "doc", "left_semi")
     g = F.pmod(F.xxhash64("cell", F.lit(3)), F.lit(max(2 * partitions(docs.sparkSession), tokens >> 19)))
     full = sent.join(docs, "doc").select(g.alias("g"), "cell", "node", "doc", "comp", "text")
     wanted = pairs.select(g.alias("g"), "cell", "a", "b")
