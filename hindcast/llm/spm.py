@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -346,6 +345,7 @@ class Units(dict):
 
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _WORKER: dict[tuple, Pieces] = {}
+_OUTPUTS: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def pieces_of(path: str, bpe: bool | None = None) -> Pieces:
@@ -365,19 +365,19 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids
     text = F.col(text_col)
     out, key = spare(docs, out), spare(docs, "key")
     giant = F.coalesce(F.length(text) > chunk_chars, F.lit(False))
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in docs.columns) + f", `{out}` array<int>"
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = pieces_of(model, bpe)
-        for batch in batches:
-            for b in text_slices(batch, text_col, slice_bytes):
-                raw = p.encode(b.column(text_col).to_pylist())
+        for column in columns:
+            parts = []
+            for b in text_slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", slice_bytes):
+                raw = p.encode(b.column(0).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(raw), np.int32))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*b.schema.names, out])
+                parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32))))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    small = docs.where(~giant).mapInArrow(each, schema)
+    small = docs.where(~giant).withColumn(out, ids_of(text))
     large = docs.where(giant).withColumn(key, F.sha2(text, 256))
     ids = giant_ids(large.select(F.col(key).alias("key"), text.alias("text")).dropDuplicates(["key"]), model, chunk_chars, bpe)
     large = large.join(ids.select(F.col("key").alias(key), F.col("ids").alias(out)), key, "left").select(*docs.columns, out)
@@ -557,26 +557,32 @@ def chunk_trace(p: Pieces, text: str, lo: int, hi: int, entry: tuple[int, int],
 def decoded(rows: DataFrame, model: str, ids_col: str | None = None, out: str = "decoded", slice_ids: int = 1 << 18) -> DataFrame:
     """``rows`` with ``out``: the text of the ids (null where the ids are null) in ``ids_col``, the last column if it is not given."""
     ids_col, out = ids_col or rows.columns[-1], spare(rows, out)
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in rows.columns) + f", `{out}` string"
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces_of(model)
-        size = np.array([len(x) for x in p.output], np.int64)
-        start = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(p.output), np.uint8)
-        for batch in batches:
-            for b in text_slices(batch, ids_col, slice_ids):
-                lists = b.column(ids_col)
+    @F.arrow_udf("string")
+    def text_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        start, size, pool = outputs_of(model)
+        for column in columns:
+            parts = []
+            for b in text_slices(pa.RecordBatch.from_arrays([column], ["ids"]), "ids", slice_ids):
+                lists = b.column(0)
                 ids = np.asarray(pc.list_flatten(lists))
                 ends = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))))
                 data, offsets = gather(pool, start[ids], size[ids])
                 raw, at = data.tobytes(), offsets[ends]
                 texts = [raw[x + 1 : y].decode("utf-8", "replace") if y > x else "" for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                text = pc.if_else(pc.is_valid(lists), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, out])
+                parts.append(pc.if_else(pc.is_valid(lists), pa.array(texts, pa.string()), pa.scalar(None, pa.string())))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return rows.withColumn(out, text_of(F.col(ids_col)))
+
 
-    return rows.mapInArrow(each, schema)
+def outputs_of(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each id's bytes start, their number, and the bytes of all ids."""
+    if path not in _OUTPUTS:
+        output = Pieces(path).output
+        size = np.array([len(x) for x in output], np.int64)
+        _OUTPUTS[path] = np.cumsum(size) - size, size, np.frombuffer(b"".join(output), np.uint8)
+    return _OUTPUTS[path]
 
 
 def public_model(name: str = "piece_bpe_32k.model") -> str:
@@ -586,17 +592,10 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its ids' number and CRC-32 (little-endian 32-bit), and whether decoding them gives the text."""
+    """Per document: its ids' number and SHA-256 (decimal, joined by commas), and whether decoding them gives the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = decoded(encoded(docs, public_model()), public_model())
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in text_slices(batch, "ids", 1 << 20):
-                lists = b.column("ids")
-                flat, n = np.asarray(pc.list_flatten(lists), "<i4"), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-                end = np.cumsum(n)
-                crc = [zlib.crc32(flat[z - k : z].tobytes()) for z, k in zip(end.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(crc, pa.int64()), pc.equal(pc.fill_null(b.column("text"), ""), b.column("decoded"))], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
-
-    return both.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        (F.coalesce("text", F.lit("")) == F.coalesce("decoded", F.lit(""))).alias("round_trip"),
+    )

@@ -8,13 +8,16 @@ windows are sorted by hash, and equal hashes are compared byte by byte.
 
 Skew. Equal strings of one input slice are met there: all but those of the smallest document are
 judged on the spot and not shipped, so copies do not pile up. Minimisers that a sample shows to fill
-more than a bucket's share are split: their windows travel singly, by the hash of the window. The
-sample decides only where windows meet, never a result.
+more than a bucket's share are split: their windows travel singly, by the hash of the window. Of these a
+task remembers up to REMEMBERED with the smallest document it has met, and judges later ones against it, so
+a window that every document holds is shipped a few times by a task and not once by each slice. The sample
+decides only where windows meet, never a result. The number of buckets follows the bytes of the texts.
 
 Defined results: null text has no words; rows without a document id are kept whole and remove nothing;
 repeated rows (same id and text) get the same result; rows with one id and different texts are judged
-apart (told apart by a 16-bit hash of the text); ties do not arise, as only smaller ids count; an empty
-table gives an empty table; extra columns pass through.
+apart (the texts of such an id are numbered); ties do not arise, as only smaller ids count; a very long
+text is one slice of its task, whose memory is in proportion to it; an empty table gives an empty table;
+extra columns pass through, and a new column gets underscores where the table has its name.
 """
 
 from __future__ import annotations
@@ -26,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, spare, table
+from .common import partitions, spare, table, written
 from .words import Words, blocks, gather, grams, mix, text_bytes, text_slices, whole, words_of
 
 WIDTH = 13
 PAIR = 2
 LONGEST = 64
+BUCKET_BYTES = 6 << 20
+REMEMBERED = 100_000
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -62,18 +67,18 @@ def equal_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarra
     return same
 
 
-def super_kmers(w: Words, width: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, key) of each super-k-mer of the texts in ``w``."""
+def super_kmers(w: Words, width: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, key, does it travel singly) of each super-k-mer of the texts in ``w``."""
     n = len(w.start) - width + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty.astype(bool)
     h = w.hashes()
     least = sliding_min(grams(h, PAIR), width - PAIR + 1)[:n]
     ok = whole(w.first, len(w.start), width)[:n]
     cut = ok.copy()
     cut[1:] &= ~(ok[:-1] & (least[1:] == least[:-1]))
-    key = least
+    key, single = least, np.zeros(n, bool)
     if len(hot):
         single = ok & np.isin(least, hot)
         if single.any():
@@ -83,9 +88,9 @@ def super_kmers(w: Words, width: int, hot: np.ndarray) -> tuple[np.ndarray, np.n
     cut |= ok & ((np.arange(n) - begun) % LONGEST == 0)
     first = np.flatnonzero(cut)
     if not len(first):
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty.astype(bool)
     count = np.add.reduceat(ok, first, dtype=np.int64)
-    return first, count, key[first]
+    return first, count, key[first], single[first]
 
 
 def _doc_of(w: Words, word: np.ndarray) -> np.ndarray:
@@ -111,14 +116,14 @@ def _unblob(blob: bytes, dtypes: dict[int, tuple]) -> tuple[int, list[np.ndarray
 
 
 #: Blob kinds: 0 strings (id steps, tag, first window, windows, bytes of the string; the strings), 1 ranges already judged.
-_TYPES = {0: (np.int64, np.uint16, np.int32, np.uint8, np.int32, np.uint8), 1: (np.int64, np.uint16, np.int32, np.int32)}
+_TYPES = {0: (np.int64, np.int32, np.int32, np.uint8, np.int32, np.uint8), 1: (np.int64, np.int32, np.int32, np.int32)}
 
 
-def _shipped(batch: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _shipped(batch: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met: dict[int, tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     ids = np.asarray(batch.column(0), np.int64)
-    tags = np.asarray(batch.column(1), np.int64).astype(np.uint16)
+    tags = np.asarray(batch.column(1), np.int32)
     w = words_of(*text_bytes(batch.column(2)))
-    first, count, key = super_kmers(w, width, hot)
+    first, count, key, single = super_kmers(w, width, hot)
     if not len(first):
         return
     packed, word_at = w.joined()
@@ -135,6 +140,12 @@ def _shipped(batch: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray) -
     equal = equal_bytes(packed, begin[a], begin[b], size[a], size[b])
     judged = np.zeros(len(first), bool)
     judged[a[equal]] = True
+    for k in np.flatnonzero(single & ~judged).tolist():  # windows of hot minimisers: against the smallest document met so far
+        own, name, window = int(ids[doc[k]]), int(same[k]), packed[begin[k] : begin[k] + size[k]].tobytes()
+        least, known = met.get(name, (own, window))
+        judged[k] = known == window and own > least
+        if known == window and (name in met or len(met) < REMEMBERED):
+            met[name] = (min(own, least), window)
     bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
     if judged.any():
         j = np.flatnonzero(judged)
@@ -218,13 +229,15 @@ def _judge(group: pa.Table, width: int) -> pa.Table:
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, slice_bytes: int = 4 << 20) -> DataFrame:
     """(d, t, a, b): word ranges a..b-1 that repeated windows cover; ``docs`` is id, tag, text without null ids."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * partitions(spark)
     names = docs.columns
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(names[2]))).first()[0] or 0
+        buckets = max(4 * partitions(spark), -(-size // BUCKET_BYTES))
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_slices(batch, names[2], slice_bytes):
-                _, _, key = super_kmers(words_of(*text_bytes(b.column(2))), width, np.zeros(0, np.uint64))
+                _, _, key, _ = super_kmers(words_of(*text_bytes(b.column(2))), width, np.zeros(0, np.uint64))
                 value, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], ["key", "n"])
 
@@ -235,38 +248,55 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, buckets: int | None = N
     hot = np.sort(np.array([r["key"] for r in counts.join(F.broadcast(share), F.col("n") > F.col("least")).select("key").collect()], np.int64).astype(np.uint64))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, tuple[int, bytes]] = {}
         for batch in batches:
             for b in text_slices(batch, names[2], slice_bytes):
-                rows = list(_shipped(b, width, buckets, hot))
+                rows = list(_shipped(b, width, buckets, hot, met))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
     return docs.mapInArrow(ship, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _judge(t, width), "d long, t int, a int, b int")
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFrame:
+    """``docs`` with ``tag``: 0, or a number from 1 on where the rows of one id have different texts."""
+    i, h = spare(docs, "i"), spare(docs, "h")
+    named = docs.withColumns({i: F.col(id_col).cast("long"), h: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    texts = named.where(F.col(i).isNotNull()).select(F.col(i).alias("i"), F.col(h).alias("h")).distinct()
+    many = texts.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i")
+    tags = written(texts.join(many, "i", "left_semi").withColumn("t", F.row_number().over(Window.partitionBy("i").orderBy("h"))), "tags")
+    if not tags.limit(1).count():
+        return docs.withColumn(tag, F.lit(0))
+    tags = tags.select(*[F.col(c).alias(f"__{tag}{c}") for c in ("i", "h", "t")])
+    joined = named.join(tags, (F.col(i) == F.col(f"__{tag}i")) & (F.col(h) == F.col(f"__{tag}h")), "left")
+    return joined.select(*docs.columns, F.coalesce(F.col(f"__{tag}t"), F.lit(0)).alias(tag))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, prefix: str = "", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and, with ``keep_text``, kept_text (kept words joined by one space)."""
     tag, packed = spare(docs, "tag"), spare(docs, "packed")
-    tagged = docs.withColumn(tag, F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 16)).cast("int"))
+    tagged = numbered(docs, id_col, text_col, tag)
     ranges = repeated_ranges(tagged.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(tag).alias("t"), F.col(text_col).alias("x")), width)
-    gathered = ranges.groupBy("d", "t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     others = [c for c in docs.columns if c != text_col]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             small = pa.array([None if t is None else z.compress(t.encode()) for t in b.column(text_col).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in [*others, tag]], small], [*others, tag, packed])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in [*others, tag]], small], [*[f"c{i}" for i in range(len(others))], "tag", "packed"])
 
     types = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in others], f"`{tag}` int", f"`{packed}` binary"])
+    schema = ", ".join([*[f"c{i} {types[c]}" for i, c in enumerate(others)], "tag int", "packed binary"])
     small = tagged.select(*others, tag, text_col).mapInArrow(pack, schema)
-    joined = small.join(gathered, (F.col(id_col) == F.col("d")) & (F.col(tag) == F.col("t")), "left")
-    joined = joined.select(*[small[c].alias(f"c{i}") for i, c in enumerate(others)], F.col(packed).alias("packed"), F.col("a").alias("a"), F.col("b").alias("b"))
-    found = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+    gathered = ranges.groupBy("d", "t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    joined = small.join(gathered, (F.col(f"c{others.index(id_col)}") == F.col("d")) & (F.col("tag") == F.col("t")), "left").drop("d", "t", "tag")
+    taken, found = docs, []
+    for name in ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text:
+        found.append(spare(taken, f"{prefix}{name}"))
+        taken = taken.withColumn(found[-1], F.lit(None))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for x in batches for b in text_slices(x, "packed", 1 << 20)):
             n_words, n_removed, digests, texts = [], [], [], []
             z = zstandard.ZstdDecompressor()
             plain = [None if t is None else z.decompress(t) for t in batch.column("packed").to_pylist()]
@@ -293,12 +323,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cols += [pa.array(plain, pa.binary()).cast(pa.string())]
             if keep_text:
                 cols.append(pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, [*[f"c{i}" for i in range(len(others))], *found[:3], "original", *found[3:]])
+            yield pa.RecordBatch.from_arrays(cols, [*[f"c{i}" for i in range(len(others))], "f0", "f1", "f2", "original", *["f3"] * keep_text])
 
-    schema = ", ".join([*[f"c{i} {types[c]}" for i, c in enumerate(others)], "n_words long, n_removed long, kept_sha256 string, original string", *["kept_text string"] * keep_text])
+    schema = ", ".join([*[f"c{i} {types[c]}" for i, c in enumerate(others)], "f0 long, f1 long, f2 string, original string", *["f3 string"] * keep_text])
     done = joined.mapInArrow(finish, schema)
     place = {c: f"c{i}" for i, c in enumerate(others)} | {text_col: "original"}
-    return done.select(*[F.col(place[c]).alias(c) for c in docs.columns], *[F.col(f).alias(f"{prefix}{f}") for f in found])
+    return done.select(*[F.col(place[c]).alias(c) for c in docs.columns], *[F.col(f"f{k}").alias(name) for k, name in enumerate(found)])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

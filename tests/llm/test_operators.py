@@ -66,6 +66,30 @@ def test_substring_dedup(spark, docs):
     assert got.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256", "kept_text"]
     assert collections.Counter((r.doc_id, r.text, r.n_words, r.n_removed, r.kept_sha256, r.kept_text, r.packed) for r in got.collect()) == want
     assert substring.without_repeats(empty(docs)).count() == 0
+    names = ["a", "b", "d", "t", "c0", "c1", "f0", "tag", "original", "n_words", "n_removed", "kept_sha256", "kept_text", "_n_removed", "i", "h", "x"]
+    clash = substring.without_repeats(docs.withColumns({c: F.lit(c) for c in names if c != "packed"}))
+    assert clash.columns[-4:] == ["_n_words", "__n_removed", "_kept_sha256", "_kept_text"] and clash.where("n_words <> 'n_words' or a <> 'a' or f0 <> 'f0'").count() == 0
+    assert collections.Counter((r.doc_id, r.text, r._n_words, r["__n_removed"], r._kept_sha256, r._kept_text, "clash") for r in clash.collect()) == want
+
+
+def test_windows_of_hot_minimisers(spark):
+    """A passage that every document holds travels singly; small slices make a task meet it many times."""
+    r = random.Random(6)
+    rows = [(i, f"{text(i, r.randrange(0, 9))} {PASSAGE} {text(1000 + i, r.randrange(0, 9))}") for i in r.sample(range(400), 400)]
+    df = spark.createDataFrame(rows, "d long, x string").select("d", F.lit(0).alias("t"), "x").repartition(3)
+    found = substring.repeated_ranges(df, buckets=2, slice_bytes=2000).collect()
+    cover = collections.defaultdict(set)
+    for x in found:
+        cover[x.d].update(range(x.a, x.b))
+    seen = collections.defaultdict(lambda: math.inf)
+    windows = [(i, k, tuple(t.split()[k : k + 13])) for i, t in rows for k in range(len(t.split()) - 12)]
+    for i, _, w in windows:
+        seen[w] = min(seen[w], i)
+    want = collections.defaultdict(set)
+    for i, k, w in windows:
+        if seen[w] < i:
+            want[i].update(range(k, k + 13))
+    assert cover == want and len(want) == 399
 
 
 def test_equal_window_hashes_are_told_apart(monkeypatch):
