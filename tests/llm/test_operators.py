@@ -411,14 +411,82 @@ def test_lm_scores(spark, docs):
 
 def test_lm_gradient_and_normalisation():
     r = np.random.default_rng(0)
-    weights, squares = np.zeros((lm.ROWS + 1, lm.CLASSES), np.float32), np.zeros(lm.ROWS + 1, np.float32)
-    rows, cls = r.integers(0, 50, (4000, lm.FEATURES)).astype(np.int32), None
-    cls = (rows[:, 0] % lm.CLASSES).astype(np.int32)
-    before = np.log(lm.class_probabilities(weights, rows)[np.arange(4000), cls]).mean()
-    for _ in range(10):
-        lm.descend(weights, squares, rows, cls, 0.15)
-    p = lm.class_probabilities(weights, rows)
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and np.log(p[np.arange(4000), cls]).mean() > before + 1
+    for rows_most, wide in lm.SHAPES:
+        weights, squares = np.zeros((rows_most, wide), np.float32), np.zeros(rows_most, np.float32)
+        rows = r.integers(0, 50, (lm.FEATURES, 4000)).astype(np.uint16)
+        target = (rows[0] % wide).astype(np.int32)
+        before = np.log(lm.probabilities(weights, rows)[np.arange(4000), target]).mean()
+        for _ in range(10):
+            lm.descend(weights, squares, rows, target, 0.15)
+        p = lm.probabilities(weights, rows)
+        assert np.allclose(p.sum(1), 1, atol=1e-4) and np.log(p[np.arange(4000), target]).mean() > before + 1
+        # one step against the plain gradient, row by row
+        was, size = weights.copy(), squares.copy()
+        lm.descend(weights, squares, rows[:, :50], target[:50], 0.15)
+        plain, sizes = was.astype(float), size.astype(float)
+        g = lm.probabilities(was, rows[:, :50]).astype(float)
+        g[np.arange(50), target[:50]] -= 1
+        for f in range(lm.FEATURES):
+            for row in set(rows[f, :50].tolist()):
+                step = g[rows[f, :50] == row].sum(0)
+                sizes[row] += (step * step).sum() / wide
+                plain[row] -= 0.15 / math.sqrt(sizes[row] + 1e-3) * step
+        assert np.allclose(weights[:-1], plain[:-1], atol=1e-4)
+
+
+def test_lm_score_equals_a_plain_softmax(spark, monkeypatch):
+    """The score against sums of weights word by word, and its probabilities over all words that could come next."""
+    kept = {}
+    fit = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda texts, classes, **more: kept.setdefault("model", (fit(texts, classes, **more), classes))[0])
+    texts = [(i, text(i, 40)) for i in range(60)]
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") % 5 == 0, chunk_bytes=2000).collect()}
+    weights, classes = kept["model"]
+    import pyarrow as pa
+
+    counts = collections.Counter(w for i, t in texts if i % 5 for w in [*t.split(), None])
+    words = sorted({w for _, t in texts for w in t.split()}) + [None]
+    token, suffix, first = lm.tokens_of(pa.array(words[:-1]))
+    code = {w: (token[first[k]], int(classes[suffix[first[k]]])) for k, w in enumerate(words[:-1])} | {None: (token[1], lm.CLASSES - 1)}
+    cell = {w: (c, int(lm.within_of(np.array([t], np.uint64))[0])) for w, (t, c) in code.items()}
+    mass = collections.defaultdict(lambda: 1)
+    for w, n in counts.items():
+        mass[cell[w]] += n + 1
+
+    def softmax(w, rows):
+        z = np.minimum(np.maximum(sum(w[r].astype(float) for r in rows) + w[-1], -30), 30)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def following(history, choices):
+        """Probabilities of ``choices`` after ``history``."""
+        out = []
+        for c in choices:
+            seq = [*[code[w] for w in history], code[c]]
+            rows, own = lm.features(np.array([x[0] for x in seq], np.uint64), np.array([x[1] for x in seq]), np.array([0, len(seq)]))
+            p = softmax(weights[0], rows[:, -1])[cell[c][0]]
+            p *= 1.0 if c is None else softmax(weights[1], own[:, -1])[cell[c][1]]
+            out.append(p * (counts[c] + 1) / mass[cell[c]])
+        return np.array(out)
+
+    for i, t in texts[:8]:
+        seq = [*t.split(), None]
+        assert abs(sum(math.log10(following(seq[:k], [w])[0]) for k, w in enumerate(seq)) - got[i]) < 1e-3 * len(seq)
+    history = texts[0][1].split()[:7]
+    seen = [w for w in words if counts[w]]
+    total = following(history, seen).sum()
+    c1 = np.array([following(history, [w])[0] for w in seen])
+    assert total < 1 and (c1 > 0).all()
+    # one unseen word of each class and hash has the rest
+    seq = [code[w] for w in history]
+    ends = np.array([x[0] for x in seq] + [0], np.uint64)
+    rest = 0.0
+    for c in range(lm.CLASSES):
+        rows, own = lm.features(ends, np.array([x[1] for x in seq] + [c]), np.array([0, len(ends)]))
+        p = softmax(weights[0], rows[:, -1])[c]
+        inner = [(0, 1.0)] if c == lm.CLASSES - 1 else list(enumerate(softmax(weights[1], own[:, -1])))
+        rest += sum(p * q / (mass[cell[None]] if c == lm.CLASSES - 1 else mass[c, k]) for k, q in inner)
+    assert abs(total + rest - 1) < 1e-4
 
 
 def test_sentencepiece(spark, docs):
