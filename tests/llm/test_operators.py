@@ -229,12 +229,18 @@ def test_quality_rules(docs):
     assert out[3, BASE].q_kept and not out[20, "%%% $$$ " * 30].q_kept and not out[16, "SHOUT LOUD " * 15].q_kept
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 1
-    assert quality.judged(empty(docs)).count() == 0
+    assert quality.judged(empty(docs)).count() == 0 and quality.keep_good(empty(docs)).count() == 0
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter((r.doc_id, r.text) for r in quality.judged(docs, prefix="q_").collect() if r.q_kept)
+    names = [*quality.MEASURES, "base_failed", "kept", "w", "_w", "_lines", "_words", "lines", "copy"]
+    clash = docs.withColumns({c: F.lit(c) for c in names})
+    again = {(r.doc_id, r.text): r for r in quality.judged(clash).collect()}
+    assert all(r.n_words == "n_words" and r.kept == "kept" and (r._n_words, r._n_repeat_words, r._base_failed, r._kept) == (o.q_n_words, o.q_n_repeat_words, o.q_base_failed, o.q_kept) for k, r in again.items() for o in [out[k]])
+    assert sorted(str(r.doc_id) for r in quality.keep_good(clash).collect()) == sorted(str(r.doc_id) for r in kept.collect())
 
 
 def test_rule_order_never_changes_a_verdict(docs):
     m = quality.measured(docs)
-    rules = quality.rules(F.col("text"))
+    rules = quality.rules(F.col("text"), quality.names_in(docs))
     orders = [list(rules), list(rules)[::-1]]
     rows = m.select([quality.verdict(rules, o).alias(f"v{i}") for i, o in enumerate(orders)]).collect()
     assert all(r.v0 == r.v1 for r in rows)
