@@ -59,3 +59,13 @@ def spare(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Exchange ``rows`` rows at a time with Python in this session, unless it has a setting of its own.
+
+    Texts and their ids are wide: the default of 10,000 rows keeps tens of megabytes in each buffer between Spark and Python.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)

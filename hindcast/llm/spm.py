@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, spare, table, written
+from .common import partitions, small_batches, spare, table, written
 from .words import gather, text_slices
 
 MARK = "▁"
@@ -45,7 +45,7 @@ NEVER = float("-inf")
 LONG = 64
 BLOCK = 16
 #: Bytes that a worker's cache of solved units, and that of compatible neighbours, may take before it starts anew.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 
 
 class Pieces:
@@ -370,12 +370,10 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids
     def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = pieces_of(model, bpe)
         for column in columns:
-            parts = []
             for b in text_slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", slice_bytes):
                 raw = p.encode(b.column(0).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32))))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
     small = docs.where(~giant).withColumn(out, ids_of(text))
     large = docs.where(giant).withColumn(key, F.sha2(text, 256))
@@ -562,7 +560,6 @@ def decoded(rows: DataFrame, model: str, ids_col: str | None = None, out: str =
     def text_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         start, size, pool = outputs_of(model)
         for column in columns:
-            parts = []
             for b in text_slices(pa.RecordBatch.from_arrays([column], ["ids"]), "ids", slice_ids):
                 lists = b.column(0)
                 ids = np.asarray(pc.list_flatten(lists))
@@ -570,8 +567,7 @@ def decoded(rows: DataFrame, model: str, ids_col: str | None = None, out: str =
                 data, offsets = gather(pool, start[ids], size[ids])
                 raw, at = data.tobytes(), offsets[ends]
                 texts = [raw[x + 1 : y].decode("utf-8", "replace") if y > x else "" for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                parts.append(pc.if_else(pc.is_valid(lists), pa.array(texts, pa.string()), pa.scalar(None, pa.string())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+                yield pc.if_else(pc.is_valid(lists), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
 
     return rows.withColumn(out, text_of(F.col(ids_col)))
 
@@ -593,6 +589,7 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its ids' number and SHA-256 (decimal, joined by commas), and whether decoding them gives the text."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = decoded(encoded(docs, public_model()), public_model())
     return both.select(
