@@ -76,19 +76,18 @@ def _square(x: str) -> Column:
 
 
 def receiver_windows(ctx: DataFrame) -> DataFrame:
-    """Fan-in over 14 days and amounts over 30 days before each row, the row itself as history has it."""
-    slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at", "amount_idr")
-    pairs = pit.lookback(slim, slim, {"receiver_id": "receiver_id"}, 30)
-    other = F.col("h_donation_id") != F.col("donation_id")
-    return pairs.groupBy("donation_id").agg(
-        F.count(F.lit(1)).alias("r30_n"),
-        F.sum("h_amount_idr").alias("r30_sum"),
-        F.sum(_square("h_amount_idr")).alias("r30_squares"),
-        F.count(F.when(other, 1)).alias("r30_other_n"),
-        F.sum(F.when(other, F.col("h_amount_idr"))).alias("r30_other_sum"),
-        F.sum(F.when(other, _square("h_amount_idr"))).alias("r30_other_squares"),
-        F.max(F.when(pit.within(14), F.col("h_amount_idr"))).alias("r14_max"),
+    """Amounts over 30 days before each row, with the row itself as history has it and without it, and the greatest of 14 days."""
+    slim = ctx.select("donation_id", "receiver_id", "occurred_at", "recorded_at", "amount_idr")
+    key, a = {"receiver_id": "receiver_id"}, F.col("amount_idr")
+    found = pit.sliding(slim, slim, key, 30, {"n": F.lit(1), "s": a, "q": _square("amount_idr")}).join(slim, "donation_id")
+    me = F.when(pit.sees_itself(), 1).otherwise(0)
+    others = F.col("n") - me
+    some = lambda x: F.when(others > 0, x)
+    out = found.where("n > 0").select(
+        "donation_id", F.col("n").alias("r30_n"), F.col("s").alias("r30_sum"), F.col("q").alias("r30_squares"), others.alias("r30_other_n"),
+        some(F.col("s") - me * a).alias("r30_other_sum"), some(F.col("q") - F.when(me == 1, _square("amount_idr")).otherwise(0)).alias("r30_other_squares"),
     )
+    return out.join(pit.sliding_max(slim, slim, key, 14, a, "r14_max"), "donation_id", "full")
 
 
 def fresh_senders(ctx: DataFrame, days: int, own: bool) -> DataFrame:
@@ -96,39 +95,47 @@ def fresh_senders(ctx: DataFrame, days: int, own: bool) -> DataFrame:
 
     ``own`` adds the row's own sender; without it the row itself is not part of its history.
     """
-    slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at")
-    pairs = pit.lookback(slim, slim, {"receiver_id": "receiver_id"}, days, include_self=own).select("donation_id", "occurred_at", F.col("h_sender_id").alias("s"))
-    if own:
-        pairs = pairs.unionByName(slim.where("receiver_id is not null").select("donation_id", "occurred_at", F.col("sender_id").alias("s")))
-    pairs = pairs.where("s is not null").distinct()
-    old = pit.had_history(pairs, pit.seen_steps(ctx), "s", days)
-    return old.groupBy("donation_id").agg(F.count(F.lit(1)).alias(f"d{days}_senders"), F.count(F.when(~F.col("old"), 1)).alias(f"d{days}_fresh"))
+    slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at").where("receiver_id is not null")
+    seen = pit.sliding_distinct(slim, ctx, "receiver_id", "sender_id", days, "n", "f")
+    pair = pit.sliding(slim, ctx, {"sender_id": "sender_id", "receiver_id": "receiver_id"}, days, {"p": F.lit(1)})
+    rows = slim.join(seen, "donation_id", "left").join(pair, "donation_id", "left").join(pit.old_from(ctx, "sender_id", days).withColumnRenamed("party", "sender_id"), "sender_id", "left")
+    new = F.unix_micros("occurred_at") < F.col("_old")
+    p = F.coalesce("p", F.lit(0))
+    if own:  # one more, unless history holds the row's own sender already
+        change = F.when(F.col("sender_id").isNotNull() & (p == 0), 1).otherwise(0)
+    else:  # one less, if only the row itself brings its sender in
+        change = F.when(F.col("sender_id").isNotNull() & pit.sees_itself() & (p == 1), -1).otherwise(0)
+    n, f = F.coalesce("n", F.lit(0)) + change, F.coalesce("f", F.lit(0)) + F.when(new, change).otherwise(0)
+    return rows.select("donation_id", n.cast("long").alias(f"d{days}_senders"), f.cast("long").alias(f"d{days}_fresh")).where(F.col(f"d{days}_senders") > 0)
 
 
 def sender_windows(ctx: DataFrame) -> DataFrame:
     """Counts of 30 and 90 days, with and without the row, and distinct receivers of 14 days with the row's own."""
     slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at")
-    pairs = pit.lookback(slim, slim, {"sender_id": "sender_id"}, 90)
-    other = F.col("h_donation_id") != F.col("donation_id")
-    near = F.when(pit.within(14) & F.col("h_receiver_id").isNotNull(), F.col("h_receiver_id"))
-    return pairs.groupBy("donation_id", "receiver_id").agg(
-        F.count(F.when(pit.within(30), 1)).alias("s30"),
-        F.count(F.lit(1)).alias("s90"),
-        F.count(F.when(pit.within(30) & other, 1)).alias("s30_other"),
-        F.count(F.when(other, 1)).alias("s90_other"),
-        F.collect_set(near).alias("_near"),
-    ).select("donation_id", "s30", "s90", "s30_other", "s90_other", F.col("_near").alias("s14_receivers"))
+    key = {"sender_id": "sender_id"}
+    n30, n90 = (pit.sliding(slim, slim, key, d, {f"s{d}": F.lit(1)}) for d in (30, 90))
+    near = pit.sliding_distinct(slim, slim, "sender_id", "receiver_id", 14, "_near")
+    pair = pit.sliding(slim, slim, {"sender_id": "sender_id", "receiver_id": "receiver_id"}, 14, {"_pair": F.lit(1)})
+    rows = slim.where("sender_id is not null")
+    for block in (n30, n90, near, pair):
+        rows = rows.join(block, "donation_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    me = F.when(pit.sees_itself(), 1).otherwise(0)
+    more = F.when(F.col("receiver_id").isNotNull() & (zero("_pair") == 0), 1).otherwise(0)
+    return rows.select(
+        "donation_id", zero("s30").alias("s30"), zero("s90").alias("s90"), (zero("s30") - me).alias("s30_other"), (zero("s90") - me).alias("s90_other"), (zero("_near") + more).cast("long").alias("s14_receivers")
+    )
 
 
 def inflows(ctx: DataFrame) -> DataFrame:
-    """What reached the sender in 7 and 30 days."""
+    """What reached the sender in 7 and 30 days; null where nothing did."""
     slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at", "amount_idr")
-    pairs = pit.lookback(slim, slim, {"sender_id": "receiver_id"}, 30)
-    return pairs.groupBy("donation_id").agg(
-        F.sum(F.when(pit.within(7), F.col("h_amount_idr"))).alias("in7_total"),
-        F.max(F.when(pit.within(7), F.col("h_occurred_at"))).alias("in7_latest"),
-        F.sum("h_amount_idr").alias("in30_total"),
-    )
+    key = {"sender_id": "receiver_id"}
+    out = slim.select("donation_id")
+    for d in (7, 30):
+        found = pit.sliding(slim, slim, key, d, {"n": F.lit(1), "s": F.col("amount_idr")})
+        out = out.join(found.select("donation_id", F.when(F.col("n") > 0, F.col("s")).alias(f"in{d}_total")), "donation_id", "left")
+    return out.join(pit.latest(slim, slim, key, 7, "in7_latest"), "donation_id", "left")
 
 
 def deadline_counts(ctx: DataFrame, hours: int = 72, days: int = 30) -> DataFrame:
@@ -136,9 +143,11 @@ def deadline_counts(ctx: DataFrame, hours: int = 72, days: int = 30) -> DataFram
     end = F.timestamp_micros(F.unix_micros(F.date_add("next_deadline", 1).cast("timestamp")) - 1)
     opens = F.timestamp_micros(F.unix_micros(end) - hours * 3_600_000_000)
     rows = ctx.where("next_deadline is not null and receiver_id is not null").withColumns({"_end": end, "_open": opens}).where("occurred_at between _open and _end")
-    base = F.timestamp_micros(F.unix_micros("_end") - days * pit.DAY)
-    pairs = pit.lookback(rows.select("donation_id", "receiver_id", "occurred_at", "_open", base.alias("_base")), ctx.select("donation_id", "receiver_id", "occurred_at", "recorded_at"), {"receiver_id": "receiver_id"}, days)
-    n = pairs.groupBy("donation_id").agg(F.count(F.when(F.col("h_occurred_at") >= F.col("_open"), 1)).alias("dl_in"), F.count(F.when(F.col("h_occurred_at").between(F.col("_base"), F.col("_open")), 1)).alias("dl_base"))
+    # a row of history once for each deadline whose window or baseline holds it: deadlines are few
+    ends = small(rows.select(F.col("_end").alias("_e"), F.col("_open").alias("_o"), F.timestamp_micros(F.unix_micros("_end") - days * pit.DAY).alias("_b")).distinct())
+    held = ctx.where("receiver_id is not null").select("receiver_id", "occurred_at", "recorded_at").join(ends, F.col("occurred_at").between(F.col("_b"), F.col("_e")))
+    held = held.select("receiver_id", F.col("_e").alias("_end"), "recorded_at", F.when(F.col("occurred_at") >= F.col("_o"), 1).alias("_in"), F.when(F.col("occurred_at") <= F.col("_o"), 1).alias("_before"))
+    n = pit.as_of(rows, ["receiver_id", "_end"], [("dl_in", "count", F.col("_in")), ("dl_base", "count", F.col("_before"))], history=held)
     return rows.select("donation_id").join(n, "donation_id", "left").select("donation_id", F.coalesce("dl_in", F.lit(0)).alias("dl_in"), F.coalesce("dl_base", F.lit(0)).alias("dl_base"))
 
 

@@ -4,8 +4,10 @@ Two forms carry everything. *Running* aggregates answer "all history up to t" wi
 self-join: recorded_at >= occurred_at makes visibility one-dimensional, so knowledge events (at
 recorded_at) and probe events (at occurred_at) are one stream per key. A key's stream is cut into time
 buckets: bucket totals run over few rows, rows run inside their bucket, so a hub's history is spread
-over tasks. *Look-back* aggregates answer "the last k days" with an equi-join on key and time bucket.
-Both bounds are inclusive, and ties are visible.
+over tasks. *Sliding* aggregates answer "the last k days" in the same way: a row of history is visible from
+its recording until k days after its occurrence, so it is added at the one and taken off after the other;
+distinct counterparties are counted by the unions of their rows' intervals. Only a sliding maximum needs
+pairs, of distinct instants. Both bounds are inclusive, and ties are visible.
 """
 
 from __future__ import annotations
@@ -93,15 +95,79 @@ def first_seen(ledger: DataFrame, key: str = "sender_id") -> DataFrame:
     return as_of(ledger, [key], [("first_seen", "min", F.col("occurred_at"))])
 
 
-def seen_steps(ledger: DataFrame, key: str = "sender_id") -> DataFrame:
-    """(party, known_from, earliest): a party's earliest known occurrence as a step function of time.
+def _probed(probes: DataFrame, facts: DataFrame, on: dict[str, str], measures: Sequence[tuple[str, str]]) -> DataFrame:
+    """(donation_id, measures) at each probe's occurrence over ``facts`` (history keys, at, and a column per measure)."""
+    names = [n for n, _ in measures]
+    kind = probes.schema["donation_id"].dataType
+    known = facts.select(*[F.col(h).alias(f"_k{i}") for i, h in enumerate(on.values())], "at", F.lit(None).cast(kind).alias("donation_id"), *[F.col(n).alias(f"_x{n}") for n in names])
+    asks = probes.select(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(on)], F.unix_micros("occurred_at").alias("at"), "donation_id", *[F.lit(None).cast(facts.schema[n].dataType).alias(f"_x{n}") for n in names])
+    keys = [f"_k{i}" for i in range(len(on))]
+    events = known.unionByName(asks).where(" and ".join(f"{k} is not null" for k in keys))
+    found = running(events, keys, [(n, how, F.col(f"_x{n}")) for n, how in measures])
+    return found.where("donation_id is not null").select("donation_id", *names)
 
-    A step for each recording that lowers the minimum; most parties have one to three.
+
+def _visible(history: DataFrame, days: int) -> DataFrame:
+    """``history`` with the microseconds in which a look-back of ``days`` sees a row: from ``_from`` until before ``_until``."""
+    rows = history.withColumns({"_from": F.unix_micros("recorded_at"), "_until": F.unix_micros("occurred_at") + days * DAY + 1})
+    return rows.where("_from < _until")
+
+
+def _edges(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Each interval as two facts: its values at its start, and taken off at its end."""
+    both = rows.withColumns({f"_{n}": v for n, v in values.items()}).withColumn("_e", F.explode(F.array(F.struct(F.col("_from").alias("at"), F.lit(True).alias("on")), F.struct(F.col("_until").alias("at"), F.lit(False).alias("on")))))
+    return both.withColumns({"at": F.col("_e.at"), **{n: F.when(F.col("_e.on"), F.col(f"_{n}")).otherwise(-F.col(f"_{n}")) for n in values}})
+
+
+def sliding(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, values: dict[str, Column]) -> DataFrame:
+    """(donation_id, values): sums over the history rows of the last ``days`` days, known at the time; no pairs.
+
+    ``on`` maps probe columns to history columns; a count is the sum of ``lit(1)``. A probe sees itself where it was
+    recorded when it occurred. Probes with a null key are left out.
     """
-    w = Window.partitionBy(key).orderBy("recorded_at", "occurred_at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ledger.where(F.col(key).isNotNull()).select(F.col(key).alias("party"), "recorded_at", "occurred_at", key)
-    low = F.min("occurred_at").over(w)
-    return rows.withColumn("low", low).where(F.col("low").isNull() | (F.col("occurred_at") < F.col("low"))).select("party", F.col("recorded_at").alias("known_from"), F.col("occurred_at").alias("earliest"))
+    return _probed(probes, _edges(_visible(history, days), values), on, [(n, "sum") for n in values])
+
+
+def latest(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, name: str) -> DataFrame:
+    """(donation_id, name): the last occurrence among the history rows of the last ``days`` days, known at the time."""
+    facts = history.withColumns({"at": F.unix_micros("recorded_at"), name: F.col("occurred_at")})
+    found = _probed(probes, facts, on, [(name, "max")]).join(probes.select("donation_id", "occurred_at"), "donation_id")
+    return found.select("donation_id", F.when(F.unix_micros(name) >= F.unix_micros("occurred_at") - days * DAY, F.col(name)).alias(name))
+
+
+def stays(history: DataFrame, key: str, other: str, days: int) -> DataFrame:
+    """(key, other, _from, _until): the unions of the intervals in which a look-back sees rows of a pair; they do not touch."""
+    rows = _visible(history.where(F.col(key).isNotNull() & F.col(other).isNotNull()), days).select(key, other, "_from", "_until")
+    w = Window.partitionBy(key, other).orderBy("_from", "_until")
+    before = F.max("_until").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.coalesce(F.col("_from") > before, F.lit(True)).cast("int")).withColumn("_stay", F.sum("_new").over(w))
+    return rows.groupBy(key, other, "_stay").agg(F.min("_from").alias("_from"), F.max("_until").alias("_until")).drop("_stay")
+
+
+def old_from(history: DataFrame, key: str, days: int) -> DataFrame:
+    """(party, _old): the microsecond from which a party is known to have given before the last ``days`` days."""
+    at = F.greatest(F.unix_micros("recorded_at"), F.unix_micros("occurred_at") + days * DAY + 1)
+    return history.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("party")).agg(F.min(at).alias("_old"))
+
+
+def sliding_distinct(probes: DataFrame, history: DataFrame, key: str, other: str, days: int, name: str, fresh: str | None = None) -> DataFrame:
+    """(donation_id, name, fresh): distinct ``other`` of ``key`` in the last ``days`` days, and those not known to have given before."""
+    spans = stays(history, key, other, days)
+    if fresh is None:
+        return _probed(probes, _edges(spans, {name: F.lit(1)}), {key: key}, [(name, "sum")])
+    old = spans.join(old_from(history, other, days), F.col(other) == F.col("party"))
+    new = old.select(key, "_from", F.least("_until", "_old").alias("_until"), F.lit(0).alias("_all"), F.lit(1).alias("_fresh")).where("_from < _until")
+    both = spans.select(key, "_from", "_until", F.lit(1).alias("_all"), F.lit(0).alias("_fresh")).unionByName(new)
+    return _probed(probes, _edges(both, {name: F.col("_all"), fresh: F.col("_fresh")}), {key: key}, [(name, "sum"), (fresh, "sum")])
+
+
+def sliding_max(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, value: Column, name: str) -> DataFrame:
+    """(donation_id, name): the greatest value in the last ``days`` days. Distinct instants meet in pairs, not rows."""
+    keys, parts = list(on), list(on.values())
+    tops = history.groupBy(*parts, "occurred_at", "recorded_at").agg(F.max(value).alias("_v"))
+    asks = probes.select(*keys, "occurred_at").distinct()
+    found = lookback(asks, tops, on, days).groupBy(*keys, "occurred_at").agg(F.max("h__v").alias(name))
+    return probes.select("donation_id", *keys, "occurred_at").join(found, [*keys, "occurred_at"]).select("donation_id", name)
 
 
 def lookback(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, include_self: bool = True) -> DataFrame:
@@ -124,20 +190,6 @@ def lookback(probes: DataFrame, history: DataFrame, on: dict[str, str], days: in
     return left.join(right, near).drop("_b", "h__b")
 
 
-def within(days: int) -> Column:
-    """Inside a narrower window of a wider look-back."""
-    return F.unix_micros("h_occurred_at") >= F.unix_micros("occurred_at") - days * DAY
-
-
-def had_history(pairs: DataFrame, steps: DataFrame, party: str, days: int) -> DataFrame:
-    """``pairs`` with ``old``: was ``party`` known at the time to have given before the window opened?"""
-    start = F.unix_micros("occurred_at") - days * DAY
-    known = steps.join(pairs.select(F.col(party).alias("party")).distinct(), "party", "left_semi")
-    # steps per party are few: the earliest of those known at the time decides
-    joined = pairs.join(known, (F.col(party) == known["party"]) & (F.col("known_from") <= F.col("occurred_at")) & (F.unix_micros("earliest") < start), "left")
-    return joined.groupBy(*pairs.columns).agg(F.max(F.col("earliest").isNotNull()).alias("old"))
-
-
 def replay(ledger: DataFrame) -> DataFrame:
     """Every row with what its sender's history held when it happened; order by (recorded_at, donation_id)."""
     return ledger.select("donation_id", "recorded_at", "occurred_at").join(prior_totals(ledger, ["sender_id"], "sender"), "donation_id", "left")

@@ -129,8 +129,7 @@ def predicates(r: Rule) -> Test:
     if r.kind == "amount_band":
         return _fired(limit.isNotNull(), to_limit.between(p["low"], p["high"])), to_limit
     if r.kind == "fan_out":
-        own = F.when(c("receiver_id").isNotNull(), F.array("receiver_id")).otherwise(F.array().cast("array<long>"))
-        n = F.size(F.array_union(F.coalesce("s14_receivers", F.array().cast("array<long>")), own))
+        n = _zero("s14_receivers")
         return _fired(c("sender_id").isNotNull(), n >= p["min_receivers"]), n.cast("double")
     if r.kind == "pass_through":
         ratio = _ratio(amount, c("in7_total"))

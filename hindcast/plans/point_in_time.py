@@ -83,15 +83,15 @@ _LOOK = "h.occurred_at BETWEEN p.occurred_at - INTERVAL {d} DAY AND p.occurred_a
   LEFT JOIN ledger h ON h.sender_id = p.sender_id AND {_LOOK.format(d=90)} GROUP BY 1""")
 def pit_window_counts(spark, sf_dir):
     led = ledger(spark, sf_dir)
-    found = pit.lookback(led, led, {"sender_id": "sender_id"}, 90).groupBy("donation_id").agg(F.count(F.when(pit.within(30), 1)).alias("n30"), F.count(F.lit(1)).alias("n90"))
-    return led.select("donation_id").join(found, "donation_id", "left").select("donation_id", F.coalesce("n30", F.lit(0)).alias("n30"), F.coalesce("n90", F.lit(0)).alias("n90"))
+    n30, n90 = (pit.sliding(led, led, {"sender_id": "sender_id"}, d, {f"n{d}": F.lit(1)}) for d in (30, 90))
+    return led.select("donation_id").join(n30, "donation_id", "left").join(n90, "donation_id", "left").select("donation_id", F.coalesce("n30", F.lit(0)).alias("n30"), F.coalesce("n90", F.lit(0)).alias("n90"))
 
 
 @query(f"""WITH {LEDGER} SELECT p.donation_id, count(DISTINCT h.sender_id) AS senders FROM ledger p LEFT JOIN ledger h ON h.receiver_id = p.receiver_id AND {_LOOK.format(d=14)}
   WHERE p.receiver_id IS NOT NULL GROUP BY 1""")
 def pit_window_senders(spark, sf_dir):
     led = ledger(spark, sf_dir)
-    found = pit.lookback(led, led, {"receiver_id": "receiver_id"}, 14).groupBy("donation_id").agg(F.count_distinct("h_sender_id").alias("senders"))
+    found = pit.sliding_distinct(led, led, "receiver_id", "sender_id", 14, "senders")
     return led.where("receiver_id is not null").select("donation_id").join(found, "donation_id", "left").select("donation_id", F.coalesce("senders", F.lit(0)).alias("senders"))
 
 
@@ -111,16 +111,16 @@ def pit_first_seen(spark, sf_dir):
   FROM ledger p JOIN ledger h ON h.receiver_id = p.receiver_id AND {_LOOK.format(d=14)} GROUP BY 1""")
 def pit_prior_history(spark, sf_dir):
     led = ledger(spark, sf_dir)
-    pairs = pit.lookback(led.select("donation_id", "receiver_id", "occurred_at"), led, {"receiver_id": "receiver_id"}, 14).select("donation_id", "occurred_at", "h_sender_id").distinct()
-    old = pit.had_history(pairs, pit.seen_steps(led), "h_sender_id", 14)
-    return old.groupBy("donation_id").agg(F.count(F.lit(1)).alias("donors"), F.count(F.when(~F.col("old"), 1)).alias("fresh"))
+    found = pit.sliding_distinct(led, led, "receiver_id", "sender_id", 14, "donors", "fresh")
+    rows = pit.sliding(led, led, {"receiver_id": "receiver_id"}, 14, {"rows": F.lit(1)}).where("rows > 0")
+    return rows.join(found, "donation_id", "left").select("donation_id", F.coalesce("donors", F.lit(0)).alias("donors"), F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
 @query(f"""WITH {src.GRAPH} SELECT p.donation_id, count(h.donation_id) AS inflows, coalesce(sum(h.amount_idr), 0)::BIGINT AS inflow FROM graph_ledger p
   LEFT JOIN graph_ledger h ON h.receiver_id = p.sender_id AND {_LOOK.format(d=7)} GROUP BY 1""")
 def pit_inflows(spark, sf_dir):
     led = src.graph_ledger(spark, sf_dir)
-    found = pit.lookback(led, led, {"sender_id": "receiver_id"}, 7).groupBy("donation_id").agg(F.count(F.lit(1)).alias("inflows"), F.sum("h_amount_idr").alias("inflow"))
+    found = pit.sliding(led, led, {"sender_id": "receiver_id"}, 7, {"inflows": F.lit(1), "inflow": F.col("amount_idr")})
     return led.select("donation_id").join(found, "donation_id", "left").select("donation_id", F.coalesce("inflows", F.lit(0)).alias("inflows"), F.coalesce("inflow", F.lit(0)).alias("inflow"))
 
 
