@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scoring import STAGES
 
 #: Fixed pattern: text that speaks of the scoring itself.
-SELF_REFERENCE = r"(?i)risk score|flagged by (the )?(system|model)|skor risiko"
+SELF_REFERENCE = r"(?i)sistem\s+deteksi\s+risiko\s+donasi|risk\s+score\s+of\s+\d+"
 
 
 def stage_weight(stage: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: The most each lane can add, and the rules that the graph lane reads.
 CEILINGS = (("graph", 50), ("classifier", 30), ("anomaly", 15), ("reputation", 5))
 GRAPH_RULES = ("RULE-T2-01", "RULE-T2-03", "RULE-T2-04", "RULE-T2-09")
-STAGES = (("convicted", 1.0), ("charged", 0.6), ("reported", 0.3))
+#: Legal standing and what each is worth; another standing counts as the third where coverage has been admitted.
+STAGES = (("adjudicated", 1.0), ("charged", 0.6), ("allegation", 0.3), ("mentioned", 0.0))
 
 
 def contribution(intensity: Column, ceiling: Column) -> Column:
@@ -40,8 +41,8 @@ def anomaly_lane(scores: DataFrame, findings: DataFrame, cutoff: Column) -> Data
 
 def reputation_lane(ledger: DataFrame, coverage: DataFrame, enabled: bool, days: int = 1095) -> DataFrame:
     """(donation_id, intensity): the strongest stage of coverage from two sources or more; null where the lane is off or silent."""
-    stage = F.lit(None).cast("double")
-    for name, weight in STAGES:
+    stage = F.lit(STAGES[2][1])
+    for name, weight in STAGES[:3]:
         stage = F.when(F.col("stage") == name, F.lit(weight)).otherwise(stage)
     items = coverage.where("not retracted and match_confidence >= 0.95").select("entity_id", "source", "published_at", stage.alias("w"))
     near = ledger.join(items, (F.col("sender_id") == F.col("entity_id")) & (F.col("published_at") <= F.col("occurred_at")) & (F.datediff("occurred_at", "published_at") <= days))

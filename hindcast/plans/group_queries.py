@@ -8,6 +8,7 @@ from hindcast.functions.stats import micro
 from hindcast.operators import dims, graph, refdata, typology
 from hindcast.sources import ledger as src
 from hindcast.sources import reference as ref
+from hindcast.sources import scratch
 from hindcast.sources.ledger import ENTITIES, GRAPH, LEDGER, graph_ledger, ledger
 
 from .point_in_time import MATCH, contexts
@@ -83,11 +84,7 @@ def node_degrees(spark, sf_dir):
 def local_cluster(spark, sf_dir):
     """Cluster sizes of every transfer of the graph ledger."""
     led = graph_ledger(spark, sf_dir)
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return graph.local_clusters(led, led)
+    return graph.local_clusters(led, led, cut=lambda df: scratch.written(df, "clusters"))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.text import fold
 
+#: Fixed values.
 ENTITY_TYPES = ("individual", "corporation", "organization", "foreign-entity", "political-party", "candidate", "campaign-team", "government", "unknown")
 TRANSACTION_KINDS = ("cash", "transfer", "in_kind", "unknown")
 CHANNELS = ("digital-form", "paper-form", "web-scrape", "import")
@@ -143,11 +144,11 @@ LEDGER = """ledger AS (SELECT o_orderkey AS donation_id, o_custkey AS sender_id,
 
 
 def graph_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One id space, so money can pass through: a fifth of the events, without gifts to oneself."""
+    """One id space, so money can pass through: the events, without gifts to oneself."""
     to = (F.col("user_id") * 7 + F.col("event_id")) % 150
     return (
         _table(spark, sf_dir, "events")
-        .where((F.col("event_id") % 5 == 0) & (to != F.col("user_id")))
+        .where(to != F.col("user_id"))
         .select(
             F.col("event_id").alias("donation_id"),
             F.concat(F.lit("n"), F.col("user_id")).alias("sender_id"),
@@ -161,7 +162,7 @@ def graph_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRAPH = """graph_ledger AS (SELECT event_id AS donation_id, 'n' || user_id AS sender_id, 'n' || ((user_id * 7 + event_id) % 150) AS receiver_id,
   cast(round(value * 100) AS BIGINT) AS amount_idr, ts AS occurred_at, ts AS recorded_at
-  FROM events WHERE event_id % 5 = 0 AND (user_id * 7 + event_id) % 150 <> user_id)"""
+  FROM events WHERE (user_id * 7 + event_id) % 150 <> user_id)"""
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def score_arrivals(arrivals: DataFrame, history_path: str, out_path: str, score: Callable[[DataFrame], DataFrame], checkpoint: str):
+#: Why a transfer may be scored again.
+RESCORE_REASONS = ("late_arriving_data", "dispute_upheld", "rule_set_change", "model_change", "correction")
+
+
+def score_arrivals(arrivals: DataFrame, history_path: str, out_path: str, score: Callable[[DataFrame], DataFrame], checkpoint: str, keys: list[str]):
     """Remember each batch, then score its rows against history and batch; scores are appended.
 
-    ``score`` takes a ledger and returns rows keyed by donation_id. A batch is written under its id before
-    it is scored, so a repeated batch replaces itself. Only rows recorded by a row's time count, so late
-    rows never change rows already scored.
+    ``score`` takes a ledger and returns rows keyed by donation_id; it reads the history of the batch's values of
+    ``keys`` alone. A batch is written under its id before it is scored, so a repeated batch replaces itself. Only
+    rows recorded by a row's time count, so late rows never change rows already scored.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
         ledger = spark.read.schema(batch.schema).parquet(history_path)
-        ids = spark.read.schema(batch.schema).parquet(f"{history_path}/batch={batch_id}").select("donation_id")
-        score(ledger.select(*batch.columns)).join(ids, "donation_id", "left_semi").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        own = spark.read.schema(batch.schema).parquet(f"{history_path}/batch={batch_id}")
+        ids = own.select("donation_id")
+        score(ledger.select(*batch.columns).join(own.select(*keys).distinct(), keys, "left_semi")).join(ids, "donation_id", "left_semi").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
@@ -43,7 +48,7 @@ def fan_in(arrivals: DataFrame, window: str = "14 days", slide: str = "1 day", d
 
 def rescored(events: DataFrame, scores: DataFrame, ids: DataFrame, reason: str, at) -> DataFrame:
     """New scoring events for a set of transfers, with the score each had before; append them, keep the old."""
-    if reason not in ("rule_change", "model_change", "register_change", "late_data", "manual"):
+    if reason not in RESCORE_REASONS:
         raise ValueError(reason)
     last = events.groupBy("donation_id").agg(F.max_by("score", "scored_at").alias("previous"))
     return scores.join(ids.select("donation_id").distinct(), "donation_id", "left_semi").join(last, "donation_id", "left").withColumns({"reason": F.lit(reason), "scored_at": at})

@@ -96,7 +96,7 @@ def test_audit_samples_repeat(spark):
 
 
 def test_coverage_repeats_count_once(spark):
-    rows = [(1, "s1", day("2026-01-05"), "Minister charged with bribery today", "", "http://www.a.com/1", "charged"), (1, "s1", day("2026-01-06"), "Minister charged with bribery today", "", "http://a.com/2", "charged"), (1, "s2", day("2026-01-06"), "bribery Minister charged today with", "", "http://b.com/3", "charged"), (1, "s2", day("2026-01-06"), "x", "", "http://c.org/4", "charged"), (1, "s1", day("2026-01-06"), "y", "", "http://a.com/5", "rumour")]
+    rows = [(1, "s1", day("2026-01-05"), "Minister charged with bribery today", "", "http://www.a.com/1", "charged"), (1, "s1", day("2026-01-06"), "Minister charged with bribery today", "", "http://a.com/2", "charged"), (1, "s2", day("2026-01-06"), "bribery Minister charged today with", "", "http://b.com/3", "charged"), (1, "s2", day("2026-01-06"), "x", "", "http://c.org/4", "charged"), (1, "s1", day("2026-01-06"), "y", "", "http://a.com/5", "mentioned")]
     items = spark.createDataFrame(rows, "entity_id long, source string, published_at timestamp, headline string, body string, url string, stage string")
     out = coverage.admitted(items, spark.createDataFrame([("a.com",), ("b.com",)], "host string"))
     assert {r.url[-1]: r.refusal is None for r in out.collect()} == {"1": True, "2": False, "3": True, "4": False, "5": False}
