@@ -19,6 +19,17 @@ def _x(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5)::BIGINT"
 
 
+def quality_rows(spark, sf_dir):
+    """The ledger with made-up provenance of its fields and confidence of its parties."""
+    from hindcast.sources.ledger import ledger
+
+    k = F.col("donation_id")
+    entry = lambda p, c: F.struct(p.alias("provenance"), c.cast("double").alias("confidence"))
+    fields = F.create_map(F.lit("amount"), entry(F.when(k % 2 == 0, "extracted").otherwise("native"), F.when(k % 10 < 5, 0.5).otherwise(0.75)), F.lit("date"), entry(F.lit("native"), F.lit(None)))
+    empty = F.map_filter(fields, lambda a, b: F.lit(False))
+    return ledger(spark, sf_dir).withColumns({"provenance": F.when(k % 5 == 0, empty).otherwise(fields), "sender_confidence": F.when(k % 3 == 0, F.lit(0.5)), "receiver_confidence": F.when(k % 4 == 0, F.lit(0.25))})
+
+
 def _m(x: str, name: str) -> str:
     return f"{_x(x)} AS {name}"
 
@@ -90,14 +101,7 @@ def features_threshold(spark, sf_dir):
     sender_id IS NULL OR receiver_id IS NULL AS has_unresolved_entity, CASE WHEN donation_id % 5 <> 0 THEN CASE WHEN donation_id % 2 = 0 THEN 0.5 ELSE 0.0 END END AS field_provenance_mix FROM ledger"""
 )
 def features_quality(spark, sf_dir):
-    from hindcast.sources.ledger import ledger
-
-    k = F.col("donation_id")
-    entry = lambda p, c: F.struct(p.alias("provenance"), c.cast("double").alias("confidence"))
-    fields = F.create_map(F.lit("amount"), entry(F.when(k % 2 == 0, "extracted").otherwise("native"), F.when(k % 10 < 5, 0.5).otherwise(0.75)), F.lit("date"), entry(F.lit("native"), F.lit(None)))
-    empty = F.map_filter(fields, lambda a, b: F.lit(False))
-    rows = ledger(spark, sf_dir).withColumns({"provenance": F.when(k % 5 == 0, empty).otherwise(fields), "sender_confidence": F.when(k % 3 == 0, F.lit(0.5)), "receiver_confidence": F.when(k % 4 == 0, F.lit(0.25))})
-    return features.quality(rows)
+    return features.quality(quality_rows(spark, sf_dir))
 
 
 @query(

@@ -26,24 +26,37 @@ def _at(day: str):
     return F.lit(day).cast("timestamp")
 
 
-_FAN_IN = f"""WITH {LEDGER}, known AS (SELECT * FROM ledger WHERE occurred_at <= TIMESTAMP '{NOW}' AND recorded_at <= TIMESTAMP '{NOW}'), r AS (SELECT * FROM known WHERE occurred_at >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY AND receiver_id IS NOT NULL),
-  g AS (SELECT receiver_id, {_id('fan_in_burst', 'receiver_id', 'donation_id')} AS alert_id, count(DISTINCT sender_id) AS distinct_donors, count(*) AS donations, sum(amount_idr)::BIGINT AS total_idr, sum(amount_idr::HUGEINT * amount_idr) AS sq,
-    count(DISTINCT sender_id) FILTER (NOT EXISTS (SELECT 1 FROM known k WHERE k.sender_id = r.sender_id AND k.occurred_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY)) AS thin FROM r GROUP BY receiver_id)
-  SELECT alert_id, receiver_id::VARCHAR AS focus, distinct_donors, donations, floor(thin::DOUBLE / distinct_donors * 1e6 + 0.5)::BIGINT AS thinness, total_idr, (SELECT floor(median(distinct_donors)) FROM g)::BIGINT AS baseline FROM g WHERE distinct_donors >= 4"""
+_MEAN = "(total_idr::DOUBLE / donations)"
+_CV = f"CASE WHEN donations >= 2 THEN sqrt(greatest(sq::DOUBLE / donations - {_MEAN} * {_MEAN}, 0.0)) / {_MEAN} END"
 
 
-@query(_FAN_IN)
+def _fan_in_sql(table: str, now: str, least: int, limit: int | None) -> str:
+    """Groups of the window with everything their score reads."""
+    near = "0.0::DOUBLE" if limit is None else f"avg((amount_idr >= {0.85 * limit} AND amount_idr < {limit})::INT::DOUBLE)"
+    return f"""known AS (SELECT * FROM {table} WHERE occurred_at <= TIMESTAMP '{now}' AND recorded_at <= TIMESTAMP '{now}'), r AS (SELECT * FROM known WHERE occurred_at >= TIMESTAMP '{now}' - INTERVAL 14 DAY AND receiver_id IS NOT NULL),
+  old AS (SELECT DISTINCT sender_id FROM known WHERE occurred_at < TIMESTAMP '{now}' - INTERVAL 14 DAY),
+  g0 AS (SELECT receiver_id::VARCHAR AS focus, {_id('fan_in_burst', 'receiver_id', 'donation_id')} AS alert_id, count(DISTINCT r.sender_id) AS distinct_donors, count(*) AS donations, sum(amount_idr)::BIGINT AS total_idr, sum(amount_idr::HUGEINT * amount_idr) AS sq,
+    count(DISTINCT r.sender_id) FILTER (old.sender_id IS NULL)::DOUBLE AS thin, {near} AS near FROM r LEFT JOIN old ON old.sender_id = r.sender_id GROUP BY receiver_id),
+  g1 AS (SELECT *, (SELECT floor(median(distinct_donors)) FROM g0)::BIGINT AS baseline, {_CV} AS cv FROM g0),
+  fi AS (SELECT *, round_even(100 * (0.20::DOUBLE * least(distinct_donors::DOUBLE / greatest(4 * baseline, 8), 1.0) + 0.30::DOUBLE * (thin / distinct_donors) + 0.30::DOUBLE * coalesce(greatest(0.0, 1 - least(cv / 0.5::DOUBLE, 1.0)), 0.0) + 0.20::DOUBLE * near), 0)::BIGINT AS score FROM g1 WHERE distinct_donors >= {least})"""
+
+
+@query(f"WITH {LEDGER}, {_fan_in_sql('ledger', NOW, 4, 200_000_000)} SELECT alert_id, focus, distinct_donors, donations, floor(thin / distinct_donors * 1e6 + 0.5)::BIGINT AS thinness, total_idr, baseline, score FROM fi")
 def alerts_fan_in(spark, sf_dir):
     out = graph.fan_in(ledger(spark, sf_dir), _at(NOW), min_donors=4, limit=200_000_000)
-    return out.select("alert_id", "focus", "distinct_donors", "donations", micro(F.col("thinness")).alias("thinness"), "total_idr", "baseline")
+    return out.select("alert_id", "focus", "distinct_donors", "donations", micro(F.col("thinness")).alias("thinness"), "total_idr", "baseline", "score")
 
 
-@query(
-    f"""WITH {GRAPH}, r AS (SELECT * FROM graph_ledger WHERE occurred_at <= TIMESTAMP '{GNOW}' AND occurred_at >= TIMESTAMP '{GNOW}' - INTERVAL 14 DAY)
-    SELECT {_id('fan_out', 'sender_id', 'donation_id')} AS alert_id, sender_id AS focus, count(DISTINCT receiver_id) AS distinct_recipients, count(*) AS donations, sum(amount_idr)::BIGINT AS total_idr FROM r GROUP BY sender_id HAVING count(DISTINCT receiver_id) >= 6"""
-)
+_FAN_OUT = f"""fo0 AS (SELECT sender_id AS focus, {_id('fan_out', 'sender_id', 'donation_id')} AS alert_id, count(DISTINCT receiver_id) AS distinct_recipients, count(*) AS donations, sum(amount_idr)::BIGINT AS total_idr, sum(amount_idr::HUGEINT * amount_idr) AS sq
+    FROM graph_ledger WHERE occurred_at <= TIMESTAMP '{GNOW}' AND occurred_at >= TIMESTAMP '{GNOW}' - INTERVAL 14 DAY GROUP BY sender_id HAVING count(DISTINCT receiver_id) >= 6),
+  fo1 AS (SELECT *, round_even(greatest(0.0, 1 - least(({_CV}) / 0.5::DOUBLE, 1.0)), 4) AS regularity FROM fo0),
+  fo AS (SELECT *, round_even(100 * (0.5::DOUBLE * least(distinct_recipients / 12.0::DOUBLE, 1.0) + 0.5::DOUBLE * coalesce(regularity, 0.0)), 0)::BIGINT AS score FROM fo1)"""
+
+
+@query(f"WITH {GRAPH}, {_FAN_OUT} SELECT alert_id, focus, distinct_recipients, donations, total_idr, floor(regularity * 1e4 + 0.5)::BIGINT AS regularity, score FROM fo")
 def alerts_fan_out(spark, sf_dir):
-    return graph.fan_out(graph_ledger(spark, sf_dir), _at(GNOW)).select("alert_id", "focus", "distinct_recipients", "donations", "total_idr")
+    out = graph.fan_out(graph_ledger(spark, sf_dir), _at(GNOW))
+    return out.select("alert_id", "focus", "distinct_recipients", "donations", "total_idr", F.floor(F.col("regularity") * F.lit(1e4) + F.lit(0.5)).cast("long").alias("regularity"), "score")
 
 
 _HOP = "{b}.sender_id = {a}.receiver_id AND {b}.occurred_at >= {a}.occurred_at AND {b}.occurred_at <= {a}.occurred_at + INTERVAL 14 DAY AND {b}.amount_idr >= {a}.amount_idr * 0.6::DOUBLE"
@@ -52,12 +65,13 @@ _CHAINS = f"""WITH {GRAPH}, r AS (SELECT * FROM graph_ledger WHERE occurred_at <
     JOIN r c ON {_HOP.format(a='b', b='c')} AND c.receiver_id NOT IN (a.sender_id, a.receiver_id, b.receiver_id)),
   c4 AS (SELECT c3.*, d.donation_id AS i4, d.amount_idr AS last FROM c3 JOIN r d ON d.sender_id = c3.head AND d.occurred_at >= c3.at AND d.occurred_at <= c3.at + INTERVAL 14 DAY AND d.amount_idr >= c3.amount * 0.6::DOUBLE AND d.receiver_id NOT IN (focus, n1, n2, head)),
   p AS (SELECT focus, [i1, i2, i3] AS ids, origin, amount AS last FROM c3 UNION ALL SELECT focus, [i1, i2, i3, i4], origin, last FROM c4)
-  SELECT 'cluster:' || substr(sha256('layering_chain|' || focus || '|' || array_to_string(list_sort(list_transform(ids, lambda x: x::VARCHAR)), '|')), 1, 16) AS alert_id, focus, len(ids)::INTEGER AS hops, origin AS origin_idr, last AS terminal_idr FROM p"""
+  SELECT 'cluster:' || substr(sha256('layering_chain|' || focus || '|' || array_to_string(list_sort(list_transform(ids, lambda x: x::VARCHAR)), '|')), 1, 16) AS alert_id, focus, len(ids)::INTEGER AS hops, origin AS origin_idr, last AS terminal_idr,
+    round_even(100 * (0.6::DOUBLE * least((len(ids) - 2) / 2.0::DOUBLE, 1.0) + 0.4::DOUBLE * coalesce(least(last::DOUBLE / nullif(origin, 0), 1.0), 0.0)) * 0.7::DOUBLE, 0)::BIGINT AS score FROM p"""
 
 
 @query(_CHAINS)
 def alerts_chains(spark, sf_dir):
-    return graph.chains(graph_ledger(spark, sf_dir), _at(GNOW)).select("alert_id", "focus", "hops", "origin_idr", "terminal_idr")
+    return graph.chains(graph_ledger(spark, sf_dir), _at(GNOW)).select("alert_id", "focus", "hops", "origin_idr", "terminal_idr", "score")
 
 
 @query(f"{_CHAINS.rsplit('SELECT', 1)[0]} SELECT id::VARCHAR AS donation_id, count(*) AS chains FROM (SELECT unnest(ids) AS id FROM p) GROUP BY 1")
@@ -66,10 +80,14 @@ def alert_membership(spark, sf_dir):
     return graph.membership(alerts).groupBy("donation_id").agg(F.count(F.lit(1)).alias("chains"))
 
 
-@query()
+@query(
+    f"""WITH {GRAPH}, {_fan_in_sql('graph_ledger', GNOW, 8, None)}, {_FAN_OUT}, ch AS ({_CHAINS}) SELECT alert_id, 'fan_in_burst' AS kind, focus, score, donations AS transfers FROM fi
+    UNION ALL SELECT alert_id, 'fan_out', focus, score, donations FROM fo UNION ALL SELECT alert_id, 'layering_chain', focus, score, hops FROM ch"""
+)
 def alerts_all(spark, sf_dir):
     led = graph_ledger(spark, sf_dir)
-    return graph.all_alerts(graph.fan_in(led, _at(GNOW)), graph.fan_out(led, _at(GNOW)), graph.chains(led, _at(GNOW)))
+    every = graph.all_alerts(graph.fan_in(led, _at(GNOW)), graph.fan_out(led, _at(GNOW)), graph.chains(led, _at(GNOW)))
+    return every.select("alert_id", "kind", "focus", "score", F.size("members").cast("long").alias("transfers"))
 
 
 @query(
@@ -80,7 +98,12 @@ def node_degrees(spark, sf_dir):
     return graph.degrees(ledger(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GRAPH}, e AS (SELECT u, v, min(known) AS since FROM (SELECT sender_id AS u, receiver_id AS v, recorded_at AS known FROM graph_ledger UNION ALL SELECT receiver_id, sender_id, recorded_at FROM graph_ledger) WHERE u <> v GROUP BY 1, 2),
+    c AS (SELECT u, min(since) FILTER (k = 26) AS closes FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY since) AS k FROM e) GROUP BY 1),
+    r(id, t, node) AS (SELECT donation_id, occurred_at, unnest([sender_id, receiver_id]) FROM graph_ledger UNION SELECT r.id, r.t, e.v FROM r JOIN c ON c.u = r.node AND (closes IS NULL OR r.t < closes) JOIN e ON e.u = r.node AND since <= r.t)
+    SELECT id AS donation_id, least(count(*), 200)::BIGINT AS size FROM r GROUP BY 1"""
+)
 def local_cluster(spark, sf_dir):
     """Cluster sizes of every transfer of the graph ledger."""
     led = graph_ledger(spark, sf_dir)
