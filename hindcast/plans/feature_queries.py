@@ -51,7 +51,7 @@ def features_transaction(spark, sf_dir):
     FROM ctx LEFT JOIN a ON a.id = donation_id LEFT JOIN b ON b.id = donation_id LEFT JOIN f ON f.id = donation_id"""
 )
 def features_donor(spark, sf_dir):
-    out = features.donor(contexts(spark, sf_dir))
+    out = features.donor(contexts(spark, sf_dir, keep=True))
     exact = {c: micro(F.col(c)) for c in ("rata_rata_donasi_sender", "selang_waktu_rata2_sender", "proporsi_donasi_terbesar_per_sender", "sender_velocity_ratio")}
     return out.withColumns({**exact, "std_donasi_sender": F.floor("std_donasi_sender").cast("long"), "sender_days_since_first_seen": F.col("sender_days_since_first_seen").cast("long")})
 
@@ -69,7 +69,7 @@ def features_donor(spark, sf_dir):
     FROM ctx LEFT JOIN a ON a.id = donation_id LEFT JOIN b ON b.id = donation_id LEFT JOIN e ON e.id = donation_id"""
 )
 def features_recipient(spark, sf_dir):
-    out = features.recipient(contexts(spark, sf_dir))
+    out = features.recipient(contexts(spark, sf_dir, keep=True))
     return out.withColumns({"receiver_donor_concentration": micro(F.col("receiver_donor_concentration")), "receiver_new_donor_ratio_30d": micro(F.col("receiver_new_donor_ratio_30d")), "receiver_amount_cv_30d": F.floor(F.col("receiver_amount_cv_30d") * F.lit(1e4) + F.lit(0.5)).cast("long")})
 
 
@@ -79,7 +79,7 @@ def features_recipient(spark, sf_dir):
     FROM ctx p LEFT JOIN ctx h ON h.sender_id = p.sender_id AND h.receiver_id = p.receiver_id AND {_PRIOR} GROUP BY p.donation_id, p.receiver_id, p.occurred_at"""
 )
 def features_pair(spark, sf_dir):
-    return features.pair(contexts(spark, sf_dir)).withColumn("pair_days_since_last", F.col("pair_days_since_last").cast("long"))
+    return features.pair(contexts(spark, sf_dir, keep=True)).withColumn("pair_days_since_last", F.col("pair_days_since_last").cast("long"))
 
 
 @query(f"{_CTX} SELECT donation_id, CASE WHEN electoral_context IS NOT NULL THEN period_start IS NOT NULL END AS is_within_campaign_period, {_m('(occurred_at::DATE - period_start)::DOUBLE / (period_end - period_start)', 'campaign_period_phase')}, (next_deadline - occurred_at::DATE)::BIGINT AS days_to_reporting_deadline, (isodow(occurred_at) - 1)::BIGINT AS day_of_week, NULL::BIGINT AS hour_of_day FROM ctx")
@@ -113,5 +113,5 @@ def features_quality(spark, sf_dir):
     FROM ctx LEFT JOIN i ON i.id = donation_id LEFT JOIN o ON o.id = donation_id LEFT JOIN f ON f.id = donation_id"""
 )
 def features_graph(spark, sf_dir):
-    out = features.graph(contexts(spark, sf_dir))
+    out = features.graph(contexts(spark, sf_dir, keep=True))
     return out.withColumns({"receiver_in_degree_velocity_14d": micro(F.col("receiver_in_degree_velocity_14d")), "pass_through_ratio": micro(F.col("pass_through_ratio")), "pass_through_lag_days": F.col("pass_through_lag_days").cast("long")})

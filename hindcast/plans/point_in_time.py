@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hindcast.operators import dims, pit, refdata
 from hindcast.sources import ledger as src
 from hindcast.sources import reference as ref
+from hindcast.sources import scratch
 from hindcast.sources.ledger import ENTITIES, LEDGER, RAW, ledger
 
 from .registry import query
@@ -130,8 +131,10 @@ def pit_replay(spark, sf_dir):
     return pit.replay(ledger(spark, sf_dir)).select("donation_id", F.to_date("recorded_at").alias("recorded_on"), "sender_count")
 
 
-def contexts(spark, sf_dir):
-    return dims.contexts(ledger(spark, sf_dir), dims.calendar(spark), dims.limits(spark))
+def contexts(spark, sf_dir, keep: bool = False):
+    """The ledger with its contexts; ``keep``: written once, for queries that read it in many blocks."""
+    out = dims.contexts(ledger(spark, sf_dir), dims.calendar(spark), dims.limits(spark))
+    return scratch.written(out, "contexts") if keep else out
 
 
 @query(f"WITH {LEDGER}, {dims.CONTEXTS} SELECT donation_id, regime, limit_idr::BIGINT AS limit_idr FROM (SELECT *, CASE WHEN period_start IS NOT NULL THEN 'campaign' WHEN window_start IS NOT NULL THEN 'party_annual' ELSE 'indeterminate' END AS regime FROM ctx)")

@@ -22,7 +22,7 @@ QUERY_RULES = tuple(
 
 def rule_facts(spark, sf_dir, kinds=None) -> DataFrame:
     """Facts of the fixture ledger with the lookups that rules of these kinds read (None: all)."""
-    ctx = contexts(spark, sf_dir).withColumn("sender_text", F.when(F.col("donation_id") % 13 == 0, "Anonim").when(F.col("donation_id") % 3 == 0, "Donor"))
+    ctx = contexts(spark, sf_dir, keep=True).withColumn("sender_text", F.when(F.col("donation_id") % 13 == 0, "Anonim").when(F.col("donation_id") % 3 == 0, "Donor"))
     ctx = ctx.withColumn("sender_quality", F.when(F.col("donation_id") % 26 == 0, "declared_anonymous").when(F.col("donation_id") % 39 == 0, "extraction_failed"))
     out = facts.rule_facts(ctx, dims.calendar(spark), kinds)
     if kinds is None or "foreign_jurisdiction" in kinds:

@@ -66,7 +66,7 @@ FEATURES = (
 @query(_all_features_sql())
 def features_backfill(spark, sf_dir):
     """Every feature of every transfer with the names of those that are unknown; rounded as in the queries of the families."""
-    ctx = scratch.written(contexts(spark, sf_dir), "contexts")
+    ctx = contexts(spark, sf_dir, keep=True)
     out = features.backfill(ctx, dims.calendar(spark), [features.quality(fq.quality_rows(spark, sf_dir))])
     whole = lambda c, k: F.floor(F.col(c) * F.lit(k) + F.lit(0.5)).cast("long")
     exact = ("amount_log", "rata_rata_donasi_sender", "selang_waktu_rata2_sender", "proporsi_donasi_terbesar_per_sender", "sender_velocity_ratio", "receiver_donor_concentration", "receiver_new_donor_ratio_30d", "campaign_period_phase", "amount_to_limit_ratio", "cumulative_to_limit_ratio", "receiver_in_degree_velocity_14d", "pass_through_ratio")
