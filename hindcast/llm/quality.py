@@ -16,6 +16,7 @@ extra columns pass through, and a new column gets underscores where the table ha
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,9 +126,8 @@ def measured(docs: DataFrame, text_col: str = "text", prefix: str = "", only: tu
     return out.withColumns({name[m]: counts[m] for m in only}).drop(w, lines)
 
 
-def rules(text: Column, name: dict[str, str], t: Thresholds = Thresholds()) -> dict[str, Column]:
-    """The cascade's rules beyond the base; each true where a document fails. They read ``measured`` columns (``name``) and the text."""
-    c = lambda m: F.col(name[m])
+def rules(text: Column, c: Callable[[str], Column], t: Thresholds = Thresholds()) -> dict[str, Column]:
+    """The cascade's rules beyond the base; each true where a document fails. They read measures (``c`` by name) and the text."""
     text = F.coalesce(text, F.lit(""))
     return {
         "symbols": c("n_symbols") > t.symbols_per_word * c("n_words"),
@@ -175,24 +175,22 @@ def verdict(found: dict[str, Column], order: list[str]) -> Column:
     return F.lit(True) if case is None else case.otherwise(F.lit(True))
 
 
-def base_rules(name: dict[str, str], repeats: Column, t: Thresholds = Thresholds()) -> dict[str, Column]:
-    return {
-        "few_words": F.col(name["n_words"]) < t.min_words,
-        "repeats": F.lit(100) * repeats > F.lit(t.repeat_percent) * F.col(name["n_words"]),
-    }
+def base_rules(c: Callable[[str], Column], repeats: Column, t: Thresholds = Thresholds()) -> dict[str, Column]:
+    return {"few_words": c("n_words") < t.min_words, "repeats": F.lit(100) * repeats > F.lit(t.repeat_percent) * c("n_words")}
 
 
 def judged(docs: DataFrame, text_col: str = "text", t: Thresholds = Thresholds(), sample_rows: int = SAMPLE_ROWS, prefix: str = "") -> DataFrame:
     """``docs`` with the measures, ``base_failed`` and ``kept``. ``sample_rows`` bounds the sample that orders the rules."""
     name = names_in(docs, prefix, ("base_failed", "kept"))
-    found = rules(F.col(text_col), name, t)
+    count = lambda m: F.col(name[m])
+    found = rules(F.col(text_col), count, t)
     sample = measured(drawn(docs.select(text_col), sample_rows).select(text_col, *[F.lit(None).alias(c) for c in docs.columns if c != text_col]), text_col, prefix)
     sample.cache()
     try:
         order = ordered(sample, found)
     finally:
         sample.unpersist()
-    base = base_rules(name, F.col(name["n_repeat_words"]), t)
+    base = base_rules(count, count("n_repeat_words"), t)
     failed = F.col(name["base_failed"])
     return measured(docs, text_col, prefix).withColumn(name["base_failed"], base["few_words"] | base["repeats"]).withColumn(
         name["kept"], F.when(failed, F.lit(False)).otherwise(verdict(found, order))
@@ -201,26 +199,30 @@ def judged(docs: DataFrame, text_col: str = "text", t: Thresholds = Thresholds()
 
 def keep_good(docs: DataFrame, text_col: str = "text", t: Thresholds = Thresholds(), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
-    cheap = ("n_words", "word_chars", "n_symbols")
-    name, w, copy = names_in(docs), spare(docs, "_words"), F.coalesce(F.col(text_col), F.lit(""))
-    found = rules(F.col(text_col), name, t)
-
-    def dear(lists: Column) -> Column:
-        return (F.size(lists) >= 4) & (F.size(lists) - F.size(F.array_distinct(lists)) > t.duplicate_lines * F.size(lists))
-
-    # counted inside the CASE, so only where the rules before have let a document pass
-    found["duplicate_lines"] = bind(lines_with_words(copy), dear)
-    found |= base_rules(name, repeated_words(F.col(w)), t)
-
-    def ready(rows: DataFrame) -> DataFrame:
-        return measured(rows.withColumn(w, words(copy)), text_col, only=cheap)
+    text = F.coalesce(F.col(text_col), F.lit(""))
 
-    sample = ready(drawn(docs.select(text_col), sample_rows).select(text_col, *[F.lit(None).alias(c) for c in docs.columns if c != text_col])).cache()
+    def cascade(w: Column, c: Callable[[str], Column]) -> dict[str, Column]:
+        """All rules; the dear counts stand inside them, so they are made only where the rules before have let a document pass."""
+        dear = lambda x: (F.size(x) >= 4) & (F.size(x) - F.size(F.array_distinct(x)) > t.duplicate_lines * F.size(x))
+        found = rules(F.col(text_col), c, t)
+        found["duplicate_lines"] = bind(lines_with_words(text), dear)
+        return found | base_rules(c, repeated_words(w), t)
+
+    cheap = {
+        "n_words": lambda w: F.size(w).cast("long"),
+        "word_chars": lambda w: F.length(without(text, WORD_GAPS)).cast("long"),
+        "n_symbols": lambda w: (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+        "n_lines": lambda w: F.lit(0),  # read by the rule that stands above in another form
+        "n_dup_lines": lambda w: F.lit(0),
+    }
+    sample = drawn(docs.select(text_col), sample_rows).withColumn("_w", words(text)).withColumns({k: f(F.col("_w")) for k, f in cheap.items()}).cache()
     try:
-        order = ordered(sample, found)
+        order = ordered(sample, cascade(F.col("_w"), F.col))
     finally:
         sample.unpersist()
-    return ready(docs).where(verdict(found, order)).select(*docs.columns)
+    # bound and not columns: a filter is moved below a projection and would count once for each use
+    judge = lambda w: bind(F.struct(*[f(w).alias(k) for k, f in cheap.items()]), lambda m: verdict(cascade(w, lambda k: m[k]), order))
+    return docs.where(bind(words(text), judge))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
