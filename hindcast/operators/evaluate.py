@@ -48,13 +48,19 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 def threshold_choice(scored: DataFrame, clean_recall: float = 0.70) -> DataFrame:
     """One row: the threshold with most recall on risky rows among those that keep enough clean rows below it.
 
-    Works on distinct scores, few of which matter; 0.5 without both classes, 1.0 if none qualifies.
+    Distinct scores are cut into ranges of 1/1024: totals of the ranges run over few rows, and scores run inside their
+    range, so no task holds them all. 0.5 without both classes, 1.0 if none qualifies.
     """
-    by = scored.groupBy("score").agg(F.count(F.when(F.col("confirmed"), 1)).alias("pos"), F.count(F.when(~F.col("confirmed"), 1)).alias("neg"))
-    up = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    by = scored.groupBy("score").agg(F.count(F.when(F.col("confirmed"), 1)).alias("pos"), F.count(F.when(~F.col("confirmed"), 1)).alias("neg")).withColumn("range", F.floor(F.col("score") * 1024))
+    ranges = by.groupBy("range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    offsets = ranges.select("range", zero(F.sum("pos").over(above)).alias("above"), zero(F.sum("neg").over(below)).alias("below"))
+    up = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     totals = by.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    steps = by.select("score", F.sum("pos").over(up).alias("tp"), F.coalesce(F.sum("neg").over(down), F.lit(0)).alias("tn")).crossJoin(F.broadcast(totals))
+    steps = by.join(offsets, "range").select("score", (F.col("above") + F.sum("pos").over(up)).alias("tp"), (F.col("below") + zero(F.sum("neg").over(down))).alias("tn")).crossJoin(F.broadcast(totals))
     best = steps.where((F.col("P") > 0) & (F.col("N") > 0) & (F.col("tn") >= F.lit(clean_recall) * F.col("N"))).orderBy(F.col("tp").desc(), "score").limit(1).select("score")
     return totals.crossJoin(best.agg(F.max("score").alias("best"))).select(F.when((F.coalesce("P", F.lit(0)) == 0) | (F.coalesce("N", F.lit(0)) == 0), F.lit(0.5)).otherwise(F.coalesce("best", F.lit(1.0))).alias("threshold"))
 

@@ -14,13 +14,19 @@ from . import pit
 from .dims import small
 
 
+def top_two(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """(keys, _top, _who, _second): the greatest ``value`` with its ``name``, and the greatest among other names. Two passes, no lists."""
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(value).alias("v"), F.col(name).alias("k"))).alias("_best"))
+    rest = rows.join(best, list(keys)).where(F.col(name) != F.col("_best.k")).groupBy(*keys).agg(F.max(value).alias("_second"))
+    return best.join(rest, list(keys), "left").select(*keys, F.col("_best.v").alias("_top"), F.col("_best.k").alias("_who"), "_second")
+
+
 def same_instant(ledger: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
     """(donation_id, name): the greatest value among other rows of the keys recorded at the very time this one occurred."""
     rows = ledger.select(*keys, "donation_id", "recorded_at", "occurred_at", value.alias("_v"))
-    tops = rows.groupBy(*keys, F.col("recorded_at").alias("_at")).agg(F.slice(F.sort_array(F.collect_list(F.struct("_v", "donation_id")), False), 1, 2).alias("_top"))
-    joined = rows.join(tops.withColumnRenamed("_at", "occurred_at"), [*keys, "occurred_at"])
-    other = F.filter("_top", lambda t: t["donation_id"] != F.col("donation_id"))
-    return joined.select("donation_id", F.get(other, F.lit(0))["_v"].alias(name))
+    known = rows.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, F.col("recorded_at").alias("occurred_at"), "donation_id", "_v")
+    joined = rows.join(top_two(known, [*keys, "occurred_at"], "_v", "donation_id"), [*keys, "occurred_at"])
+    return joined.select("donation_id", F.when(F.col("_who") != F.col("donation_id"), F.col("_top")).otherwise(F.col("_second")).alias(name))
 
 
 def prior_max(ledger: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -39,10 +45,10 @@ def prior_top_pair(ledger: DataFrame, key: str, other: str, name: str) -> DataFr
     steps = pit.running(full.select(key, other, F.unix_micros("recorded_at").alias("at"), "recorded_at", "amount_idr"), [key, other], [("total", "sum", F.col("amount_idr"))])
     steps = steps.groupBy(key, other, "recorded_at").agg(F.max("total").alias("total"))
     before = pit.as_of(ledger.where(F.col(key).isNotNull()), [key], [("_m", "max", F.col("total"))], history=steps, strict=True)
-    tops = steps.groupBy(key, F.col("recorded_at").alias("occurred_at")).agg(F.slice(F.sort_array(F.collect_list(F.struct("total", other)), False), 1, 2).alias("_top"))
+    tops = top_two(steps.select(key, F.col("recorded_at").alias("occurred_at"), "total", F.col(other).alias("_o")), [key, "occurred_at"], "total", "_o")
     rows = ledger.select("donation_id", key, other, "occurred_at", "recorded_at", "amount_idr").join(tops, [key, "occurred_at"], "left")
-    others = F.filter("_top", lambda t: F.col(other).isNull() | (t[other] != F.col(other)))
-    rows = rows.select("donation_id", F.get(others, F.lit(0))["total"].alias("_s"), F.when(pit.sees_itself(), F.col("amount_idr")).otherwise(0).alias("_own"))
+    others = F.when(F.col(other).isNull() | (F.col("_who") != F.col(other)), F.col("_top")).otherwise(F.col("_second"))
+    rows = rows.select("donation_id", others.alias("_s"), F.when(pit.sees_itself(), F.col("amount_idr")).otherwise(0).alias("_own"))
     pair = pit.as_of(ledger, [key, other], [("_p", "sum", F.col("amount_idr"))])
     out = before.join(rows, "donation_id", "left").join(pair, "donation_id", "left")
     mine = F.when(F.col("_p") > F.col("_own"), F.col("_p") - F.col("_own"))
