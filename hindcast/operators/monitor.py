@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.stats import share
 
+from .dims import small
+
 LEAST = 10
 
 
@@ -24,7 +26,7 @@ def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, floor: float =
     cut = edges(baseline, bins)
 
     def shares(rows: DataFrame, name: str) -> DataFrame:
-        placed = rows.where("value is not null").join(F.broadcast(cut), "feature").select("feature", F.size(F.filter("edges", lambda e: F.col("value") > e)).alias("bin"))
+        placed = rows.where("value is not null").join(small(cut), "feature").select("feature", F.size(F.filter("edges", lambda e: F.col("value") > e)).alias("bin"))
         n = placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c"))
         total = n.groupBy("feature").agg(F.sum("c").alias("t"))
         return n.join(total, "feature").select("feature", "bin", (F.col("c") / F.col("t")).alias(name), F.col("t").alias(f"{name}_n"))

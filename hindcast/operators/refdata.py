@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,11 +75,23 @@ def declared(ledger: DataFrame, filings: DataFrame, tolerance_percent: int = 2,
     found = [
         three.join(dated.where("f_donor is not null"), by_day & (F.col("sender_id") == F.col("f_donor")) & fits, "left_semi"),
         three.join(dated.where("f_donor is null and f_recipient is not null"), by_day & (F.col("receiver_id") == F.col("f_recipient")) & fits, "left_semi"),
-        three.where("sender_id is null or receiver_id is null").join(dated, by_day & fits, "left_semi"),
-        three.join(dated.where("f_donor is null and f_recipient is null"), by_day & fits, "left_semi"),
         rows.join(lines.where("f_day is null and f_donor is not null"), ctx & (F.col("sender_id") == F.col("f_donor")) & fits, "left_semi"),
-        rows.join(lines.where("f_day is null and f_donor is null"), ctx & fits, "left_semi"),
     ]
+    # The rest meet on context, day and a step of the amount alone, so lines are cut to their kinds first: what they leave open
+    # is null, and equal kinds are one row. An amount step is wider than the tolerance, so neighbours suffice.
+    step = lambda a: F.floor(F.log(F.greatest(a.cast("double"), F.lit(1.0))) / math.log(1 + 3 * tolerance_percent / 100))
+    with_amount = lambda d: d.withColumn("_s", F.explode(F.array(*[step(F.col("amount_idr")) + k for k in (-1, 0, 1)])))
+    kinds = lambda d: d.distinct().withColumn("f_s", step(F.col("f_amount")))
+    loose = three.where("sender_id is null or receiver_id is null")
+    undated = lines.where("f_day is null and f_donor is null")
+    for left, right, on in ((loose, dated, by_day), (three, dated.where("f_donor is null and f_recipient is null"), by_day), (rows, undated, ctx)):
+        priced = kinds(right.where("f_amount is not null"))
+        found.append(with_amount(left).join(priced, on & (F.col("_s") == F.col("f_s")) & fits, "left_semi"))
+        free = right.where("f_amount is null").distinct()
+        found.append(left.join(free.where("f_recipient is null"), on & fits, "left_semi"))
+        named = free.where("f_recipient is not null")
+        found.append(left.join(named, on & (F.col("receiver_id") == F.col("f_recipient")) & fits, "left_semi"))
+        found.append(left.where("receiver_id is null").join(named.drop("f_recipient").distinct().withColumn("f_recipient", F.lit(None).cast("long")), on & fits, "left_semi"))
     out = found[0].select("donation_id")
     for f in found[1:]:
         out = out.unionByName(f.select("donation_id"))

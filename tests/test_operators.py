@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.stats import wilson
 from hindcast.functions.text import fold, rupiah, template
-from hindcast.operators import coverage, evaluate, fairness, graph, monitor, pit, scoring
+from hindcast.operators import coverage, evaluate, fairness, graph, monitor, pit, scoring, service
 
 SCHEMA = "donation_id long, sender_id long, receiver_id long, amount_idr long, occurred_at timestamp, recorded_at timestamp"
 
@@ -108,3 +108,45 @@ def test_unknown_reason_is_refused(spark):
 
     with pytest.raises(ValueError):
         rescored(None, None, None, "because", None)
+
+
+def test_sliding_windows_of_a_hub(spark):
+    """Sums, distinct parties and the greatest amount of the last days against all pairs, with late rows and ties."""
+    import random
+    from datetime import timedelta
+
+    r, start = random.Random(3), day("2026-01-01")
+    rows = []
+    for i in range(400):
+        at = start + timedelta(days=r.randrange(60), hours=r.choice((0, 0, 7)))
+        rows.append((i, r.choice((1, 2, 3, 4, 5, None)), r.choice((9, 9, 9, 8)), at, at + timedelta(days=r.choice((0, 0, 1, 20))), r.randrange(1, 50)))
+    led = spark.createDataFrame(rows, "donation_id long, sender_id long, receiver_id long, occurred_at timestamp, recorded_at timestamp, amount_idr long")
+    key, k = {"receiver_id": "receiver_id"}, 14
+    seen = {x[0]: [h for h in rows if h[2] == x[2] and h[3] >= x[3] - timedelta(days=k) and h[4] <= x[3]] for x in rows}
+    old = lambda x, s: any(h[1] == s and h[4] <= x[3] and h[3] < x[3] - timedelta(days=k) for h in rows)
+    got = {x.donation_id: x for x in pit.sliding(led, led, key, k, {"n": F.lit(1), "s": F.col("amount_idr")}).collect()}
+    assert all((got[x[0]].n or 0, got[x[0]].s or 0) == (len(seen[x[0]]), sum(h[5] for h in seen[x[0]])) for x in rows)
+    got = {x.donation_id: (x.d or 0, x.f or 0) for x in pit.sliding_distinct(led, led, "receiver_id", "sender_id", k, "d", "f").collect()}
+    for x in rows:
+        senders = {h[1] for h in seen[x[0]]} - {None}
+        assert got[x[0]] == (len(senders), sum(not old(x, s) for s in senders))
+    got = {x.donation_id: x.m for x in pit.sliding_max(led, led, key, k, F.col("amount_idr"), "m").collect()}
+    assert all(got.get(x[0]) == max((h[5] for h in seen[x[0]]), default=None) for x in rows)
+    got = {x.donation_id: x.t for x in pit.latest(led, led, key, k, "t").collect()}
+    assert all(got.get(x[0]) == max((h[3] for h in seen[x[0]]), default=None) for x in rows)
+
+
+def test_labels_that_claim_too_much_are_refused(spark):
+    rows = [(1, "recipient_confirmation", "not_risky", 1, None), (2, "recipient_confirmation", "indeterminate", 1, None), (3, "analyst_disposition", "risky", 0, 2.0), (4, "gossip", "maybe", 1, None)]
+    out = {r.label_id: r for r in service.checked_labels(spark.createDataFrame(rows, "label_id long, source string, value string, donation_version long, weight double")).collect()}
+    assert out[1].errors == ["confirmation_is_no_verdict"] and out[2].errors == [] and out[2].weight == 0.7
+    assert out[3].errors == ["version_below_one", "weight_out_of_range"] and out[3].is_human and out[4].errors == ["unknown_source", "unknown_value"]
+
+
+def test_an_unmeasured_dimension_leaves_the_verdict_open(spark):
+    table = lambda rows: spark.createDataFrame(rows, "attribute string, within boolean")
+    ok = spark.createDataFrame([(True,)], "acceptable boolean")
+    three = [("district", True), ("recipient_type", True), ("size_band", True)]
+    assert service.fairness_passed(ok, table(three)).first().passed is True
+    assert service.fairness_passed(ok, table([*three[:2], ("size_band", None)])).first().passed is None
+    assert service.fairness_passed(ok, table([*three[:2], ("size_band", False)])).first().passed is False

@@ -12,6 +12,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 FAST = [
     "validate_ledger", "dedup_ledger", "latest_version", "entity_lookup", "pit_sender_totals", "pit_receiver_totals", "pit_window_counts", "pit_prior_history", "pit_inflows", "regime_limits", "next_deadline", "register_lookup",
     "reconcile_filings", "cumulative_limit", "rule_fan_in_burst", "rule_donor_concentration", "features_donor", "features_pair", "alerts_fan_out", "typ_smurfing", "average_precision", "threshold_choice", "fairness_groups", "psi", "stream_score", "coverage_weights",
+    "score_batch", "alert_versions", "rescore_history", "label_checks", "latest_labels", "retraining", "score_reasons", "classifier_reasons", "reputation_scores", "review_states", "drift_findings", "label_balance", "selection_rates",
+    "affiliation_verdict", "fairness_verdict", "limits_by_rules", "rules_in_force", "coverage_admit", "coverage_sources", "coverage_retracted", "stream_fan_in", "alerts_all", "local_cluster", "cramers_v",
 ]
 
 
