@@ -402,6 +402,22 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+@pytest.mark.parametrize("dim", [64, 128])
+def test_vectors_at_the_threshold_share_a_bucket(hashes, dim):
+    """Recall of the keys at cosine 0.9 to 0.91 for as many tables as each number of hashes gets."""
+    r = np.random.default_rng(dim + hashes)
+    x = r.standard_normal((200, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.standard_normal(x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = r.uniform(0.9, 0.91, (200, 1))
+    keys = embeddings.bucket_keys(np.concatenate((x, cos * x + np.sqrt(1 - cos * cos) * side)), 8 * hashes, hashes)
+    met = [bool(set(a) & set(b)) for a, b in zip(keys[:200].tolist(), keys[200:].tolist(), strict=True)]
+    assert np.mean(met) >= 0.97
+
+
 def test_lm_scores(spark, docs):
     held = F.col("doc_id") % 3 == 0
     got = lm.scores(docs, held, chunk_bytes=4000).collect()
