@@ -16,7 +16,7 @@ from .registry import query
 #: The fixtures are smaller than the populations that the shipped thresholds suit; only the queries use these.
 SCALED = {"fan_in_burst": {"min_senders": 5}, "fan_out": {"min_receivers": 3}, "velocity_spike": {"multiple": 2.0}, "amount_homogeneity": {"min_count": 5, "max_cv": 0.5}, "deadline_clustering": {"multiple": 1.5}}
 QUERY_RULES = tuple(
-    rules.Rule(**{**{f: getattr(r, f) for f in r.__dataclass_fields__}, "params": {**r.params, **SCALED.get(r.kind, {})}, "since": "1990-01-01", "active": True}) for r in rules.RULES if r.id != "RULE-T1-10"
+    rules.Rule(**{**{f: getattr(r, f) for f in r.__dataclass_fields__}, "params": {**r.params, **SCALED.get(r.kind, {})}, "since": "1990-01-01", "active": True}) for r in rules.RULES
 )
 
 
@@ -30,8 +30,9 @@ def rule_facts(spark, sf_dir, kinds=None) -> DataFrame:
     if kinds is None or "register_membership" in kinds:
         names = src.entities(spark, sf_dir).select(F.col("entity_id").alias("sender_id"), F.upper("canonical_name").alias("sender_name"))
         rows = ctx.select("donation_id", "sender_id", "occurred_at").join(names, "sender_id", "left")
-        listed = refdata.register_lookup(rows, ref.registers(spark), ref.register_entries(spark, sf_dir), "prohibited_source", "sender_id", "sender_name", F.to_date("occurred_at"))
-        out = rules.with_lookups(out, listed={"prohibited_source": listed})
+        lookup = lambda name: refdata.register_lookup(rows, ref.registers(spark), ref.register_entries(spark, sf_dir), name, "sender_id", "sender_name", F.to_date("occurred_at"))
+        # the register of final convictions is not available, so its rule cannot be evaluated
+        out = rules.with_lookups(out, listed={name: lookup(name) for name in ("prohibited_source", "final_convictions")})
     if kinds is None or "report_reconciliation" in kinds:
         out = rules.with_lookups(out, declared=refdata.reconcile(ctx, ref.filings(spark, sf_dir), ref.filing_periods(spark)))
     return out
@@ -124,7 +125,7 @@ def _verdict_sql() -> str:
     }
     parts, tests = [], []
     for r in QUERY_RULES:
-        kind = "sender_total" if r.params.get("group_by") == "sender" else r.kind
+        kind = "sender_total" if r.params.get("group_by") == "sender" else "no_register" if r.params.get("register") == "final_convictions" else r.kind
         if kind not in tests:
             tests.append(kind)
         listed = lambda v: "(" + ", ".join(f"'{x}'" for x in v) + ")"
@@ -134,7 +135,8 @@ def _verdict_sql() -> str:
         open_regime = "regime = 'indeterminate'" if r.regime else "false"
         parts.append(f"SELECT donation_id, '{r.id}' AS rule_id, CASE WHEN {open_regime} THEN 'INDETERMINATE' WHEN NOT ({fits}) THEN 'NOT_APPLICABLE' WHEN {gap} THEN 'INDETERMINATE' WHEN fired IS NULL THEN 'INDETERMINATE' WHEN fired THEN '{hit}' ELSE 'PASS' END AS outcome, {r.weight or 'NULL'}::DOUBLE AS weight FROM base JOIN t_{kind} USING (donation_id)")
     sender = KIND_SQL["aggregate_threshold"].replace("p.receiver_id IS NOT NULL AND ", "").replace(" AND h.receiver_id = p.receiver_id", "")
-    ctes = [f"t_{k} AS ({sender if k == 'sender_total' else KIND_SQL[k]})" for k in tests]
+    special = {"sender_total": sender, "no_register": "SELECT donation_id, NULL::BOOLEAN AS fired FROM ctx"}
+    ctes = [f"t_{k} AS ({special.get(k) or KIND_SQL[k]})" for k in tests]
     base = "base AS (SELECT *, CASE WHEN period_start IS NOT NULL THEN 'campaign' WHEN window_start IS NOT NULL THEN 'party_annual' ELSE 'indeterminate' END AS regime FROM ctx)"
     return f"{_CTX}, {ref.ENTRIES}, {ref.FILINGS}, {base}, {', '.join(ctes)}, verdicts AS ({' UNION ALL '.join(parts)})"
 
