@@ -229,7 +229,7 @@ def review_queue(spark, sf_dir):
     return scoring.queue(scoring.composed(lanes(spark, sf_dir)), 100).select("donation_id", "score")
 
 
-@query(f"{_SCORES} SELECT donation_id, score FROM scores WHERE false")
+@query(f"{_SCORES} SELECT donation_id, score FROM scores WHERE score > 0 AND donation_id NOT IN (SELECT donation_id FROM lanes WHERE contribution > 0)")
 def unexplained_scores(spark, sf_dir):
     return scoring.unexplained(scoring.composed(lanes(spark, sf_dir))).select("donation_id", "score")
 
