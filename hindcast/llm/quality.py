@@ -142,8 +142,11 @@ def rules(text: Column, c: Callable[[str], Column], t: Thresholds = Thresholds()
 
 
 def drawn(docs: DataFrame, rows: int) -> DataFrame:
-    """``rows`` rows of ``docs`` (one text column), those of the least hash: the same in every run."""
-    return docs.orderBy(F.xxhash64(docs.columns[0])).limit(rows)
+    """``rows`` rows of ``docs`` (one text column), those of the least hash: the same in every run.
+
+    Cached, so that each task sends its own least ones and no projection comes between the order and the limit.
+    """
+    return docs.orderBy(F.xxhash64(docs.columns[0])).limit(rows).cache()
 
 
 def ordered(sample: DataFrame, found: dict[str, Column]) -> list[str]:
@@ -184,12 +187,13 @@ def judged(docs: DataFrame, text_col: str = "text", t: Thresholds = Thresholds()
     name = names_in(docs, prefix, ("base_failed", "kept"))
     count = lambda m: F.col(name[m])
     found = rules(F.col(text_col), count, t)
-    sample = measured(drawn(docs.select(text_col), sample_rows).select(text_col, *[F.lit(None).alias(c) for c in docs.columns if c != text_col]), text_col, prefix)
-    sample.cache()
+    first = drawn(docs.select(text_col), sample_rows)
+    sample = measured(first.select(text_col, *[F.lit(None).alias(c) for c in docs.columns if c != text_col]), text_col, prefix).cache()
     try:
         order = ordered(sample, found)
     finally:
         sample.unpersist()
+        first.unpersist()
     base = base_rules(count, count("n_repeat_words"), t)
     failed = F.col(name["base_failed"])
     return measured(docs, text_col, prefix).withColumn(name["base_failed"], base["few_words"] | base["repeats"]).withColumn(
@@ -215,11 +219,13 @@ def keep_good(docs: DataFrame, text_col: str = "text", t: Thresholds = Threshold
         "n_lines": lambda w: F.lit(0),  # read by the rule that stands above in another form
         "n_dup_lines": lambda w: F.lit(0),
     }
-    sample = drawn(docs.select(text_col), sample_rows).withColumn("_w", words(text)).withColumns({k: f(F.col("_w")) for k, f in cheap.items()}).cache()
+    first = drawn(docs.select(text_col), sample_rows)
+    sample = first.withColumn("_w", words(text)).withColumns({k: f(F.col("_w")) for k, f in cheap.items()}).cache()
     try:
         order = ordered(sample, cascade(F.col("_w"), F.col))
     finally:
         sample.unpersist()
+        first.unpersist()
     # bound and not columns: a filter is moved below a projection and would count once for each use
     judge = lambda w: bind(F.struct(*[f(w).alias(k) for k, f in cheap.items()]), lambda m: verdict(cascade(w, lambda k: m[k]), order))
     return docs.where(bind(words(text), judge))
