@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_chat_format
+from .collocations import OP13_SQL, op13_collocations
 from .embeddings import OP6_SQL, op6_embedding_near_dedup
 from .jaccard import OP9_SQL, op9_ngram_jaccard
 from .lm import op4_lm_scoring
@@ -30,6 +31,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_ngram_jaccard,
         op10_packing,
+        op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL, "op6_embedding_near_dedup": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op9_ngram_jaccard": OP9_SQL,
+    "op13_collocations": OP13_SQL,
+}

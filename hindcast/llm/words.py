@@ -110,10 +110,11 @@ class Words:
         return out, out_start
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = SPACE) -> Words:
+    """The words of each text; ``gaps`` tells for each byte whether it stands between words."""
     if lower:
         buf = LOWER[buf]
-    inside = ~SPACE[buf]
+    inside = ~gaps[buf]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
