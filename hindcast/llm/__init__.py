@@ -17,6 +17,7 @@ from .quality import OP7_SQL, op7_quality_rules
 from .secrets import op8_secret_scan
 from .spm import op3_sentencepiece
 from .substring import OP2_SQL, op2_substring_dedup
+from .trie import OP11_SQL, op11_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_ngram_jaccard,
         op10_packing,
+        op11_prefix_trie,
         op13_collocations,
     )
 }
@@ -40,5 +42,6 @@ ORACLES: dict[str, str] = {
     "op6_embedding_near_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_ngram_jaccard": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_collocations": OP13_SQL,
 }
