@@ -18,6 +18,7 @@ from .secrets import op8_secret_scan
 from .spm import op3_sentencepiece
 from .substring import OP2_SQL, op2_substring_dedup
 from .trie import OP11_SQL, op11_prefix_trie
+from .urls import OP12_SQL, op12_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ngram_jaccard,
         op10_packing,
         op11_prefix_trie,
+        op12_url_filters,
         op13_collocations,
     )
 }
@@ -43,5 +45,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
     "op9_ngram_jaccard": OP9_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_url_filters": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
