@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.functions.quantiles import at_places, ranked
 from hindcast.functions.stats import share, wilson
 
 
@@ -22,13 +23,6 @@ def at_budget(scored: DataFrame, budget: int) -> DataFrame:
     return out.withColumns({"precision": share(F.col("hits"), F.col("reviewed")), "recall": share(F.col("hits"), F.col("positives")), "lift": F.when(F.col("base") > 0, F.col("novel") / F.col("base")).otherwise(F.col("novel").cast("double"))})
 
 
-def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """``rows`` with a global rank from 1: one range sort, then per-partition counts and offsets; no single-task window."""
-    spark = rows.sparkSession
-    schema = rows.schema.add(name, "long")
-    return spark.createDataFrame(rows.orderBy(*order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1)), schema)
-
-
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row: the mean precision at each confirmed row, ranked by score and then input order."""
     hits = ranked(ranked(scored.select("donation_id", "score", "occurred_at", "confirmed"), F.col("score").desc(), F.col("occurred_at"), F.col("donation_id")).where("confirmed"), F.col("rank"), name="hit")
@@ -42,6 +36,7 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def calibration_error(bins: DataFrame) -> DataFrame:
+    """One row: the row-weighted mean distance of mean score and confirmed rate; null without rows."""
     return bins.agg((F.sum(F.col("rows") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("rows")).alias("error"))
 
 
@@ -66,8 +61,10 @@ def threshold_choice(scored: DataFrame, clean_recall: float = 0.70) -> DataFrame
 
 
 def nearest_rank(rows: DataFrame, column: str, fractions: tuple[float, ...]) -> DataFrame:
-    """One row: nearest-rank percentiles."""
-    return rows.agg(*[F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY `{column}`)").alias(f"p{round(f * 100)}") for f in fractions])
+    """One row: nearest-rank percentiles, by narrowing ranges."""
+    values = rows.select(F.lit("all").alias("feature"), F.col(column).alias("value"))
+    names = {f"p{round(f * 100)}": (lambda n, f=f: F.greatest(F.ceil(F.lit(f) * n), F.lit(1))) for f in fractions}
+    return at_places(values, names).agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in names])
 
 
 def cohort_split(ledger: DataFrame, shares: tuple[float, float] = (0.60, 0.15)) -> DataFrame:

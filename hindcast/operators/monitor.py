@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.functions.quantiles import at_places
 from hindcast.functions.stats import share
 
 from .dims import small
@@ -15,10 +16,11 @@ LEAST = 10
 def edges(baseline: DataFrame, bins: int = 10) -> DataFrame:
     """Per feature: the value at place min(int(n * i / bins), n - 1) of its sorted baseline, i = 1..bins-1; null if under LEAST rows.
 
-    ``baseline``: feature, value. Percentiles by nearest rank, so no value list is gathered.
+    ``baseline``: feature, value. The places are found by narrowing ranges, so no task holds a feature's values.
     """
-    counted = baseline.where("value is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"percentile_disc({i / bins} + 1e-12) WITHIN GROUP (ORDER BY value)").alias(f"e{i}") for i in range(1, bins)])
-    return counted.select("feature", "n", F.when(F.col("n") >= LEAST, F.array(*[f"e{i}" for i in range(1, bins)])).alias("edges"))
+    places = {f"{i:04d}": (lambda n, i=i: F.least(F.floor(n * i / bins), n - 1) + 1) for i in range(1, bins)}
+    found = at_places(baseline, places).groupBy("feature", "n").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("e"))
+    return found.select("feature", "n", F.when(F.col("n") >= LEAST, F.col("e.value")).alias("edges"))
 
 
 def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, floor: float = 1e-6) -> DataFrame:

@@ -2,12 +2,14 @@
 
 Two forms carry everything. *Running* aggregates answer "all history up to t" with windows and no
 self-join: recorded_at >= occurred_at makes visibility one-dimensional, so knowledge events (at
-recorded_at) and probe events (at occurred_at) are one stream per key. A key's stream is cut into time
-buckets: bucket totals run over few rows, rows run inside their bucket, so a hub's history is spread
-over tasks. *Sliding* aggregates answer "the last k days" in the same way: a row of history is visible from
-its recording until k days after its occurrence, so it is added at the one and taken off after the other;
-distinct counterparties are counted by the unions of their rows' intervals. Only a sliding maximum needs
-pairs, of distinct instants. Both bounds are inclusive, and ties are visible.
+recorded_at) and probe events (at occurred_at) are one stream per key. A key with more than HUB_ROWS events
+is cut into stretches of about that many, from a count of its events by hour: totals of the stretches run over few rows,
+rows run inside their stretch, so a hub's history is spread over tasks. *Sliding* aggregates answer "the last k
+days" in the same way: a row of history is visible from its recording until k days after its occurrence, so it is added
+at the one and taken off after the other; distinct counterparties are counted by the unions of their rows' intervals. A
+greatest value cannot be taken off again: its interval is cut at one dyadic boundary of time, into the end of one slot and
+the start of the next, and there it is a running maximum from the left or from the right (``interval_max``). Both bounds
+are inclusive, and ties are visible.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
+#: Events of one key that a task orders at once; a key with more is cut.
+HUB_ROWS = 1_000_000
 _COMBINE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 Measure = tuple[str, str, Column]
@@ -28,25 +32,36 @@ def snapshot(ledger: DataFrame, at: Column) -> DataFrame:
     return ledger.where((F.col("occurred_at") <= at) & (F.col("recorded_at") <= at))
 
 
-def running(events: DataFrame, keys: Sequence[str], measures: Sequence[Measure], strict: bool = False, bucket_days: int = 64) -> DataFrame:
+def running(events: DataFrame, keys: Sequence[str], measures: Sequence[Measure], strict: bool = False, hub_rows: int | None = None) -> DataFrame:
     """``events`` (keys, at in microseconds, values) with each measure over the key's events up to and including ``at``.
 
     ``strict`` leaves out events at the same instant. Measures are (name, sum | count | min | max, value);
-    values that are null (as on probe events) do not count.
+    values that are null (as on probe events) do not count. Events without all keys are left out. A key's events of one
+    hour are not cut.
     """
-    b = "_bucket"
-    rows = events.withColumn(b, F.floor(F.col("at") / F.lit(bucket_days * DAY)))
-    for i, (_, _, value) in enumerate(measures):
-        rows = rows.withColumn(f"_v{i}", value)
-    totals = rows.groupBy(*keys, b).agg(*[_AGG[how](f"_v{i}").alias(f"_t{i}") for i, (_, how, _) in enumerate(measures)])
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    most = HUB_ROWS if hub_rows is None else hub_rows
+    rows = events.where(" and ".join(f"{k} is not null" for k in keys)).withColumns({f"_v{i}": value for i, (_, _, value) in enumerate(measures)})
+    hubs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys)
+    upto = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
+    whole = lambda how, c: F.coalesce(c, F.lit(0)) if how in ("sum", "count") else c
+    plain = rows.join(hubs, list(keys), "left_anti").select(*events.columns, *[whole(how, _AGG[how](f"_v{i}").over(upto)).alias(name) for i, (name, how, _) in enumerate(measures)])
+
+    # hubs: stretches of about ``most`` events, whose totals are carried into the next
+    hour, b = "_hour", "_bucket"
+    large = rows.join(hubs, list(keys), "left_semi").withColumn(hour, F.floor(F.col("at") / F.lit(3_600_000_000)))
+    before = Window.partitionBy(*keys).orderBy(hour).rowsBetween(Window.unboundedPreceding, -1)
+    each = large.groupBy(*keys, hour).agg(F.count(F.lit(1)).alias("_n"))
+    stretch = each.select(*keys, hour, F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(most)).alias(b))
+    large = large.join(stretch, [*keys, hour])
+    totals = large.groupBy(*keys, b).agg(*[_AGG[how](f"_v{i}").alias(f"_t{i}") for i, (_, how, _) in enumerate(measures)])
+    earlier = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    offsets = totals.select(*keys, b, *[again[how](f"_t{i}").over(before).alias(f"_o{i}") for i, (_, how, _) in enumerate(measures)])
+    offsets = totals.select(*keys, b, *[again[how](f"_t{i}").over(earlier).alias(f"_o{i}") for i, (_, how, _) in enumerate(measures)])
     inside = Window.partitionBy(*keys, b).orderBy("at").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
-    out = rows.join(offsets, [*keys, b])
-    return out.select(
+    cut = large.join(offsets, [*keys, b]).select(
         *events.columns, *[_COMBINE[how](F.col(f"_o{i}"), _AGG[how](f"_v{i}").over(inside)).alias(name) for i, (name, how, _) in enumerate(measures)]
     )
+    return plain.unionByName(cut)
 
 
 def as_of(ledger: DataFrame, keys: Sequence[str], measures: Sequence[Measure], history: DataFrame | None = None, strict: bool = False) -> DataFrame:
@@ -161,13 +176,40 @@ def sliding_distinct(probes: DataFrame, history: DataFrame, key: str, other: str
     return _probed(probes, _edges(both, {name: F.col("_all"), fresh: F.col("_fresh")}), {key: key}, [(name, "sum"), (fresh, "sum")])
 
 
-def sliding_max(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, value: Column, name: str) -> DataFrame:
-    """(donation_id, name): the greatest value in the last ``days`` days. Distinct instants meet in pairs, not rows."""
+def interval_max(probes: DataFrame, spans: DataFrame, on: dict[str, str], name: str, bits: int) -> DataFrame:
+    """(donation_id, name): the greatest ``_v`` of the spans (_from, until before _until) that hold a probe's instant; no pairs.
+
+    Spans last 2^``bits`` microseconds at most. One that crosses a boundary between two dyadic slots of time (the coarsest
+    that it crosses, or the one of 2^bits) is seen at the end of the left slot from its start on, and at the start of the right slot until
+    its end: running maxima in either direction. A probe looks into one slot of each size that its key's spans need.
+    """
     keys, parts = list(on), list(on.values())
-    tops = history.groupBy(*parts, "occurred_at", "recorded_at").agg(F.max(value).alias("_v"))
-    asks = probes.select(*keys, "occurred_at").distinct()
-    found = lookback(asks, tops, on, days).groupBy(*keys, "occurred_at").agg(F.max("h__v").alias(name))
-    return probes.select("donation_id", *keys, "occurred_at").join(found, [*keys, "occurred_at"]).select("donation_id", name)
+    spans = spans.where("_from < _until").where(" and ".join(f"{h} is not null" for h in parts))
+    both = F.col("_from").bitwiseXOR(F.col("_until") - 1)
+    size = F.when(both < 0, bits).when(both == 0, 0).otherwise(F.least(F.length(F.bin(both)) - 1, F.lit(bits)))
+    cut = spans.withColumn("_size", size)
+    piece = lambda side, at, edge: F.struct(F.lit(side).alias("_side"), F.expr(f"shiftright({edge}, _size)").alias("_slot"), at.alias("at"))
+    facts = cut.select(
+        *[F.col(h).alias(f"_k{i}") for i, h in enumerate(parts)], "_size", "_v", F.inline(F.array(piece(0, F.col("_from"), "_from"), piece(1, -F.col("_until"), "_until - 1")))
+    )
+    ids = [f"_k{i}" for i in range(len(keys))]
+    used = facts.groupBy(*ids).agg(F.collect_set("_size").alias("_sizes"))  # as many as there are sizes: 64 at most
+    t = F.unix_micros("occurred_at")
+    asks = probes.select(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(keys)], t.alias("_t"), "donation_id").join(used, ids)
+    asks = asks.select("*", F.explode("_sizes").alias("_size")).withColumn("_slot", F.expr("shiftright(_t, _size)"))
+    sides = F.when(F.col("_size").isin(0, bits), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("_slot").bitwiseAND(F.lit(1)).cast("int")))
+    asks = asks.select(*ids, "_size", "_slot", F.explode(sides).alias("_side"), "_t", "donation_id").withColumn("at", F.when(F.col("_side") == 0, F.col("_t")).otherwise(-F.col("_t") - 1))
+    kind = probes.schema["donation_id"].dataType
+    columns = [*ids, "_size", "_slot", "_side", "at"]
+    events = facts.select(*columns, "_v", F.lit(None).cast(kind).alias("donation_id")).unionByName(asks.select(*columns, F.lit(None).cast(facts.schema["_v"].dataType).alias("_v"), "donation_id"))
+    found = running(events, columns[:-1], [("_m", "max", F.col("_v"))])
+    return found.where("donation_id is not null and _m is not null").groupBy("donation_id").agg(F.max("_m").alias(name))
+
+
+def sliding_max(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, value: Column, name: str) -> DataFrame:
+    """(donation_id, name): the greatest value in the last ``days`` days, known at the time; rows without any are left out."""
+    spans = _visible(history, days).select(*on.values(), "_from", "_until", value.alias("_v")).where("_v is not null")
+    return interval_max(probes, spans, on, name, (days * DAY + 1).bit_length())
 
 
 def lookback(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, include_self: bool = True) -> DataFrame:
