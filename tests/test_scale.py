@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.functions import quantiles
-from hindcast.operators import graph, pit
+from hindcast.operators import graph, pit, typology
 from hindcast.sources import scratch
 
 START = dt.datetime(2024, 1, 1)
@@ -98,3 +98,52 @@ def test_ranks_are_global_and_stay_in_the_jvm(spark):
     order = sorted((-v, i) for i, v in rows)
     assert all(bisect.bisect_left(order, (-r["v"], r["i"])) + 1 == r["rank"] for r in df.collect())
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def _gifts(seed, n, nodes, amounts, days=30):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        at = START + dt.timedelta(seconds=r.randrange(days * 86400)) if i % 3 else START + r.randrange(days) * DAY
+        out.append((i, r.choice([None, *range(nodes)]), r.choice([None, *range(nodes)]), at, at, r.choice(amounts)))
+    return out
+
+
+@pytest.mark.parametrize("amounts", [[1, 2, 3, 5, 7, 20, 63, 64, 65, 70, 80], [10_000 + 37 * k for k in range(300)], [0, 9, 10**9, 10**9 + 1, 1_150_000_000, 850_000_000]])
+def test_proxies_are_those_of_all_pairs(spark, amounts):
+    rows = _gifts(5, 250, 6, amounts)
+    got = {r[0] for r in typology.proxies(_ledger(spark, rows)).collect()}
+    want = set()
+    for i, s, _, t, _, y in rows:
+        for j, _, k, u, _, x in rows:
+            if i != j and s is not None and s == k and t - 7 * DAY <= u <= t and x and y and 0.85 <= y / x <= 1.15:
+                want |= {i, j}
+    assert got == want
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_smurfing_is_that_of_all_groups(spark, least):
+    rows = [(*x[:2], x[2] and x[2] % 2, *x[3:]) for x in _gifts(6, 260, 40, [100, 101, 110, 114, 115, 116, 130, 131, 160, 0, 999], 40)]
+    rows += [(1000 + k, 77, 1, START, START, a) for k, a in enumerate([100, 108, 115, 120, 140, 100])]  # one donor, many amounts at one instant
+    got = dict(map(tuple, typology.smurfing(_ledger(spark, rows), 500, min_donors=least).collect()))
+    first = {}
+    for _, s, k, t, *_ in rows:
+        if s is not None and k is not None:
+            first[s, k] = min(first.get((s, k), t), t)
+    small = [x for x in rows if (x[1], x[2]) in first and x[3] == first[x[1], x[2]] and x[5] < 500]
+    want = {}
+    for i, _, k, t, *_ in small:
+        near = [x for x in small if x[2] == k and t <= x[3] <= t + 7 * DAY]
+        most = max(len({z[1] for z in near if x[5] <= z[5] <= x[5] * 1.15}) for x in near)
+        if most >= least:
+            want[i] = most
+    assert got == want
+
+
+def test_a_busy_hub_is_swept_in_linear_work(spark):
+    """60,000 first gifts to one receiver in a week: pairs would be 10^9."""
+    r = random.Random(7)
+    rows = [(i, i, 0, START + dt.timedelta(seconds=r.randrange(7 * 86400)), START, 1000 + r.randrange(4000)) for i in range(60_000)]
+    got = typology.smurfing(_ledger(spark, rows), 10_000, min_donors=15)
+    assert got.count() > 59_000
+    assert typology.proxies(_ledger(spark, [(i, 0 if i % 2 else i, i if i % 2 else 0, *x[3:]) for i, x in enumerate(rows)])).count() > 59_000
