@@ -13,7 +13,8 @@ is each document's set size and the least document id of its connected group.
    the OR of its documents' bitmaps and their size range. A document that met nobody is a root alone.
 4. The walk. Two roots are a pair if they can hold a link: if two sets link, their first (p + l - 1)
    hashes in any common order share at least l, where p = n - ceil(percent * n / 100) + 1; these are its
-   index hashes, and the order puts frequent ones last. A join takes each pair of roots to the pairs
+   index hashes, and the order puts frequent ones last. Leaves of one root are paired by the same index, so a
+   template that many texts share gives no pairs by itself. A join takes each pair of roots to the pairs
    of their leaves, without those that lie in one linked group, whose sizes are too far apart, or whose
    bitmaps share too few bits for the greatest possible overlap. Only then do texts travel, leaves in
    cells of 8 x 8 so that a leaf is sent once to a row of cells and not once to each partner. In a cell
@@ -456,18 +457,20 @@ def root_pairs(index: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("c").alias("c")).where("c >= least").select("a", "b")
 
 
-def leaf_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(cell, a, b): the leaves below pairs of roots that may still link.
+def leaf_pairs(pairs: DataFrame, inner: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(cell, a, b): the leaves below pairs of roots, and pairs of leaves of one root (``inner``), that may still link.
 
-    ``nodes``: (leaf, root, cell, low, high, comp, mixed, bits, spill).
+    ``nodes``: (leaf, root, cell, low, high, comp, mixed, bits, spill). A leaf of several groups is paired with itself.
     """
     side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("leaf", "root", "cell", "low", "high", "comp", "mixed", "bits", "spill")])
     both = pairs.join(side("a"), F.col("a") == F.col("root_a")).join(
-        side("b"),
-        (F.col("b") == F.col("root_b"))
-        & F.expr(f"low_a * {percent} <= high_b * 100 and low_b * {percent} <= high_a * 100")
-        & F.expr("(leaf_a = leaf_b and mixed_a) or (comp_a <> comp_b and (a <> b or leaf_a < leaf_b))"),
+        side("b"), (F.col("b") == F.col("root_b")) & F.expr(f"low_a * {percent} <= high_b * 100 and low_b * {percent} <= high_a * 100 and comp_a <> comp_b")
     )
+    same = F.expr(f"low_a * {percent} <= high_b * 100 and low_b * {percent} <= high_a * 100 and comp_a <> comp_b")
+    both = both.unionByName(inner.join(side("a"), F.col("a") == F.col("leaf_a")).join(side("b"), (F.col("b") == F.col("leaf_b")) & same))
+    alone = nodes.where("mixed and leaf <> root")
+    twice = alone.select(F.col("leaf").alias("a"), F.col("leaf").alias("b"), *[F.col(c).alias(f"{c}_{s}") for s in "ab" for c in ("leaf", "root", "cell", "low", "high", "comp", "mixed", "bits", "spill")])
+    both = both.unionByName(twice)
     asked = ["leaf_a", "leaf_b", "cell_a", "cell_b", "root_a", "root_b", *[f"{c}_{s}" for s in "ab" for c in ("low", "bits", "spill")]]
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -587,11 +590,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = written(roots, "roots")
     owner = written(placed.select("doc", "root").join(roots, "root"), "owner")
     pairs = root_pairs(index_rows(some.select("doc", "index").join(owner, "doc"), percent), percent)
-    within = nodes.where("leaf <> root").groupBy("root").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("mixed").alias("mixed")).where("mixed or c0 <> c1")
-    pairs = written(pairs.unionByName(within.select(F.col("root").alias("a"), F.col("root").alias("b"))), "root-pairs")
-    todo = written(leaf_pairs(pairs, nodes, percent), "leaf-pairs")
+    pairs = written(pairs, "root-pairs")
+    # inside a root its leaves ask the same index, under the root's own hashes
+    within = nodes.where("leaf <> root").groupBy("root").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("root")
+    leafed = placed.where("leaf <> root").join(within, "root", "left_semi").select("doc", "root", "leaf").join(nodes.select("leaf", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "comp"), "leaf")
+    own = some.select("doc", "index").join(leafed, "doc").select(F.transform("index", lambda t: F.xxhash64(t, F.col("root"))).alias("index"), F.col("leaf").alias("root"), "comp", "low", "high")
+    inner = written(root_pairs(index_rows(own, percent), percent), "inner-pairs")
+    todo = written(leaf_pairs(pairs, inner, nodes, percent), "leaf-pairs")
     crossed = written(pair_links(todo, placed.select(F.col("leaf").alias("node"), "doc", "comp", "n"), texts, width, percent), "crossed")
-    dropped(nodes, originals, slim, first, clusters, placed, owner, roots, pairs, todo)
+    dropped(nodes, originals, slim, first, clusters, placed, owner, roots, pairs, inner, todo)
     groups = components(copies.unionByName(near).unionByName(crossed)).withColumnRenamed("id", "doc")
     found = sets.select("id", "h", "n", "doc")
     if not repeated:

@@ -739,3 +739,15 @@ def test_feistel_is_a_permutation(spark):
     assert out.count() == 91
     digits = spark.range(1000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("d")).distinct()
     assert digits.where(F.length("d") == 3).count() == 1000
+
+
+def test_a_template_gives_no_leaf_pairs(spark, monkeypatch):
+    """Texts of 200 common and 100 own words meet in one root and link with nothing: their leaves are not paired."""
+    common, seen = text(77, 200), []
+    rows = [(i, f"{common} {' '.join(f'o{i}x{k}' for k in range(100))}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real = jaccard.leaf_pairs
+    monkeypatch.setattr(jaccard, "leaf_pairs", lambda *a: seen.append(jaccard.written(real(*a), "seen")) or seen[0])
+    _, groups = jaccard.near_copies(df)
+    assert groups.count() == 0
+    assert seen[0].count() < 40  # all pairs of its leaves would be over 250
