@@ -2,7 +2,8 @@
 
 The corpus is one string of words, cut into pieces at punctuation. The words with enough occurrences are found first.
 Then the suffixes, cut to ``longest`` words and before the first rarer word, are dealt to groups by their first word;
-a word with more occurrences than a group's memory budget is split by its second word, and so on. Each group
+a word with more occurrences than a group's memory budget is split by its second word, and so on (counted by cells of
+hashes, so what is counted is bounded too). Each group
 sorts its suffixes and reads its subtree from them: a node of depth d is a run of suffixes with the same d words, and
 its count is the total of its leaves. Nodes above the split points get their parts from several groups, which are added.
 Scores, cuts and coverage are joins between nodes.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, table, written
-from .prefixes import among, budget_of, group_of, grouped
+from .prefixes import budget_of, cell_bits, group_of, packed, sums
 from .words import GRAM, Words, gather, mix, text_bytes, text_slices, words_of
 
 LEAST, LONGEST, COVERED, TOP = 30, 4, 80, 2000
@@ -38,6 +39,8 @@ SLICE = 8 << 20
 RUN = 1 << 20
 #: Suffixes that a group's task sorts at once: 36 bytes each, and as much again for the sort.
 GROUP_SUFFIXES = 2_000_000
+#: Smaller groups are not worth their own counts.
+LEAST_SUFFIXES = 32_768
 
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -66,15 +69,22 @@ def prefix_hashes(cols: np.ndarray) -> Iterator[np.ndarray]:
         yield p
 
 
-def routes(cols: np.ndarray, hot: list[np.ndarray]) -> np.ndarray:
-    """The hash of the shortest prefix of each suffix that is not in ``hot`` (by depth)."""
+def split(p: np.ndarray, d: int, hot: list[np.ndarray]) -> np.ndarray:
+    """Which prefixes of ``d`` + 1 words are over the budget? Those whose cell is; a lighter one there is split with it."""
+    if d >= len(hot):
+        return np.zeros(len(p), bool)
+    return hot[d][(p >> np.uint64(65 - len(hot[d]).bit_length())).astype(np.int64)]
+
+
+def routes(cols: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the shortest prefix of each suffix that is not split, and whether it has all words that are looked at."""
     live, out = np.ones(cols.shape[1], bool), None
     for d, p in enumerate(prefix_hashes(cols)):
         out = p if out is None else np.where(live, p, out)
-        if d >= len(hot) or not len(hot[d]):
+        if d == len(hot):
             break
-        live &= among(hot[d], p)
-    return out
+        live &= split(p, d, hot)
+    return out, live
 
 
 def suffixes(batch: pa.RecordBatch, seed: int, bits: int, bitmap: np.ndarray, longest: int) -> Iterator[np.ndarray]:
@@ -116,7 +126,7 @@ def subtree(cols: np.ndarray, weight: np.ndarray, least: int, hot: list[np.ndarr
             continue
         start = np.flatnonzero(new[d])
         total = np.add.reduceat(weight, start)
-        keep = (cols[d, start] != 0) & ((total >= least) | (among(hot[d], p[start]) if d < len(hot) else False))
+        keep = (cols[d, start] != 0) & ((total >= least) | split(p[start], d, hot))
         yield cols[: d + 1, start[keep]], total[keep]
 
 
@@ -154,46 +164,36 @@ def nodes(docs: DataFrame, known: DataFrame, seed: int, least: int, longest: int
     spark = docs.sparkSession
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("f"), F.lit(0)).alias("f")).first()
     total = int(size["f"])
-    budget = budget_of(spark, total, GROUP_SUFFIXES)
+    budget = budget_of(spark, total, GROUP_SUFFIXES, LEAST_SUFFIXES)
     sent = spark.sparkContext.broadcast(bitmap_of(known, size["n"]))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in (s for x in batches for s in text_slices(x, "text", SLICE)):
             yield from suffixes(b, seed, *sent.value, longest)
 
-    # Vertical partitioning: what is over the budget (total / budget prefixes of each depth at most) is counted one word deeper.
-    hot: list[np.ndarray] = []
-    counted = written(known.select(F.col("h").alias("p"), F.col("f").alias("n")), "prefixes")
-    tables, weights = [counted], None
-    while True:
-        deepest = len(hot) == longest - 1
-        over = [] if deepest else [r["p"] for r in counted.where(F.col("n") > budget).select("p").collect()]
-        rest = counted if deepest else counted.where(F.col("n") <= budget)
-        weights = rest if weights is None else weights.unionByName(rest)
-        if not over:
-            break
-        hot.append(np.sort(np.array(over, np.int64).view(np.uint64)))
-        above = list(hot)
+    # Vertical partitioning: what is over the budget is counted one word deeper, by cells of prefix hashes; a task sends its sums.
+    bits = cell_bits(budget, max(total, 1))
+    cells = sums(known.select(F.expr(f"shiftrightunsigned(h, {64 - bits})").alias("cell"), F.col("f").alias("n")), bits)
+    load, hot = np.zeros(1 << bits, np.int64), []
+    while len(hot) < longest - 1 and (cells > budget).any():
+        hot.append(cells > budget)
+        load += np.where(hot[-1], 0, cells)
 
-        def deeper(batches: Iterator[pa.RecordBatch], above: list[np.ndarray] = above) -> Iterator[pa.RecordBatch]:
+        def deeper(batches: Iterator[pa.RecordBatch], above: list[np.ndarray] = list(hot)) -> Iterator[pa.RecordBatch]:
+            met = np.zeros(1 << bits, np.int64)
             for cols in slices(batches):
-                live = np.ones(cols.shape[1], bool)
-                for d, p in enumerate(prefix_hashes(cols)):
-                    if d == len(above):
-                        value, n = np.unique(p[live], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["p", "n"])
-                        break
-                    live &= among(above[d], p)
-
-        counted = written(docs.mapInArrow(deeper, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")), "prefixes")
-        tables.append(counted)
-    shift, starts = grouped(weights, budget, max(total, 1))
-    dropped(*tables)
+                p, live = routes(cols, above)
+                met += np.bincount((p[live] >> np.uint64(64 - bits)).astype(np.int64), minlength=len(met))
+            some = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(met[some])], ["cell", "n"])
+
+        cells = sums(docs.mapInArrow(deeper, "cell long, n long"), bits)
+    shift, starts = 64 - bits, packed(load + cells, budget)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each run and group: equal suffixes once with their number; columns one after the other."""
         for cols in slices(batches):
-            group = group_of(routes(cols, hot), shift, starts)
+            group = group_of(routes(cols, hot)[0], shift, starts)
             order = np.lexsort((*cols[::-1], group))
             cols, group = cols[:, order], group[order]
             if not len(group):

@@ -16,32 +16,41 @@ from .common import partitions
 MOST_CELL_BITS = 22
 
 
-def budget_of(spark: SparkSession, total: int, most: int) -> int:
-    """Weight of a group: ``most`` (what a task's memory holds), or less so that there are four groups a partition."""
-    return max(1, min(most, -(-total // (4 * partitions(spark)))))
+def budget_of(spark: SparkSession, total: int, most: int, least: int = 1) -> int:
+    """Weight of a group: ``most`` (what a task's memory holds), or less, but ``least``, so that there are four groups a partition."""
+    return min(most, max(least, -(-total // (4 * partitions(spark)))))
 
 
-def grouped(weights: DataFrame, budget: int, total: int) -> tuple[int, np.ndarray]:
-    """From ``weights`` (p, n): how far to shift a hash to get its cell, and the first cell of each group."""
-    bits = min(MOST_CELL_BITS, max(10, (64 * -(-total // budget)).bit_length()))
-    cell = F.expr(f"shiftrightunsigned(p, {64 - bits})")
-    rows = sorted((r["cell"], int(r["n"])) for r in weights.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect())
+def cell_bits(budget: int, total: int) -> int:
+    """Leading bits of a hash that make its cell: some 16 to 32 cells a group, 4 million at most."""
+    return min(MOST_CELL_BITS, max(10, (16 * -(-total // budget)).bit_length()))
+
+
+def sums(weights: DataFrame, bits: int) -> np.ndarray:
+    """The weight of each cell, from rows (cell, n)."""
+    found = weights.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.int64)
+    out[np.asarray(found.column("cell"), np.int64)] = np.asarray(found.column("n"), np.int64)
+    return out
+
+
+def packed(cells: np.ndarray, budget: int) -> np.ndarray:
+    """The first cell of each group: consecutive cells until the budget is full."""
     starts, load = [0], 0
-    for at, n in rows:
+    for at, n in zip(np.flatnonzero(cells).tolist(), cells[cells > 0].tolist(), strict=True):
         if load and load + n > budget:
             starts.append(at)
             load = 0
         load += n
-    return 64 - bits, np.array(starts, np.int64)
+    return np.array(starts, np.int64)
+
+
+def grouped(weights: DataFrame, budget: int, total: int) -> tuple[int, np.ndarray]:
+    """From ``weights`` (p, n): how far to shift a hash to get its cell, and the first cell of each group."""
+    bits = cell_bits(budget, total)
+    return 64 - bits, packed(sums(weights.select(F.expr(f"shiftrightunsigned(p, {64 - bits})").alias("cell"), "n"), bits), budget)
 
 
 def group_of(p: np.ndarray, shift: int, starts: np.ndarray) -> np.ndarray:
     """The group of each prefix hash."""
     return np.searchsorted(starts, (p >> np.uint64(shift)).astype(np.int64), side="right") - 1
-
-
-def among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which of ``x`` are in the sorted ``values``?"""
-    if not len(values):
-        return np.zeros(len(x), bool)
-    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x

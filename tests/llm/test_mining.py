@@ -24,6 +24,12 @@ def lowered(t):
 # --- collocations ---
 
 
+@pytest.fixture(autouse=True)
+def small_groups(monkeypatch):
+    """Groups as small as the texts here, so that words are split over them."""
+    monkeypatch.setattr(collocations, "LEAST_SUFFIXES", 1)
+
+
 def plain_phrases(rows, least, longest=4, percent=80, top=2000):
     f, n = collections.Counter(), collections.Counter()
     for text, lang in rows:
