@@ -222,7 +222,7 @@ def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in (s for x in batches for s in text_slices(x, "text", 1 << 20)):
             small = pa.array([z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("doc_id"), b.column("held"), small], ["chunk", "doc_id", "held", "packed"])
 

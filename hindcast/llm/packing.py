@@ -147,17 +147,19 @@ class WordIds(dict):
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. A
     word of Latin letters and a last run of ASCII signs is the letters' ids and the signs' ids: its
     pattern splits there, and the letters go straight to the BPE model. Other words take the whole way.
-    The cache holds ``most`` words and starts anew when full.
+    The cache holds about ``most`` bytes and starts anew when full; words of over LONGEST bytes are not kept.
     """
 
+    LONGEST, ENTRY = 256, 200  # bytes; what an entry takes besides its word and ids
+
     SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 200 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most, 0
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_names = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(128)} | {
@@ -180,9 +182,12 @@ class WordIds(dict):
                 ids += self._signs(signs)
         else:
             ids = self.whole(text)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids
+        if len(word) <= self.LONGEST:
+            self.held += len(word) + len(ids) + self.ENTRY
+            if self.held > self.most:
+                self.clear()
+                self.held = len(word) + len(ids) + self.ENTRY
+            self[word] = ids
         return ids
 
     def _signs(self, run: bytes) -> bytes:

@@ -10,6 +10,9 @@ The network is additive: steps a = (a + F(b)) mod A and b = (b + F(a)) mod B in
 the pairs (a, b) for any two moduli, and whole value ranges split into A x B need no cycle walking.
 F is SHA-256 of key, kind, step and the other half.
 
+Left in clear, as nothing validates them: ten digits without separators, slashed or dotted dates with the month first, IPv6
+addresses, names, and postal addresses.
+
 Mail addresses have no numeric format: their local part becomes a keyed 16-letter name at example.org.
 
 Every repeat in a pattern is bounded (a local part has at most 64 characters, a host at most 127 labels of
@@ -34,16 +37,16 @@ STEPS = 8
 #: Fixed formats, tried in this order where they start at the same place.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])|(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|\.[0-9])|(?<![0-9])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?![0-9]| [0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 #: Cheap, and found in every text that holds one of FORMATS: texts without it are not searched.
-WORTH = "[0-9][0-9()./ -]{5}|@|[A-Z]{2}[0-9]{2}[A-Z0-9]"
+WORTH = "[0-9][0-9()./ -]{5}|@|[A-Z]{2}[0-9]{2} ?[A-Z0-9]"
 #: Days from 0001-01-01: those of 1800-2199 (146,097 days = 189 x 773) and all others up to 9999-12-31 (3,505,962 = 642 x 5461).
 FIRST_DAY, COMMON_DAY, COMMON_HALVES, OTHER_HALVES = "0001-01-01", 657071, (189, 773), (642, 5461)
 #: Areas 001-899 without 666, groups 01-99, serials 0001-9999.
@@ -186,7 +189,12 @@ def _mod97(s: Column) -> Column:
 
 
 def iban(s: Column, key: str) -> Column:
-    """The digits after the check digits permuted, the check digits computed anew."""
+    """The digits after the check digits permuted, the check digits computed anew; groups of four stay apart where they were."""
+    grouped = lambda x: F.regexp_replace(x, "(.{4})(?=.)", "$1 ")
+    return F.when(F.contains(s, F.lit(" ")), bind(F.replace(s, F.lit(" "), F.lit("")), lambda c: grouped(_iban(c, key)))).otherwise(_iban(s, key))
+
+
+def _iban(s: Column, key: str) -> Column:
     country, body = F.substring(s, 1, 2), F.substr(s, F.lit(5))
 
     def new(b: Column) -> Column:
@@ -234,12 +242,15 @@ DEMO_KEY = "registered-query-key"
 KEY_CONF = "spark.hindcast.pii.key"
 
 
-def key_of(spark: SparkSession) -> str:
-    """The session's secret key: ``spark.hindcast.pii.key``."""
-    return spark.conf.get(KEY_CONF, DEMO_KEY)
+def key_of(spark: SparkSession, demo: bool = False) -> str:
+    """The session's secret key, ``spark.hindcast.pii.key``; with ``demo`` the key printed here where none is set."""
+    key = spark.conf.get(KEY_CONF, DEMO_KEY if demo else "")
+    if not key:
+        raise ValueError(f"set {KEY_CONF} to a secret key")
+    return key
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = lambda kind: F.size(F.filter("pii", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
-    return pseudonymised(docs, key_of(spark)).select("doc_id", *[n(k) for k in FORMATS], F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+    return pseudonymised(docs, key_of(spark, demo=True)).select("doc_id", *[n(k) for k in FORMATS], F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")

@@ -44,6 +44,8 @@ MARK = "▁"
 NEVER = float("-inf")
 LONG = 64
 BLOCK = 16
+#: The registered query cuts texts of more characters, so that the longest tenth goes through the scan.
+CHUNK = 5000
 #: Bytes that a worker's cache of solved units, and that of compatible neighbours, may take before it starts anew.
 CACHE_BYTES = 64 << 20
 
@@ -591,7 +593,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its ids' number and SHA-256 (decimal, joined by commas), and whether decoding them gives the text."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decoded(encoded(docs, public_model()), public_model())
+    both = decoded(encoded(docs, public_model(), chunk_chars=CHUNK), public_model())
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         (F.coalesce("text", F.lit("")) == F.coalesce("decoded", F.lit(""))).alias("round_trip"),

@@ -281,7 +281,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in (s for x in batches for s in text_slices(x, text_col, 1 << 20)):
             small = pa.array([None if t is None else z.compress(t.encode()) for t in b.column(text_col).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in [*others, tag]], small], [*[f"c{i}" for i in range(len(others))], "tag", "packed"])
 
