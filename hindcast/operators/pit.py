@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.sources import scratch
+
 DAY = 86_400_000_000
 #: Events of one key that a task orders at once; a key with more is cut.
 HUB_ROWS = 1_000_000
@@ -37,14 +39,18 @@ def running(events: DataFrame, keys: Sequence[str], measures: Sequence[Measure],
 
     ``strict`` leaves out events at the same instant. Measures are (name, sum | count | min | max, value);
     values that are null (as on probe events) do not count. Events without all keys are left out. A key's events of one
-    hour are not cut.
+    hour are not cut. Whether a key has more than HUB_ROWS is counted when this is called. Whether there are such keys is counted when this is called.
     """
     most = HUB_ROWS if hub_rows is None else hub_rows
     rows = events.where(" and ".join(f"{k} is not null" for k in keys)).withColumns({f"_v{i}": value for i, (_, _, value) in enumerate(measures)})
     hubs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys)
     upto = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     whole = lambda how, c: F.coalesce(c, F.lit(0)) if how in ("sum", "count") else c
-    plain = rows.join(hubs, list(keys), "left_anti").select(*events.columns, *[whole(how, _AGG[how](f"_v{i}").over(upto)).alias(name) for i, (name, how, _) in enumerate(measures)])
+    shown = [*events.columns, *[whole(how, _AGG[how](f"_v{i}").over(upto)).alias(name) for i, (name, how, _) in enumerate(measures)]]
+    if not hubs.limit(1).count():
+        return rows.select(*shown)
+    hubs = scratch.written(hubs, "hubs")
+    plain = rows.join(hubs, list(keys), "left_anti").select(*shown)
 
     # hubs: stretches of about ``most`` events, whose totals are carried into the next
     hour, b = "_hour", "_bucket"
@@ -150,13 +156,27 @@ def latest(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int,
     return found.select("donation_id", F.when(F.unix_micros(name) >= F.unix_micros("occurred_at") - days * DAY, F.col(name)).alias(name))
 
 
+def unions(rows: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, other, _from, _until): the unions of the intervals (_from until before _until) of each pair; they do not touch.
+
+    Equal intervals are one; a pair's intervals are run through in order by ``running``, which cuts hubs.
+    """
+    spans = rows.where(F.col(key).isNotNull() & F.col(other).isNotNull()).select(key, other, "_from", "_until").where("_from < _until").groupBy(key, other, "_from").agg(F.max("_until").alias("_until"))
+    events = spans.withColumn("at", F.col("_from"))
+    seen = running(scratch.written(events, "spans"), [key, other], [("_before", "max", F.col("_until"))], strict=True)
+    new = seen.withColumn("_new", F.coalesce(F.col("_from") > F.col("_before"), F.lit(True)).cast("int"))
+    numbered = running(scratch.written(new, "stays"), [key, other], [("_stay", "sum", F.col("_new"))])
+    return numbered.groupBy(key, other, "_stay").agg(F.min("_from").alias("_from"), F.max("_until").alias("_until")).drop("_stay")
+
+
 def stays(history: DataFrame, key: str, other: str, days: int) -> DataFrame:
-    """(key, other, _from, _until): the unions of the intervals in which a look-back sees rows of a pair; they do not touch."""
-    rows = _visible(history.where(F.col(key).isNotNull() & F.col(other).isNotNull()), days).select(key, other, "_from", "_until")
-    w = Window.partitionBy(key, other).orderBy("_from", "_until")
-    before = F.max("_until").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.coalesce(F.col("_from") > before, F.lit(True)).cast("int")).withColumn("_stay", F.sum("_new").over(w))
-    return rows.groupBy(key, other, "_stay").agg(F.min("_from").alias("_from"), F.max("_until").alias("_until")).drop("_stay")
+    """(key, other, _from, _until): the unions of the intervals in which a look-back sees rows of a pair."""
+    return unions(_visible(history, days), key, other)
+
+
+def distinct_at(probes: DataFrame, spans: DataFrame, on: tuple[str, str], other: str, name: str) -> DataFrame:
+    """(donation_id, name): the distinct ``other`` of the spans (_from, _until) that hold a probe's instant, by (probe key, span key)."""
+    return _probed(probes, _edges(unions(spans, on[1], other), {name: F.lit(1)}), {on[0]: on[1]}, [(name, "sum")])
 
 
 def old_from(history: DataFrame, key: str, days: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pit
+
 #: The most each lane can add, and the rules that the graph lane reads.
 CEILINGS = (("graph", 50), ("classifier", 30), ("anomaly", 15), ("reputation", 5))
 GRAPH_RULES = ("RULE-T2-01", "RULE-T2-03", "RULE-T2-04", "RULE-T2-09")
@@ -40,14 +42,20 @@ def anomaly_lane(scores: DataFrame, findings: DataFrame, cutoff: Column) -> Data
 
 
 def reputation_lane(ledger: DataFrame, coverage: DataFrame, enabled: bool, days: int = 1095) -> DataFrame:
-    """(donation_id, intensity): the strongest stage of coverage from two sources or more; null where the lane is off or silent."""
+    """(donation_id, intensity): the strongest stage of coverage from two sources or more; null where the lane is off or silent.
+
+    An item counts from its publication until the end of the ``days``-th day after it: sources are counted by the unions of
+    their items' intervals, and the strongest stage is a greatest value over intervals, so no transfer meets an item.
+    """
     stage = F.lit(STAGES[2][1])
     for name, weight in STAGES[:3]:
         stage = F.when(F.col("stage") == name, F.lit(weight)).otherwise(stage)
-    items = coverage.where("not retracted and match_confidence >= 0.95").select("entity_id", "source", "published_at", stage.alias("w"))
-    near = ledger.join(items, (F.col("sender_id") == F.col("entity_id")) & (F.col("published_at") <= F.col("occurred_at")) & (F.datediff("occurred_at", "published_at") <= days))
-    by = near.groupBy("donation_id").agg(F.count_distinct("source").alias("n"), F.max("w").alias("w")).where("n >= 2")
-    return by.select("donation_id", F.when(F.lit(enabled), F.col("w") * (0.6 + 0.4 * F.least(F.col("n") / 4, F.lit(1.0)))).alias("intensity"))
+    until = F.unix_micros(F.date_add(F.to_date("published_at"), days + 1).cast("timestamp"))
+    items = coverage.where("not retracted and match_confidence >= 0.95").select("entity_id", "source", F.unix_micros("published_at").alias("_from"), until.alias("_until"), stage.alias("_v"))
+    probes = ledger.select("donation_id", "sender_id", "occurred_at")
+    n = pit.distinct_at(probes, items, ("sender_id", "entity_id"), "source", "n").where("n >= 2")
+    w = pit.interval_max(probes, items, {"sender_id": "entity_id"}, "w", ((days + 1) * pit.DAY).bit_length())
+    return n.join(w, "donation_id").select("donation_id", F.when(F.lit(enabled), F.col("w") * (0.6 + 0.4 * F.least(F.col("n") / 4, F.lit(1.0)))).alias("intensity"))
 
 
 def lane_results(rows: DataFrame, lanes: dict[str, DataFrame]) -> DataFrame:
