@@ -147,3 +147,13 @@ def test_a_busy_hub_is_swept_in_linear_work(spark):
     got = typology.smurfing(_ledger(spark, rows), 10_000, min_donors=15)
     assert got.count() > 59_000
     assert typology.proxies(_ledger(spark, [(i, 0 if i % 2 else i, i if i % 2 else 0, *x[3:]) for i, x in enumerate(rows)])).count() > 59_000
+
+
+def test_chains_are_counted_without_listing_them(spark):
+    r = random.Random(9)
+    rows = [(i, r.randrange(6), r.randrange(6), START + dt.timedelta(hours=r.randrange(300)), START, r.choice([50, 70, 100, 130])) for i in range(45)]
+    rows = [(*x[:3], x[3], x[3], x[5]) for x in rows]
+    df, now = _ledger(spark, rows), F.lit(START + 13 * DAY)
+    listed = graph.membership(graph.all_alerts(graph.chains(df, now))).groupBy("donation_id").count()
+    want = {int(k): n for k, n in map(tuple, listed.collect())}
+    assert dict(map(tuple, graph.chain_counts(df, now).collect())) == want and max(want.values()) > 20
