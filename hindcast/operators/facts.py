@@ -29,10 +29,17 @@ def same_instant(ledger: DataFrame, keys: Sequence[str], value: Column, name: st
     return joined.select("donation_id", F.when(F.col("_who") != F.col("donation_id"), F.col("_top")).otherwise(F.col("_second")).alias(name))
 
 
+def prior_maxima(ledger: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """(donation_id, names): the greatest of each value over other rows of the keys known at the time, in one pass."""
+    out = pit.as_of(ledger, keys, [(f"_m_{n}", "max", v) for n, v in values.items()], strict=True)
+    for n, v in values.items():
+        out = out.join(same_instant(ledger, keys, v, f"_s_{n}"), "donation_id", "left")
+    return out.select("donation_id", *[F.greatest(f"_m_{n}", f"_s_{n}").alias(n) for n in values])
+
+
 def prior_max(ledger: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
     """(donation_id, name): the greatest value of other rows of the keys known at the time."""
-    before = pit.as_of(ledger, keys, [("_m", "max", value)], strict=True)
-    return before.join(same_instant(ledger, keys, value, "_s"), "donation_id", "left").select("donation_id", F.greatest("_m", "_s").alias(name))
+    return prior_maxima(ledger, keys, {name: value})
 
 
 def prior_top_pair(ledger: DataFrame, key: str, other: str, name: str) -> DataFrame:
@@ -119,11 +126,11 @@ def sender_windows(ctx: DataFrame) -> DataFrame:
     """Counts of 30 and 90 days, with and without the row, and distinct receivers of 14 days with the row's own."""
     slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at")
     key = {"sender_id": "sender_id"}
-    n30, n90 = (pit.sliding(slim, slim, key, d, {f"s{d}": F.lit(1)}) for d in (30, 90))
+    counts = pit.sliding_each(slim, slim, key, {d: {f"s{d}": F.lit(1)} for d in (30, 90)})
     near = pit.sliding_distinct(slim, slim, "sender_id", "receiver_id", 14, "_near")
     pair = pit.sliding(slim, slim, {"sender_id": "sender_id", "receiver_id": "receiver_id"}, 14, {"_pair": F.lit(1)})
     rows = slim.where("sender_id is not null")
-    for block in (n30, n90, near, pair):
+    for block in (counts, near, pair):
         rows = rows.join(block, "donation_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     me = F.when(pit.sees_itself(), 1).otherwise(0)
@@ -137,10 +144,8 @@ def inflows(ctx: DataFrame) -> DataFrame:
     """What reached the sender in 7 and 30 days; null where nothing did."""
     slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at", "amount_idr")
     key = {"sender_id": "receiver_id"}
-    out = slim.select("donation_id")
-    for d in (7, 30):
-        found = pit.sliding(slim, slim, key, d, {"n": F.lit(1), "s": F.col("amount_idr")})
-        out = out.join(found.select("donation_id", F.when(F.col("n") > 0, F.col("s")).alias(f"in{d}_total")), "donation_id", "left")
+    found = pit.sliding_each(slim, slim, key, {d: {f"n{d}": F.lit(1), f"s{d}": F.col("amount_idr")} for d in (7, 30)})
+    out = slim.select("donation_id").join(found.select("donation_id", *[F.when(F.col(f"n{d}") > 0, F.col(f"s{d}")).alias(f"in{d}_total") for d in (7, 30)]), "donation_id", "left")
     return out.join(pit.latest(slim, slim, key, 7, "in7_latest"), "donation_id", "left")
 
 

@@ -149,6 +149,18 @@ def sliding(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int
     return _probed(probes, _edges(_visible(history, days), values), on, [(n, "sum") for n in values])
 
 
+def sliding_each(probes: DataFrame, history: DataFrame, on: dict[str, str], windows: dict[int, dict[str, Column]]) -> DataFrame:
+    """``sliding`` for several windows (days: values) of the same keys, in one pass."""
+    names = [n for values in windows.values() for n in values]
+    facts = None
+    for days, values in windows.items():
+        edges = _edges(_visible(history, days), values)
+        edges = edges.select(*on.values(), "at", *[F.col(n).cast("decimal(38,0)").alias(n) if n in values else F.lit(None).cast("decimal(38,0)").alias(n) for n in names])
+        facts = edges if facts is None else facts.unionByName(edges)
+    found = _probed(probes, facts, on, [(n, "sum") for n in names])
+    return found.select("donation_id", *[F.col(n).cast("long").alias(n) for n in names])
+
+
 def latest(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, name: str) -> DataFrame:
     """(donation_id, name): the last occurrence among the history rows of the last ``days`` days, known at the time."""
     facts = history.withColumns({"at": F.unix_micros("recorded_at"), name: F.col("occurred_at")})
