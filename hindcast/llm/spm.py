@@ -44,8 +44,8 @@ MARK = "▁"
 NEVER = float("-inf")
 LONG = 64
 BLOCK = 16
-#: The registered query cuts texts of more characters, so that the longest tenth goes through the scan.
-CHUNK = 5000
+#: The registered query cuts texts of more characters, so that the longest ones (7 in 100) go through the scan.
+CHUNK = 8192
 #: Bytes that a worker's cache of solved units, and that of compatible neighbours, may take before it starts anew.
 CACHE_BYTES = 64 << 20
 
