@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +71,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, rows)
+
+
+@contextmanager
+def light_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Within: a batch between Spark and Python is cut at about ``size`` bytes; afterwards the session is as before.
+
+    It holds for what is written within, as a plan takes the setting when it is made. A session's own limit of the kind is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = int(spark.conf.get(name).rstrip("bB"))
+    spark.conf.set(name, min(size, before) if before > 0 else size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

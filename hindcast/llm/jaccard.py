@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, spare, table, written
+from .common import dropped, light_batches, partitions, spare, table, written
 from .components import components
 from .words import GRAM, grams, mix, text_bytes, text_slices, whole, words_of
 
@@ -547,6 +547,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat an id with another text; the component is the least doc, ``least`` the least id.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    with light_batches(docs.sparkSession):  # texts, bitmaps and index hashes are wide
+        return _linked(docs, width, percent)
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = written(signatures(docs, frequent(docs, width), width, percent), "sets")
     again = written(sets.where("id is not null").groupBy("id").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("id", "first"), "again")
     repeated = again.limit(1).count() > 0
