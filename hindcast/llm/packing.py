@@ -142,7 +142,7 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
 
 
 class WordIds(dict):
-    """Token ids of each word (little-endian 32-bit bytes), looked up once per worker and distinct word.
+    """Token ids of each word (little-endian 32-bit bytes), looked up once per task and distinct word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. A
     word of Latin letters and a last run of ASCII signs is the letters' ids and the signs' ids: its
@@ -185,11 +185,16 @@ class WordIds(dict):
         if len(word) <= self.LONGEST:
             self.held += len(word) + len(ids) + self.ENTRY
             if self.held > self.most:
-                self.clear()
+                self.forget()
                 self.held = len(word) + len(ids) + self.ENTRY
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop the words; a worker lives on after its task and serves other jobs."""
+        self.clear()
+        self.held = 0
+
     def _signs(self, run: bytes) -> bytes:
         return self[run] if len(run) < 8 else self.whole(run.decode())
 
@@ -255,16 +260,19 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             held = 0
             yield pa.RecordBatch.from_arrays(cols, names)
 
-        for batch in batches:
-            for b in text_slices(batch, text_col, slice_bytes):
-                for i, t in zip(b.column(id_col).to_pylist(), words.of([t or "" for t in b.column(text_col).to_pylist()]), strict=True):
-                    ids.append(i)
-                    toks.append(t + end)
-                    held += len(t) // 4 + 1
-                if held >= group_tokens:
-                    yield from emit()
-        if toks:
-            yield from emit()
+        try:
+            for batch in batches:
+                for b in text_slices(batch, text_col, slice_bytes):
+                    for i, t in zip(b.column(id_col).to_pylist(), words.of([t or "" for t in b.column(text_col).to_pylist()]), strict=True):
+                        ids.append(i)
+                        toks.append(t + end)
+                        held += len(t) // 4 + 1
+                    if held >= group_tokens:
+                        yield from emit()
+            if toks:
+                yield from emit()
+        finally:
+            words.forget()
 
     return docs.select(id_col, text_col).mapInArrow(each, schema)
 

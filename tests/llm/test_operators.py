@@ -8,10 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hindcast.llm import chat, components, embeddings, jaccard, lm, packing, pii, quality, secrets, spm, substring
+from hindcast.llm.common import light_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE = " ".join(f"p{i}" for i in range(30))
@@ -766,3 +768,25 @@ def test_a_template_gives_no_leaf_pairs(spark, monkeypatch):
     _, groups = jaccard.near_copies(df)
     assert groups.count() == 0
     assert seen[0].count() < 40  # all pairs of its leaves would be over 250
+
+
+def test_light_batches(spark):
+    name, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 1000) AS t")
+    before = spark.conf.get(name)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    with light_batches(spark, 1 << 20):
+        assert max(r.n for r in docs.mapInArrow(rows, "n long").collect()) < 1100
+    assert int(spark.conf.get(name).rstrip("bB")) == int(before.rstrip("bB"))
+    assert [r.n for r in docs.mapInArrow(rows, "n long").collect()] == [3000]
+
+
+def test_words_are_forgotten():
+    words = packing.word_ids(packing.public_tokenizer())
+    ids = words.of(["some words here"])
+    assert words and words.held
+    words.forget()
+    assert not words and not words.held and words.of(["some words here"]) == ids
