@@ -13,9 +13,10 @@ occurrence that covers the character before it: how far it reaches back and ahea
 max-plus matrix from entry to exit states. The product of matrices is associative, so they are combined
 in rounds: blocks of BLOCK neighbours become one matrix each, until one is left for a text. Then the best
 states at the cuts are pushed down, round by round, and each chunk is traced back on its own between its
-two states.
+two states. Between a chunk's first and last word start the path is fixed, so those ids are found along with
+the matrix, and only the texts at its two ends wait for the states.
 
-A task holds a slice of about a megabyte of texts or one chunk at a time; its caches of solved words are
+A task holds a slice of about a megabyte of texts or chunks (one at least) at a time; its caches of solved words are
 bounded in bytes, and words of over LONG characters are not kept.
 
 Defined results: null text stays null and has no ids; an empty text has no ids; repeated rows get equal
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,9 @@ BLOCK = 16
 CHUNK = 8192
 #: Bytes that a worker's cache of solved units, and that of compatible neighbours, may take before it starts anew.
 CACHE_BYTES = 64 << 20
+#: Two tables of so many places hold the pairs that can be joined; a pair that finds both its places taken stands in a list.
+PLACE_BITS = 20
+PLACE_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class Pieces:
@@ -122,36 +127,68 @@ class Pieces:
                 self.symbols[ord(piece)] = i
         symbol = lambda x: self.ids.get(x, int(self.symbols[ord(x)]) if len(x) == 1 else None)
         rows = [(symbol(p[:k]), symbol(p[k:]), i, self.score[p]) for p, i in self.ids.items() for k in range(1, len(p))]
-        rows = sorted((a << 24 | b, i, score) for a, b, i, score in rows if a is not None and b is not None)
-        self.joins, self.joined, self.gains = (np.array([r[k] for r in rows]) for k in range(3))
+        rows = [(a << 24 | b, i, score) for a, b, i, score in rows if a is not None and b is not None]
+        # One more row, which no pair equals: an empty place leads to it.
+        self.joins, self.joined = (np.array([r[k] for r in rows] + [-1 << 48], np.int64) for k in (0, 1))
+        self.gains = np.array([r[2] for r in rows] + [NEVER], np.float32)  # as the model file holds them
+        self.places = [np.full(1 << PLACE_BITS, len(rows), np.int32) for _ in range(2)]
+        left = np.arange(len(rows))
+        for places, odd in zip(self.places, PLACE_ODD, strict=True):
+            places[self._place(self.joins[left], odd)] = left
+            left = left[places[self._place(self.joins[left], odd)] != left]
+        order = np.argsort(self.joins[left])
+        self.rest = self.joins[left][order], left[order]
+
+    @staticmethod
+    def _place(key: np.ndarray, odd: int) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(odd)) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where pairs of symbols stand in the tables, and the score of joining them (NEVER: they cannot be)."""
+        """The symbol that pairs of symbols are joined to, and the score of it (NEVER: they cannot be)."""
         key = (a << 24) | b
-        at = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
-        return at, np.where(self.joins[at] == key, self.gains[at], NEVER)
+        at = self.places[0][self._place(key, PLACE_ODD[0])]
+        held = self.joins[at]
+        other = np.flatnonzero((held != key) & (held != self.joins[-1]))  # another pair has the place
+        if len(other):
+            k = key[other]
+            at[other] = self.places[1][self._place(k, PLACE_ODD[1])]
+            keys, rows = self.rest  # the few pairs without a place in either table
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                at[other] = np.where(keys[i] == k, rows[i], at[other])
+            at[self.joins[at] != key] = len(self.joins) - 1
+        return self.joined[at], self.gains[at]
 
     def merged_rows(self, ids: np.ndarray) -> np.ndarray:
-        """The merge rule on each row of symbols (padded with -1): all rows take their best merge in the same step."""
-        out, alive = np.full(ids.shape, -1, np.int64), np.arange(len(ids))
-        _, gain = self._join(ids[:, :-1], ids[:, 1:])
-        while True:
-            r = np.arange(len(alive))
-            best = gain.argmax(axis=1) if gain.shape[1] else np.zeros(len(alive), np.int64)
-            go = gain[r, best] > NEVER if gain.shape[1] else np.zeros(len(alive), bool)
-            out[alive[~go], : ids.shape[1]] = ids[~go]
-            if not go.any():
-                return out
-            alive, ids, gain, best = alive[go], ids[go], gain[go], best[go]
-            r = np.arange(len(alive))
-            at, _ = self._join(ids[r, best], ids[r, best + 1])
-            cols = np.arange(ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, cols + (cols > best[:, None]), 1)
-            ids[r, best] = self.joined[at]
-            gain = np.take_along_axis(gain, cols[:-1] + (cols[:-1] > best[:, None]), 1)
-            left, right = best > 0, best < ids.shape[1] - 1
-            gain[r[left], best[left] - 1] = self._join(ids[r[left], best[left] - 1], ids[r[left], best[left]])[1]
-            gain[r[right], best[right]] = self._join(ids[r[right], best[right]], ids[r[right], best[right] + 1])[1]
+        """The merge rule on each row of symbols (padded with -1): all rows take their best merge in the same step.
+
+        The symbol that a merge takes in becomes -1. Neighbours are linked by place, so that a merge moves no other symbol.
+        """
+        n, width = ids.shape
+        edge = np.full((n, 1), -1, np.int64)
+        flat = np.concatenate((edge, ids, edge), axis=1).ravel()
+        width += 2
+        place = np.arange(n * width)
+        before, after = place - 1, place + 1
+        made, gain = self._join(flat, np.append(flat[1:], -1))
+        rows, held = np.arange(n), gain.reshape(n, width)  # the rows that are still merged, and their gains
+        while len(rows):
+            best = held.argmax(axis=1)
+            go = held[np.arange(len(rows)), best] > NEVER
+            if 4 * np.count_nonzero(go) < 3 * len(rows):  # leave the finished rows
+                rows, best, held, go = rows[go], best[go], held[go], go[go]
+            live = np.flatnonzero(go)
+            at = rows[live] * width + best[live]
+            taken, own = after[at], live * width + best[live]  # in all rows, and in those held
+            beyond, left = after[taken], before[at]
+            flat[at], flat[taken] = made[at], -1
+            after[at], before[beyond] = beyond, at
+            shift = own - at
+            values = held.reshape(-1)
+            values[taken + shift] = NEVER
+            made[at], values[own] = self._join(flat[at], flat[beyond])
+            made[left], values[left + shift] = self._join(flat[left], flat[at])
+        return flat.reshape(n, width)[:, 1:-1]
 
     def solve_many(self, units: list[str]) -> None:
         """Put the ids of units of at most LONG characters into the cache."""
@@ -169,9 +206,10 @@ class Pieces:
                 raw = done[done >= 0].astype(np.int32).tobytes()
                 end = 4 * np.cumsum((done >= 0).sum(axis=1))
                 plain = (done < len(self.output)).all(axis=1)
-                for row, z, k, ok in zip(rows.tolist(), end.tolist(), (4 * (done >= 0).sum(axis=1)).tolist(), plain.tolist(), strict=True):
-                    if ok:
-                        self.units.keep(units[row], raw[z - k : z])
+                raws = [raw[z - k : z] for z, k, ok in zip(end.tolist(), (4 * (done >= 0).sum(axis=1)).tolist(), plain.tolist(), strict=True) if ok]
+                rows = rows[plain]
+                self.units.update(zip([units[row] for row in rows.tolist()], raws, strict=True))
+                self.units.bytes += 2 * int(size[rows].sum()) + sum(map(len, raws)) + 200 * len(raws)
 
     def at(self, text: str, start: int) -> Iterator[str]:
         """Pieces that occur at ``start``; a character that is no piece stands for itself."""
@@ -225,7 +263,10 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes. Units that are new are solved together."""
-        found = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        return self.ids_of([UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
+
+    def ids_of(self, found: list[list[str]]) -> list[bytes]:
+        """Ids of each list of units."""
         if self.bpe:
             units = [u for u in set().union(*found) if len(u) <= LONG]
             new = [u for u in units if u not in self.units]
@@ -379,7 +420,7 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids
 
     small = docs.where(~giant).withColumn(out, ids_of(text))
     large = docs.where(giant).withColumn(key, F.sha2(text, 256))
-    ids = giant_ids(large.select(F.col(key).alias("key"), text.alias("text")).dropDuplicates(["key"]), model, chunk_chars, bpe)
+    ids = giant_ids(large.select(F.col(key).alias("key"), text.alias("text")), model, chunk_chars, bpe)
     large = large.join(ids.select(F.col("key").alias(key), F.col("ids").alias(out)), key, "left").select(*docs.columns, out)
     return small.unionByName(large)
 
@@ -396,7 +437,7 @@ def _one(row: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 _KEY = [("key", pa.string()), ("k", pa.int32())]
-WINDOWS = pa.schema([*_KEY, ("lo", pa.int32()), ("hi", pa.int32()), ("window", pa.string())])
+WINDOWS = pa.schema([*_KEY, ("lo", pa.int32()), ("hi", pa.int32()), ("window", pa.binary())])
 MATRICES = pa.schema([*_KEY, ("entry", pa.list_(pa.int32())), ("leave", pa.list_(pa.int32())), ("score", pa.list_(pa.float64()))])
 STATES = pa.schema([*_KEY, *[(c, pa.int32()) for c in ("b0", "a0", "b1", "a1")]])
 MATRIX_DDL = "key string, k int, entry array<int>, leave array<int>, score array<double>"
@@ -451,9 +492,9 @@ def scanned(matrices: DataFrame, last: int) -> DataFrame:
     """(key, k, b0, a0, b1, a1): the best path's states at both ends of each chunk; ``last`` is the greatest k.
 
     Up: blocks of BLOCK matrices become one, until each text has one. Down: a text's best end gives the states at the ends
-    of its blocks, and so on to its chunks. No group holds more than BLOCK matrices.
+    of its blocks, and so on to its chunks. No group holds more than BLOCK matrices. ``matrices`` are read twice.
     """
-    levels = [written(matrices, "matrices")]
+    levels = [matrices]
     while last:
         block = levels[-1].withColumn("g", F.floor(F.col("k") / BLOCK))
         levels.append(written(block.groupBy("key", "g").applyInArrow(lambda t: combined(t.drop_columns("g")), MATRIX_DDL), "matrices"))
@@ -474,39 +515,60 @@ def scanned(matrices: DataFrame, last: int) -> DataFrame:
     return states
 
 
-def giant_ids(texts: DataFrame, model: str, chunk_chars: int, bpe: bool | None = None) -> DataFrame:
-    """(key, ids) of giant texts (key, text) by the scan."""
+def giant_ids(texts: DataFrame, model: str, chunk_chars: int, bpe: bool | None = None, slice_chars: int = 1 << 20) -> DataFrame:
+    """(key, ids) of giant texts (key, text; equal rows count once) by the scan.
+
+    The windows of chunks are dealt out once, packed. Where a chunk lies, its matrix and the ids of its fixed middle are found;
+    the states then meet the short texts at its two ends only.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margin = pieces_of(model, bpe).longest + 1
+        margin, z, seen = pieces_of(model, bpe).longest + 1, zstandard.ZstdCompressor(level=1), set()
         for r in rows_of(batches):
+            if r["key"] in seen:
+                continue
+            seen.add(r["key"])
             t, n = r["text"], len(r["text"]) + 1
             for k, lo in enumerate(range(0, n, chunk_chars)):  # the marked text is a mark and then the text
                 hi = min(lo + chunk_chars, n)
-                a, z = max(0, lo - margin), min(n, hi + margin)
-                window = (MARK * (a == 0) + t[max(a - 1, 0) : z - 1]).replace(" ", MARK)
-                yield _one({"key": r["key"], "k": k, "lo": lo - a, "hi": hi - a, "window": window}, WINDOWS)
+                a, e = max(0, lo - margin), min(n, hi + margin)
+                window = (MARK * (a == 0) + t[max(a - 1, 0) : e - 1]).replace(" ", MARK)
+                yield _one({"key": r["key"], "k": k, "lo": lo - a, "hi": hi - a, "window": z.compress(window.encode())}, WINDOWS)
 
+    kind = "smallint" if len(outputs_of(model)[0]) <= 1 << 15 else "int"
+    parts_of = pa.schema([*MATRICES, ("head", pa.string()), ("lo", pa.int32()), ("stop", pa.int32()), ("tail", pa.string()), ("end", pa.int32()), ("ids", pa.list_(pa.int16() if kind == "smallint" else pa.int32()))])
+    ids_of = pa.schema([*_KEY, parts_of.field("ids")])
     n_parts = partitions(texts.sparkSession)
-    chunks = written(texts.mapInArrow(cut, "key string, k int, lo int, hi int, window string").repartition(n_parts, "key", "k"), "chunks")
-    last = chunks.agg(F.max("k")).first()[0] or 0
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces_of(model, bpe)
-        for r in rows_of(batches):
-            entry, leave, score = chunk_matrix(p, r["window"], r["lo"], r["hi"], r["k"] == 0)
-            yield _one({"key": r["key"], "k": r["k"], "entry": [x for s in entry for x in s], "leave": [x for s in leave for x in s], "score": score.ravel().tolist()}, MATRICES)
-
-    states = scanned(chunks.mapInArrow(matrices, MATRIX_DDL), last)
+    chunks = texts.mapInArrow(cut, "key string, k int, lo int, hi int, window binary").repartition(n_parts, "key", "k").dropDuplicates(["key", "k"])
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, z, at_once = pieces_of(model, bpe), zstandard.ZstdDecompressor(), max(1, slice_chars // chunk_chars)
+        for b in (x.slice(i, at_once) for x in batches for i in range(0, x.num_rows, at_once)):
+            rows = b.to_pylist()
+            windows = [z.decompress(r["window"]).decode() for r in rows]
+            inner = [_inner(p, w, r["lo"], r["hi"]) for w, r in zip(windows, rows, strict=True)]
+            middles = p.ids_of([UNIT.findall(w[i[0] : i[1]]) if i else [] for w, i in zip(windows, inner, strict=True)])
+            out = []
+            for r, w, i, ids in zip(rows, windows, inner, middles, strict=True):
+                entry, leave, score = chunk_matrix(p, w, r["lo"], r["hi"], r["k"] == 0, i)
+                ends = {"head": w[: i[0] + 1], "stop": i[0], "tail": w[i[1] :], "end": r["hi"] - i[1]} if i else {"head": w, "stop": r["hi"], "tail": None, "end": 0}
+                matrix = {"entry": [x for s in entry for x in s], "leave": [x for s in leave for x in s], "score": score.ravel().tolist()}
+                out.append({"key": r["key"], "k": r["k"], "lo": r["lo"], "ids": np.frombuffer(ids, np.int32)} | matrix | ends)
+            yield pa.RecordBatch.from_pylist(out, parts_of)
+
+    parts = written(chunks.mapInArrow(solved, f"{MATRIX_DDL}, head string, lo int, stop int, tail string, end int, ids array<{kind}>"), "chunks")
+    last = parts.agg(F.max("k")).first()[0] or 0
+    states = scanned(parts.select("key", "k", "entry", "leave", "score"), last)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model, bpe)
         for r in rows_of(batches):
-            ids = chunk_trace(p, r["window"], r["lo"], r["hi"], (r["b0"], r["a0"]), (r["b1"], r["a1"]))
-            yield _one({"key": r["key"], "k": r["k"], "ids": ids}, pa.schema([*_KEY, ("ids", pa.list_(pa.int32()))]))
+            head, tail = chunk_ends(p, r["head"], r["lo"], r["stop"], r["tail"], r["end"], (r["b0"], r["a0"]), (r["b1"], r["a1"]))
+            yield pa.RecordBatch.from_pylist([{"key": r["key"], "k": 3 * r["k"], "ids": head}, {"key": r["key"], "k": 3 * r["k"] + 2, "ids": tail}], ids_of)
 
-    traced = chunks.join(states, ["key", "k"]).select("key", "k", "lo", "hi", "window", "b0", "a0", "b1", "a1").mapInArrow(trace, "key string, k int, ids array<int>")
-    return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
+    traced = parts.select("key", "k", "head", "lo", "stop", "tail", "end").join(states, ["key", "k"]).mapInArrow(trace, f"key string, k int, ids array<{kind}>")
+    pieces = traced.union(parts.select("key", (3 * F.col("k") + 1).alias("k"), "ids"))
+    return pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).cast("array<int>").alias("ids"))
 
 
 def _inner(p: Pieces, text: str, lo: int, hi: int) -> tuple[int, int] | None:
@@ -525,9 +587,8 @@ def _starts(text: str, at: int) -> bool:
     return at > 0 and (text[at] == "\n" or text[at - 1] == "\n" or text[at] == MARK and text[at - 1] != MARK)
 
 
-def chunk_matrix(p: Pieces, text: str, lo: int, hi: int, first: bool) -> tuple[list, list, np.ndarray]:
+def chunk_matrix(p: Pieces, text: str, lo: int, hi: int, first: bool, inner: tuple[int, int] | None) -> tuple[list, list, np.ndarray]:
     """A chunk's matrix. Two unit starts inside make it a rank-one matrix: head, fixed middle, tail."""
-    inner = _inner(p, text, lo, hi)
     if inner is None:
         return p.matrix(text, lo, hi, first)
     a, z = inner
@@ -538,20 +599,15 @@ def chunk_matrix(p: Pieces, text: str, lo: int, hi: int, first: bool) -> tuple[l
     return entry, leave, into[:, None] + middle + tail
 
 
-def chunk_trace(p: Pieces, text: str, lo: int, hi: int, entry: tuple[int, int], leave: tuple[int, int]) -> list[int]:
-    """Ids of the pieces that start in the chunk."""
-    inner = _inner(p, text, lo, hi)
-    if inner is None or hi - leave[0] < inner[1]:
-        return p.numbers(p.traced(text, lo, hi, entry, leave))
-    a, z = inner
-    head_text = text[: a + 1]
-    _, at_a, head = p.matrix(head_text, lo, a, entry == (0, 0))
-    entries = [(0, 0)] if entry == (0, 0) else p.states(head_text, lo)
+def chunk_ends(p: Pieces, head: str, lo: int, stop: int, tail: str | None, end: int, entry: tuple[int, int], leave: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """Ids of the pieces that start before and after a chunk's fixed middle; all are before it where there is none (no ``tail``)."""
+    if tail is None:
+        return p.numbers(p.traced(head, lo, stop, entry, leave)), []
+    _, at_a, score = p.matrix(head, lo, stop, entry == (0, 0))
+    entries = [(0, 0)] if entry == (0, 0) else p.states(head, lo)
     i = entries.index(entry)
-    j = max((j for j, s in enumerate(at_a) if s[1] == 0), key=lambda j: head[i, j])
-    out = p.numbers(p.traced(head_text, lo, a, entry, at_a[j]))
-    out += np.frombuffer(b"".join(map(p.units.__getitem__, UNIT.findall(text[a:z]))), np.int32).tolist()
-    return out + p.numbers(p.traced(text[z:], 0, hi - z, (0, 0), leave))
+    j = max((j for j, s in enumerate(at_a) if s[1] == 0), key=lambda j: score[i, j])
+    return p.numbers(p.traced(head, lo, stop, entry, at_a[j])), p.numbers(p.traced(tail, 0, end, (0, 0), leave))
 
 
 def decoded(rows: DataFrame, model: str, ids_col: str | None = None, out: str = "decoded", slice_ids: int = 1 << 18) -> DataFrame:

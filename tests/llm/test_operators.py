@@ -556,6 +556,30 @@ def test_scan_of_many_rounds(spark):
     assert {r.text: list(r.ids) for r in rows} == {t: sp.encode(t) for t in texts} and len(texts[0]) > 9 * spm.BLOCK**2
 
 
+def test_only_the_ends_of_chunks_meet_the_states(spark):
+    """Windows are dealt out once, so that no later shuffle holds them; copies of a giant text are solved once."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.public_model())
+    texts = ["so it  goes\n" * 30, "so it  goes\n" * 30, "a word " * 50, "x" * 300, "short"]
+    rows = spm.encoded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), spm.public_model(), chunk_chars=100)
+    assert "window#" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: list(r.ids) for r in rows.collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("bits", [10, 20])
+def test_pairs_are_found_in_full_tables(monkeypatch, bits):
+    monkeypatch.setattr(spm, "PLACE_BITS", bits)
+    p = spm.Pieces(spm.public_model())
+    p._tables()
+    keys = p.joins[:-1]
+    assert bits == 20 or len(p.rest[0]) > len(keys) // 2
+    made, gain = p._join(keys >> 24, keys & 0xFFFFFF)
+    assert (made == p.joined[:-1]).all() and (gain == p.gains[:-1]).all()
+    other = np.setdiff1d(keys + 1, keys)
+    assert (p._join(other >> 24, other & 0xFFFFFF)[1] == spm.NEVER).all() and p._join(np.array([-1]), np.array([-1]))[1][0] == spm.NEVER
+
+
 def test_unigram_scores_equal_the_best_path():
     p = spm.Pieces(spm.public_model(), bpe=False)
     for unit in ("▁thinghan", "▁naïve", "▁xqz"):
