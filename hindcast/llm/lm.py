@@ -18,7 +18,7 @@ order of the tasks, so the same input in the same splits gives the same scores,
 other splits give slightly other weights.
 
 Counts are exact and distributed: texts meet in chunks, a chunk asks for each of its distinct words
-once, and the answers come back to the chunk. So what is shuffled follows the vocabulary of chunks and
+once, where a word's rows meet they are added up (one window, no join), and each goes back to its chunk. So what is shuffled follows the vocabulary of chunks and
 not the number of tokens. Words are told apart by 64-bit hashes.
 
 Defined results: null text is empty, and an empty text is its end token; a null id is in training;
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -111,16 +111,27 @@ def probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def row_sums(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ``row`` and the sum of the rows of ``g`` at each; most occur once or twice, and these are only taken."""
+    order = np.argsort(row, kind="stable")
+    r = np.take(row, order)
+    begin = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+    size = np.diff(begin, append=len(r))
+    out = np.take(g, np.take(order, begin), axis=0)
+    two, more = np.flatnonzero(size == 2), np.flatnonzero(size > 2)
+    out[two] += np.take(g, order[begin[two] + 1], axis=0)
+    if len(more):
+        n = size[more]
+        out[more] = np.add.reduceat(np.take(g, order[np.repeat(size > 2, size)], axis=0), np.cumsum(n) - n, axis=0)
+    return r[begin].astype(np.intp), out
+
+
 def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
     """One step on a minibatch: each touched row moves against its summed gradient, scaled by its past size."""
     g = probabilities(weights, rows)
     g[np.arange(len(cls)), cls] -= 1
     for row in rows:
-        order = np.argsort(row, kind="stable")
-        r = np.take(row, order)
-        begin = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        step = np.add.reduceat(np.take(g, order, axis=0), begin, axis=0)
-        at = r[begin]
+        at, step = row_sums(g, row)
         size = squares[at] + np.einsum("ij,ij->i", step, step) / np.float32(g.shape[1])
         squares[at] = size
         step *= (rate / np.sqrt(size + 1e-3))[:, None]
@@ -240,8 +251,11 @@ def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
         chunk = np.full(len(word), group.column("chunk")[0].as_py(), np.int32)
         return pa.table({"chunk": chunk, "word": word.astype(np.int64), "c": c, "suffix": suffix[at]})
 
-    asked = written(base.groupBy("chunk").applyInArrow(lambda t: distinct(t), "chunk int, word long, c long, suffix int"), "asked")
-    counts = written(asked.groupBy("word").agg(F.sum("c").alias("c"), F.min("suffix").alias("suffix")), "counts")
+    asked = base.groupBy("chunk").applyInArrow(lambda t: distinct(t), "chunk int, word long, c long, suffix int")
+    same = Window.partitionBy("word")  # a row for each chunk that holds the word
+    answers = asked.select("chunk", "word", F.sum("c").over(same).alias("c"), "suffix", (F.min("chunk").over(same) == F.col("chunk")).alias("lead"))
+    answers = written(answers, "answers")
+    counts = answers.where("lead")
     suffixes = np.zeros(SUFFIXES)
     for r in counts.groupBy("suffix").agg(F.sum("c").alias("n")).where("n > 0").collect():  # at most SUFFIXES rows
         suffixes[r["suffix"]] = r["n"]
@@ -262,7 +276,6 @@ def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     all_mass = train_tokens + sum(r["v"] for r in known) + 1
     weights = trained(docs.where("not held").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).alias("part")), classes)
     sent = spark.sparkContext.broadcast((weights, mass, classes))
-    answers = asked.select("chunk", "word").join(counts.select("word", "c"), "word")
 
     def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
         weights, mass, table = sent.value
@@ -283,7 +296,7 @@ def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
             "train_tokens": np.full(len(n_tokens), train_tokens, np.int64), "base_score": base_score, "score": model,
         })
 
-    return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    return base.groupBy("chunk").cogroup(answers.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(
         lambda a, b: score(a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
