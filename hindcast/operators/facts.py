@@ -1,6 +1,6 @@
 """What each transfer's history held when it happened: the shared blocks under rules and features.
 
-Every block is keyed by donation_id and computed once for all rows; ``wide`` joins them.
+Every block is keyed by donation_id and computed once for all rows; ``pit.together`` puts them side by side.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.sources import scratch
+
 from . import pit
 from .dims import small
 
@@ -32,8 +34,7 @@ def same_instant(ledger: DataFrame, keys: Sequence[str], value: Column, name: st
 def prior_maxima(ledger: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """(donation_id, names): the greatest of each value over other rows of the keys known at the time, in one pass."""
     out = pit.as_of(ledger, keys, [(f"_m_{n}", "max", v) for n, v in values.items()], strict=True)
-    for n, v in values.items():
-        out = out.join(same_instant(ledger, keys, v, f"_s_{n}"), "donation_id", "left")
+    out = pit.together(out, *[same_instant(ledger, keys, v, f"_s_{n}") for n, v in values.items()])
     return out.select("donation_id", *[F.greatest(f"_m_{n}", f"_s_{n}").alias(n) for n in values])
 
 
@@ -55,9 +56,9 @@ def prior_top_pair(ledger: DataFrame, key: str, other: str, name: str) -> DataFr
     tops = top_two(steps.select(key, F.col("recorded_at").alias("occurred_at"), "total", F.col(other).alias("_o")), [key, "occurred_at"], "total", "_o")
     rows = ledger.select("donation_id", key, other, "occurred_at", "recorded_at", "amount_idr").join(tops, [key, "occurred_at"], "left")
     others = F.when(F.col(other).isNull() | (F.col("_who") != F.col(other)), F.col("_top")).otherwise(F.col("_second"))
-    rows = rows.select("donation_id", others.alias("_s"), F.when(pit.sees_itself(), F.col("amount_idr")).otherwise(0).alias("_own"))
+    rows = rows.where(F.col(key).isNotNull()).select("donation_id", others.alias("_s"), F.when(pit.sees_itself(), F.col("amount_idr")).otherwise(0).alias("_own"))
     pair = pit.as_of(ledger, [key, other], [("_p", "sum", F.col("amount_idr"))])
-    out = before.join(rows, "donation_id", "left").join(pair, "donation_id", "left")
+    out = pit.together(before, rows, pair)
     mine = F.when(F.col("_p") > F.col("_own"), F.col("_p") - F.col("_own"))
     return out.select("donation_id", F.greatest("_m", "_s", mine).cast("long").alias(name))
 
@@ -78,10 +79,9 @@ def window_of() -> Column:
 def window_totals(ctx: DataFrame, periods: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """(donation_id, <name>_n, <name>_total): other rows of the keys in the row's accumulation window known at the time."""
     history = window_ids(ctx.select(*keys, "occurred_at", "recorded_at", "amount_idr"), periods)
-    probes = ctx.withColumn("win", window_of())
-    found = pit.as_of(probes, [*keys, "win"], [("n", "count", F.col("amount_idr")), ("s", "sum", F.col("amount_idr"))], history=history)
-    own = ctx.select("donation_id", F.when(pit.sees_itself(), 1).otherwise(0).alias("self"), "amount_idr")
-    return found.join(own, "donation_id").select("donation_id", (F.col("n") - F.col("self")).cast("long").alias(f"{name}_n"), (F.col("s") - F.col("self") * F.col("amount_idr")).cast("long").alias(f"{name}_total"))
+    probes = pit.with_own(ctx.withColumn("win", window_of()))
+    found = pit.as_of(probes, [*keys, "win"], [("n", "count", F.col("amount_idr")), ("s", "sum", F.col("amount_idr"))], history=history, carry=["_self", "_own"])
+    return found.select("donation_id", (F.col("n") - F.col("_self")).cast("long").alias(f"{name}_n"), (F.col("s") - F.col("_own")).cast("long").alias(f"{name}_total"))
 
 
 def _square(x: str) -> Column:
@@ -92,15 +92,16 @@ def receiver_windows(ctx: DataFrame) -> DataFrame:
     """Amounts over 30 days before each row, with the row itself as history has it and without it, and the greatest of 14 days."""
     slim = ctx.select("donation_id", "receiver_id", "occurred_at", "recorded_at", "amount_idr")
     key, a = {"receiver_id": "receiver_id"}, F.col("amount_idr")
-    found = pit.sliding(slim, slim, key, 30, {"n": F.lit(1), "s": a, "q": _square("amount_idr")}).join(slim, "donation_id")
-    me = F.when(pit.sees_itself(), 1).otherwise(0)
+    probes = slim.withColumn("_me", F.when(pit.sees_itself(), 1).otherwise(0))
+    found = pit.sliding(probes, slim, key, 30, {"n": F.lit(1), "s": a, "q": _square("amount_idr")}, carry=["amount_idr", "_me"])
+    me = F.col("_me")
     others = F.col("n") - me
     some = lambda x: F.when(others > 0, x)
     out = found.where("n > 0").select(
         "donation_id", F.col("n").alias("r30_n"), F.col("s").alias("r30_sum"), F.col("q").alias("r30_squares"), others.alias("r30_other_n"),
         some(F.col("s") - me * a).alias("r30_other_sum"), some(F.col("q") - F.when(me == 1, _square("amount_idr")).otherwise(0)).alias("r30_other_squares"),
     )
-    return out.join(pit.sliding_max(slim, slim, key, 14, a, "r14_max"), "donation_id", "full")
+    return pit.together(out, pit.sliding_max(slim, slim, key, 14, a, "r14_max"))
 
 
 def fresh_senders(ctx: DataFrame, days: int, own: bool) -> DataFrame:
@@ -109,15 +110,17 @@ def fresh_senders(ctx: DataFrame, days: int, own: bool) -> DataFrame:
     ``own`` adds the row's own sender; without it the row itself is not part of its history.
     """
     slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at").where("receiver_id is not null")
-    seen = pit.sliding_distinct(slim, ctx, "receiver_id", "sender_id", days, "n", "f")
+    probes = slim.withColumns({"_at": F.unix_micros("occurred_at"), "_me": pit.sees_itself(), "_named": F.col("sender_id").isNotNull()})
+    seen = pit.sliding_distinct(probes, ctx, "receiver_id", "sender_id", days, "n", "f", carry=["_at", "_me", "_named"])
     pair = pit.sliding(slim, ctx, {"sender_id": "sender_id", "receiver_id": "receiver_id"}, days, {"p": F.lit(1)})
-    rows = slim.join(seen, "donation_id", "left").join(pair, "donation_id", "left").join(pit.old_from(ctx, "sender_id", days).withColumnRenamed("party", "sender_id"), "sender_id", "left")
-    new = F.unix_micros("occurred_at") < F.col("_old")
+    old = slim.join(pit.old_from(ctx, "sender_id", days).withColumnRenamed("party", "sender_id"), "sender_id").select("donation_id", "_old")
+    rows = pit.together(seen, pair, old)
+    new = F.col("_at") < F.col("_old")
     p = F.coalesce("p", F.lit(0))
     if own:  # one more, unless history holds the row's own sender already
-        change = F.when(F.col("sender_id").isNotNull() & (p == 0), 1).otherwise(0)
+        change = F.when(F.col("_named") & (p == 0), 1).otherwise(0)
     else:  # one less, if only the row itself brings its sender in
-        change = F.when(F.col("sender_id").isNotNull() & pit.sees_itself() & (p == 1), -1).otherwise(0)
+        change = F.when(F.col("_named") & F.col("_me") & (p == 1), -1).otherwise(0)
     n, f = F.coalesce("n", F.lit(0)) + change, F.coalesce("f", F.lit(0)) + F.when(new, change).otherwise(0)
     return rows.select("donation_id", n.cast("long").alias(f"d{days}_senders"), f.cast("long").alias(f"d{days}_fresh")).where(F.col(f"d{days}_senders") > 0)
 
@@ -126,27 +129,26 @@ def sender_windows(ctx: DataFrame) -> DataFrame:
     """Counts of 30 and 90 days, with and without the row, and distinct receivers of 14 days with the row's own."""
     slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at")
     key = {"sender_id": "sender_id"}
-    counts = pit.sliding_each(slim, slim, key, {d: {f"s{d}": F.lit(1)} for d in (30, 90)})
+    probes = slim.withColumns({"_me": F.when(pit.sees_itself(), 1).otherwise(0), "_named": F.col("receiver_id").isNotNull()})
+    counts = pit.sliding_each(probes, slim, key, {d: {f"s{d}": F.lit(1)} for d in (30, 90)}, carry=["_me", "_named"])
     near = pit.sliding_distinct(slim, slim, "sender_id", "receiver_id", 14, "_near")
     pair = pit.sliding(slim, slim, {"sender_id": "sender_id", "receiver_id": "receiver_id"}, 14, {"_pair": F.lit(1)})
-    rows = slim.where("sender_id is not null")
-    for block in (counts, near, pair):
-        rows = rows.join(block, "donation_id", "left")
+    rows = pit.together(counts, near, pair)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    me = F.when(pit.sees_itself(), 1).otherwise(0)
-    more = F.when(F.col("receiver_id").isNotNull() & (zero("_pair") == 0), 1).otherwise(0)
+    me = F.col("_me")
+    more = F.when(F.col("_named") & (zero("_pair") == 0), 1).otherwise(0)
     return rows.select(
         "donation_id", zero("s30").alias("s30"), zero("s90").alias("s90"), (zero("s30") - me).alias("s30_other"), (zero("s90") - me).alias("s90_other"), (zero("_near") + more).cast("long").alias("s14_receivers")
     )
 
 
-def inflows(ctx: DataFrame) -> DataFrame:
-    """What reached the sender in 7 and 30 days; null where nothing did."""
+def inflows(ctx: DataFrame, latest: bool = True) -> DataFrame:
+    """What reached the sender in 7 and 30 days, and when the last of 7 days did; null where nothing did."""
     slim = ctx.select("donation_id", "sender_id", "receiver_id", "occurred_at", "recorded_at", "amount_idr")
     key = {"sender_id": "receiver_id"}
     found = pit.sliding_each(slim, slim, key, {d: {f"n{d}": F.lit(1), f"s{d}": F.col("amount_idr")} for d in (7, 30)})
-    out = slim.select("donation_id").join(found.select("donation_id", *[F.when(F.col(f"n{d}") > 0, F.col(f"s{d}")).alias(f"in{d}_total") for d in (7, 30)]), "donation_id", "left")
-    return out.join(pit.latest(slim, slim, key, 7, "in7_latest"), "donation_id", "left")
+    found = found.select("donation_id", *[F.when(F.col(f"n{d}") > 0, F.col(f"s{d}")).alias(f"in{d}_total") for d in (7, 30)])
+    return pit.together(found, *([pit.latest(slim, slim, key, 7, "in7_latest")] if latest else []))
 
 
 def deadline_counts(ctx: DataFrame, hours: int = 72, days: int = 30) -> DataFrame:
@@ -159,7 +161,7 @@ def deadline_counts(ctx: DataFrame, hours: int = 72, days: int = 30) -> DataFram
     held = ctx.where("receiver_id is not null").select("receiver_id", "occurred_at", "recorded_at").join(ends, F.col("occurred_at").between(F.col("_b"), F.col("_e")))
     held = held.select("receiver_id", F.col("_e").alias("_end"), "recorded_at", F.when(F.col("occurred_at") >= F.col("_o"), 1).alias("_in"), F.when(F.col("occurred_at") <= F.col("_o"), 1).alias("_before"))
     n = pit.as_of(rows, ["receiver_id", "_end"], [("dl_in", "count", F.col("_in")), ("dl_base", "count", F.col("_before"))], history=held)
-    return rows.select("donation_id").join(n, "donation_id", "left").select("donation_id", F.coalesce("dl_in", F.lit(0)).alias("dl_in"), F.coalesce("dl_base", F.lit(0)).alias("dl_base"))
+    return n.select("donation_id", F.coalesce("dl_in", F.lit(0)).alias("dl_in"), F.coalesce("dl_base", F.lit(0)).alias("dl_base"))
 
 
 def _blocks(periods: DataFrame) -> dict:
@@ -173,7 +175,7 @@ def _blocks(periods: DataFrame) -> dict:
         "receiver_windows": receiver_windows,
         "fresh": lambda c: fresh_senders(c, 14, True),
         "sender_windows": sender_windows,
-        "inflows": inflows,
+        "inflows": lambda c: inflows(c, latest=False),
         "deadlines": deadline_counts,
     }
 
@@ -193,11 +195,14 @@ NEEDS = {
 }
 
 
-def rule_facts(ctx: DataFrame, periods: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
-    """``ctx`` with the measures that rules of these kinds read (None: all)."""
+def rule_facts(ctx: DataFrame, periods: DataFrame, kinds: Sequence[str] | None = None, more: Sequence[DataFrame] = ()) -> DataFrame:
+    """``ctx`` with the measures that rules of these kinds read (None: all), and the columns of ``more`` (by donation_id).
+
+    Blocks are written one by one, so that no plan holds the shuffles of all.
+    """
     made = _blocks(periods)
     wanted = list(made) if kinds is None else dict.fromkeys(b for k in kinds for b in NEEDS.get(k, ()))
-    out = ctx
-    for name in wanted:
-        out = out.join(made[name](ctx), "donation_id", "left")
-    return out
+    parts = [*[made[name](ctx) for name in wanted], *more]
+    if len(parts) > 1:
+        parts = [scratch.written(p, "block") for p in parts]
+    return ctx.join(pit.together(*parts), "donation_id", "left") if parts else ctx

@@ -70,35 +70,60 @@ def running(events: DataFrame, keys: Sequence[str], measures: Sequence[Measure],
     return plain.unionByName(cut)
 
 
-def as_of(ledger: DataFrame, keys: Sequence[str], measures: Sequence[Measure], history: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """(donation_id, measures) for each row of ``ledger`` whose keys are known, over what was recorded when it occurred.
+def together(*parts: DataFrame) -> DataFrame:
+    """The columns of all parts (donation_id and columns of their own, a row per transfer at most) side by side, null where a part has no row.
+
+    One exchange and one aggregate for any number of parts: joined one by one, each would bring a sort and a shuffle read of its own
+    into the same task, whose memory then grows with their number.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    kinds = {f.name: f.dataType for p in parts for f in p.schema if f.name != "donation_id"}
+    out = None
+    for p in parts:
+        wide = p.select("donation_id", *[F.col(c) if c in p.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+        out = wide if out is None else out.union(wide)
+    return out.groupBy("donation_id").agg(*[F.max(c).alias(c) for c in kinds])
+
+
+def _carried(probes: DataFrame, carry: Sequence[str], of: bool) -> list[Column]:
+    """The columns that probes keep; typed nulls on facts."""
+    return [F.col(c) if of else F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in carry]
+
+
+def as_of(ledger: DataFrame, keys: Sequence[str], measures: Sequence[Measure], history: DataFrame | None = None, strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(donation_id, measures, carry) for each row of ``ledger`` whose keys are known, over what was recorded when it occurred.
 
     A row sees itself if it was recorded when it occurred; callers that exclude it subtract it. ``history``
-    (keys, recorded_at, and the values that the measures read) replaces the ledger as what is known.
+    (keys, recorded_at, and the values that the measures read) replaces the ledger as what is known. ``carry`` names columns of
+    the rows that come back with them, which saves a join.
     """
     known = None
     for k in keys:
         known = F.col(k).isNotNull() if known is None else known & F.col(k).isNotNull()
     names = [m[0] for m in measures]
     source = (ledger if history is None else history).where(known)
-    facts = source.select(*keys, F.unix_micros("recorded_at").alias("at"), F.lit(None).cast(ledger.schema["donation_id"].dataType).alias("donation_id"), *[v.alias(f"_x{i}") for i, (_, _, v) in enumerate(measures)])
-    probes = ledger.where(known).select(*keys, F.unix_micros("occurred_at").alias("at"), "donation_id", *[F.lit(None).cast(facts.schema[f"_x{i}"].dataType).alias(f"_x{i}") for i in range(len(measures))])
+    facts = source.select(*keys, F.unix_micros("recorded_at").alias("at"), F.lit(None).cast(ledger.schema["donation_id"].dataType).alias("donation_id"), *[v.alias(f"_x{i}") for i, (_, _, v) in enumerate(measures)], *_carried(ledger, carry, False))
+    probes = ledger.where(known).select(*keys, F.unix_micros("occurred_at").alias("at"), "donation_id", *[F.lit(None).cast(facts.schema[f"_x{i}"].dataType).alias(f"_x{i}") for i in range(len(measures))], *_carried(ledger, carry, True))
     events = facts.unionByName(probes)
     found = running(events, keys, [(n, how, F.col(f"_x{i}")) for i, (n, how, _) in enumerate(measures)], strict)
-    return found.where(F.col("donation_id").isNotNull()).select("donation_id", *names)
+    return found.where(F.col("donation_id").isNotNull()).select("donation_id", *names, *carry)
 
 
 def sees_itself() -> Column:
     return F.col("recorded_at") == F.col("occurred_at")
 
 
+def with_own(ledger: DataFrame) -> DataFrame:
+    """``ledger`` with what a row adds to a history in which it sees itself: _self (0 or 1) and _own (its amount or 0)."""
+    me = F.when(sees_itself(), 1).otherwise(0)
+    return ledger.withColumns({"_self": me, "_own": me * F.col("amount_idr")})
+
+
 def prior_totals(ledger: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     """(donation_id, <prefix>_count, <prefix>_total): other rows of the same keys known at the time."""
-    own = ledger.select("donation_id", "amount_idr", F.when(sees_itself(), 1).otherwise(0).alias("self"))
-    found = as_of(ledger, keys, [("n", "count", F.col("amount_idr")), ("s", "sum", F.col("amount_idr"))])
-    return found.join(own, "donation_id").select(
-        "donation_id", (F.col("n") - F.col("self")).cast("long").alias(f"{prefix}_count"), (F.col("s") - F.col("self") * F.col("amount_idr")).cast("long").alias(f"{prefix}_total")
-    )
+    found = as_of(with_own(ledger), keys, [("n", "count", F.col("amount_idr")), ("s", "sum", F.col("amount_idr"))], carry=["_self", "_own"])
+    return found.select("donation_id", (F.col("n") - F.col("_self")).cast("long").alias(f"{prefix}_count"), (F.col("s") - F.col("_own")).cast("long").alias(f"{prefix}_total"))
 
 
 def first_pairs(ledger: DataFrame, key: str, other: str) -> DataFrame:
@@ -116,16 +141,16 @@ def first_seen(ledger: DataFrame, key: str = "sender_id") -> DataFrame:
     return as_of(ledger, [key], [("first_seen", "min", F.col("occurred_at"))])
 
 
-def _probed(probes: DataFrame, facts: DataFrame, on: dict[str, str], measures: Sequence[tuple[str, str]]) -> DataFrame:
-    """(donation_id, measures) at each probe's occurrence over ``facts`` (history keys, at, and a column per measure)."""
+def _probed(probes: DataFrame, facts: DataFrame, on: dict[str, str], measures: Sequence[tuple[str, str]], carry: Sequence[str] = ()) -> DataFrame:
+    """(donation_id, measures, carry) at each probe's occurrence over ``facts`` (history keys, at, and a column per measure)."""
     names = [n for n, _ in measures]
     kind = probes.schema["donation_id"].dataType
-    known = facts.select(*[F.col(h).alias(f"_k{i}") for i, h in enumerate(on.values())], "at", F.lit(None).cast(kind).alias("donation_id"), *[F.col(n).alias(f"_x{n}") for n in names])
-    asks = probes.select(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(on)], F.unix_micros("occurred_at").alias("at"), "donation_id", *[F.lit(None).cast(facts.schema[n].dataType).alias(f"_x{n}") for n in names])
+    known = facts.select(*[F.col(h).alias(f"_k{i}") for i, h in enumerate(on.values())], "at", F.lit(None).cast(kind).alias("donation_id"), *[F.col(n).alias(f"_x{n}") for n in names], *_carried(probes, carry, False))
+    asks = probes.select(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(on)], F.unix_micros("occurred_at").alias("at"), "donation_id", *[F.lit(None).cast(facts.schema[n].dataType).alias(f"_x{n}") for n in names], *_carried(probes, carry, True))
     keys = [f"_k{i}" for i in range(len(on))]
     events = known.unionByName(asks).where(" and ".join(f"{k} is not null" for k in keys))
     found = running(events, keys, [(n, how, F.col(f"_x{n}")) for n, how in measures])
-    return found.where("donation_id is not null").select("donation_id", *names)
+    return found.where("donation_id is not null").select("donation_id", *names, *carry)
 
 
 def _visible(history: DataFrame, days: int) -> DataFrame:
@@ -140,16 +165,16 @@ def _edges(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     return both.withColumns({"at": F.col("_e.at"), **{n: F.when(F.col("_e.on"), F.col(f"_{n}")).otherwise(-F.col(f"_{n}")) for n in values}})
 
 
-def sliding(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, values: dict[str, Column]) -> DataFrame:
-    """(donation_id, values): sums over the history rows of the last ``days`` days, known at the time; no pairs.
+def sliding(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, values: dict[str, Column], carry: Sequence[str] = ()) -> DataFrame:
+    """(donation_id, values, carry): sums over the history rows of the last ``days`` days, known at the time; no pairs.
 
     ``on`` maps probe columns to history columns; a count is the sum of ``lit(1)``. A probe sees itself where it was
     recorded when it occurred. Probes with a null key are left out.
     """
-    return _probed(probes, _edges(_visible(history, days), values), on, [(n, "sum") for n in values])
+    return _probed(probes, _edges(_visible(history, days), values), on, [(n, "sum") for n in values], carry)
 
 
-def sliding_each(probes: DataFrame, history: DataFrame, on: dict[str, str], windows: dict[int, dict[str, Column]]) -> DataFrame:
+def sliding_each(probes: DataFrame, history: DataFrame, on: dict[str, str], windows: dict[int, dict[str, Column]], carry: Sequence[str] = ()) -> DataFrame:
     """``sliding`` for several windows (days: values) of the same keys, in one pass."""
     names = [n for values in windows.values() for n in values]
     facts = None
@@ -157,14 +182,14 @@ def sliding_each(probes: DataFrame, history: DataFrame, on: dict[str, str], wind
         edges = _edges(_visible(history, days), values)
         edges = edges.select(*on.values(), "at", *[F.col(n).cast("decimal(38,0)").alias(n) if n in values else F.lit(None).cast("decimal(38,0)").alias(n) for n in names])
         facts = edges if facts is None else facts.unionByName(edges)
-    found = _probed(probes, facts, on, [(n, "sum") for n in names])
-    return found.select("donation_id", *[F.col(n).cast("long").alias(n) for n in names])
+    found = _probed(probes, facts, on, [(n, "sum") for n in names], carry)
+    return found.select("donation_id", *[F.col(n).cast("long").alias(n) for n in names], *carry)
 
 
 def latest(probes: DataFrame, history: DataFrame, on: dict[str, str], days: int, name: str) -> DataFrame:
     """(donation_id, name): the last occurrence among the history rows of the last ``days`` days, known at the time."""
     facts = history.withColumns({"at": F.unix_micros("recorded_at"), name: F.col("occurred_at")})
-    found = _probed(probes, facts, on, [(name, "max")]).join(probes.select("donation_id", "occurred_at"), "donation_id")
+    found = _probed(probes, facts, on, [(name, "max")], ["occurred_at"])
     return found.select("donation_id", F.when(F.unix_micros(name) >= F.unix_micros("occurred_at") - days * DAY, F.col(name)).alias(name))
 
 
@@ -197,15 +222,15 @@ def old_from(history: DataFrame, key: str, days: int) -> DataFrame:
     return history.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("party")).agg(F.min(at).alias("_old"))
 
 
-def sliding_distinct(probes: DataFrame, history: DataFrame, key: str, other: str, days: int, name: str, fresh: str | None = None) -> DataFrame:
-    """(donation_id, name, fresh): distinct ``other`` of ``key`` in the last ``days`` days, and those not known to have given before."""
+def sliding_distinct(probes: DataFrame, history: DataFrame, key: str, other: str, days: int, name: str, fresh: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(donation_id, name, fresh, carry): distinct ``other`` of ``key`` in the last ``days`` days, and those not known to have given before."""
     spans = stays(history, key, other, days)
     if fresh is None:
-        return _probed(probes, _edges(spans, {name: F.lit(1)}), {key: key}, [(name, "sum")])
+        return _probed(probes, _edges(spans, {name: F.lit(1)}), {key: key}, [(name, "sum")], carry)
     old = spans.join(old_from(history, other, days), F.col(other) == F.col("party"))
     new = old.select(key, "_from", F.least("_until", "_old").alias("_until"), F.lit(0).alias("_all"), F.lit(1).alias("_fresh")).where("_from < _until")
     both = spans.select(key, "_from", "_until", F.lit(1).alias("_all"), F.lit(0).alias("_fresh")).unionByName(new)
-    return _probed(probes, _edges(both, {name: F.col("_all"), fresh: F.col("_fresh")}), {key: key}, [(name, "sum"), (fresh, "sum")])
+    return _probed(probes, _edges(both, {name: F.col("_all"), fresh: F.col("_fresh")}), {key: key}, [(name, "sum"), (fresh, "sum")], carry)
 
 
 def interval_max(probes: DataFrame, spans: DataFrame, on: dict[str, str], name: str, bits: int) -> DataFrame:

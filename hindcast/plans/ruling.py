@@ -24,18 +24,19 @@ def rule_facts(spark, sf_dir, kinds=None) -> DataFrame:
     """Facts of the fixture ledger with the lookups that rules of these kinds read (None: all)."""
     ctx = contexts(spark, sf_dir, keep=True).withColumn("sender_text", F.when(F.col("donation_id") % 13 == 0, "Anonim").when(F.col("donation_id") % 3 == 0, "Donor"))
     ctx = ctx.withColumn("sender_quality", F.when(F.col("donation_id") % 26 == 0, "declared_anonymous").when(F.col("donation_id") % 39 == 0, "extraction_failed"))
-    out = facts.rule_facts(ctx, dims.calendar(spark), kinds)
-    if kinds is None or "foreign_jurisdiction" in kinds:
-        out = rules.with_lookups(out, src.entities(spark, sf_dir))
+    lookups = []
     if kinds is None or "register_membership" in kinds:
         names = src.entities(spark, sf_dir).select(F.col("entity_id").alias("sender_id"), F.upper("canonical_name").alias("sender_name"))
         rows = ctx.select("donation_id", "sender_id", "occurred_at").join(names, "sender_id", "left")
-        lookup = lambda name: refdata.register_lookup(rows, ref.registers(spark), ref.register_entries(spark, sf_dir), name, "sender_id", "sender_name", F.to_date("occurred_at"))
         # the register of final convictions is not available, so its rule cannot be evaluated
-        out = rules.with_lookups(out, listed={name: lookup(name) for name in ("prohibited_source", "final_convictions")})
+        for name in ("prohibited_source", "final_convictions"):
+            found = refdata.register_lookup(rows, ref.registers(spark), ref.register_entries(spark, sf_dir), name, "sender_id", "sender_name", F.to_date("occurred_at"))
+            lookups.append(found.select("donation_id", F.col("listed").alias(f"listed_{name}")))
     if kinds is None or "report_reconciliation" in kinds:
-        out = rules.with_lookups(out, declared=refdata.reconcile(ctx, ref.filings(spark, sf_dir), ref.filing_periods(spark)))
-    return out
+        lookups.append(refdata.reconcile(ctx, ref.filings(spark, sf_dir), ref.filing_periods(spark)))
+    if kinds is None or "foreign_jurisdiction" in kinds:
+        ctx = rules.with_lookups(ctx, src.entities(spark, sf_dir))
+    return facts.rule_facts(ctx, dims.calendar(spark), kinds, lookups)
 
 
 def _one(kind: str, spark, sf_dir) -> DataFrame:

@@ -157,3 +157,28 @@ def test_chains_are_counted_without_listing_them(spark):
     listed = graph.membership(graph.all_alerts(graph.chains(df, now))).groupBy("donation_id").count()
     want = {int(k): n for k, n in map(tuple, listed.collect())}
     assert dict(map(tuple, graph.chain_counts(df, now).collect())) == want and max(want.values()) > 20
+
+
+def test_blocks_meet_in_one_aggregate(spark):
+    """However many blocks there are, a task of the facts reads one exchange for all of them: joined one by one, each took memory of its own."""
+    from hindcast.operators import dims, facts
+
+    rows = [(i, x[1], x[2], x[3], x[3] + (i % 3) * DAY, x[5]) for i, x in enumerate(_gifts(11, 120, 6, [10, 40, 90], 60))]
+    extra = F.lit("ctx-1998").alias("electoral_context"), F.lit("individual").alias("sender_type"), F.lit("political-party").alias("receiver_type")
+    ctx = scratch.written(dims.contexts(_ledger(spark, rows).select("*", *extra), dims.calendar(spark), dims.limits(spark)), "contexts")
+    out = facts.rule_facts(ctx, dims.calendar(spark))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Join ") <= 1
+    got = {r.donation_id: r for r in out.collect()}
+    for i, s, k, at, rec, a in rows:
+        mine = [x for x in rows if s is not None and x[1] == s and x[0] != i and x[4] <= at]
+        assert ((got[i].sender_count or 0), (got[i].sender_total or 0)) == (len(mine), sum(x[5] for x in mine))
+        both = [x for x in mine if k is not None and x[2] == k]
+        assert (got[i].pair_count or 0) == len(both)
+
+
+def test_parts_side_by_side(spark):
+    a = spark.createDataFrame([(1, 2), (2, None)], "donation_id long, a long")
+    b = spark.createDataFrame([(2, True), (3, False)], "donation_id long, b boolean")
+    assert sorted(map(tuple, pit.together(a, b).collect())) == [(1, 2, None), (2, None, True), (3, None, False)]
