@@ -153,8 +153,8 @@ def retraining(spark, sf_dir):
 )
 def health_concerns(spark, sf_dir):
     """Concerns over the last 30 days of scoring, with a budget of ten."""
-    long = scratch.written(long_table(spark, sf_dir).select("donation_id", "rule_id", "outcome"), "outcomes")
-    results = scratch.written(lanes(spark, sf_dir), "lanes")
+    long = scratch.written(long_table(spark, sf_dir).select("donation_id", "rule_id", "outcome", "label_weight"), "outcomes")
+    results = scratch.written(lanes(spark, sf_dir, long), "lanes")
     scores = scoring.composed(results).join(ledger(spark, sf_dir).select("donation_id", F.col("recorded_at").alias("scored_at")), "donation_id")
     return service.window_health(scores, results, long, 30, 10).withColumn("value", micro(F.col("value")))
 
