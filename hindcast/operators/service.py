@@ -47,11 +47,15 @@ def versioned(detect: Callable[[Column], DataFrame], instants: Sequence[str]) ->
 def adopted(rows: DataFrame, alerts: DataFrame, instants: Sequence[str], party: str) -> DataFrame:
     """(donation_id, detected_at, alerts, score): the alerts about ``party`` of the last run before each transfer.
 
-    A new run is read by later transfers only; the ones before keep what they were scored with.
+    A new run is read by later transfers only; the ones before keep what they were scored with. Alerts may come summed up, with
+    their number ``n`` and greatest ``score`` by focus and run (and kind).
     """
-    runs = F.array(*[F.lit(i).cast("timestamp") for i in instants])
-    seen = rows.select("donation_id", F.col(party).cast("string").alias("focus"), F.array_max(F.filter(runs, lambda t: t <= F.col("occurred_at"))).alias("detected_at"))
-    about = alerts.groupBy("focus", "detected_at").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+    # no lambda: as a join key over a shuffle, Spark 4.1 looks for the row's time among the columns of the alerts
+    runs = [F.when(F.lit(i).cast("timestamp") <= F.col("occurred_at"), F.lit(i).cast("timestamp")) for i in instants]
+    run = F.greatest(*runs) if len(runs) > 1 else runs[0]
+    seen = rows.select("donation_id", F.col(party).cast("string").alias("focus"), run.alias("detected_at"))
+    number = F.sum("n") if "n" in alerts.columns else F.count(F.lit(1))
+    about = alerts.groupBy("focus", "detected_at").agg(number.alias("n"), F.max("score").alias("score"))
     return seen.join(about, ["focus", "detected_at"], "left").select("donation_id", "detected_at", F.coalesce("n", F.lit(0)).alias("alerts"), "score")
 
 

@@ -63,7 +63,9 @@ def alert_runs(spark, sf_dir):
     """Fan-in, fan-out and chains detected twice; each transfer adopts those about its receiver or sender of the run before it, with the best score."""
     led = graph_ledger(spark, sf_dir)
     slim = lambda df: df.select("kind", "focus", "score")
-    found = scratch.written(service.versioned(lambda at: slim(graph.fan_in(led, at)).unionByName(slim(graph.fan_out(led, at))).unionByName(slim(graph.chains(led, at))), ALERT_RUNS), "alerts")
+    every = service.versioned(lambda at: slim(graph.fan_in(led, at)).unionByName(slim(graph.fan_out(led, at))).unionByName(slim(graph.chains(led, at))), ALERT_RUNS)
+    # chains outnumber transfers by far: what is written is their number and best score by focus and run
+    found = scratch.written(every.groupBy("kind", "focus", "detected_at").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score")), "alerts")
     into = service.adopted(led, found.where("kind = 'fan_in_burst'"), ALERT_RUNS, "receiver_id")
     out = service.adopted(led, found.where("kind <> 'fan_in_burst'"), ALERT_RUNS, "sender_id").select("donation_id", F.col("alerts").alias("more"), F.col("score").alias("other"))
     return into.join(out, "donation_id").select("donation_id", F.to_date("detected_at").alias("detected_on"), (F.col("alerts") + F.col("more")).alias("alerts"), F.greatest("score", "other").alias("score"))

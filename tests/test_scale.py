@@ -182,3 +182,22 @@ def test_parts_side_by_side(spark):
     a = spark.createDataFrame([(1, 2), (2, None)], "donation_id long, a long")
     b = spark.createDataFrame([(2, True), (3, False)], "donation_id long, b boolean")
     assert sorted(map(tuple, pit.together(a, b).collect())) == [(1, 2, None), (2, None, True), (3, None, False)]
+
+
+def test_runs_are_adopted_over_a_shuffle(spark):
+    """A lambda as a join key over a shuffle made Spark look for the row's time among the alerts; summed alerts count like single ones."""
+    from hindcast.operators import service
+
+    rows = _ledger(spark, [(i, 1, i % 3, START + i * DAY, START + i * DAY, 1) for i in range(9)])
+    at = [f"{START + 3 * DAY:%Y-%m-%d}", f"{START + 6 * DAY:%Y-%m-%d}"]
+    single = spark.createDataFrame([("0", START + 3 * DAY, 5), ("0", START + 3 * DAY, 7), ("1", START + 6 * DAY, 2)], "focus string, detected_at timestamp, score long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        summed = single.groupBy("focus", "detected_at").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+        got = [sorted(map(tuple, service.adopted(rows, a, at, "receiver_id").collect())) for a in (single, summed)]
+        plans = [service.adopted(rows, a, at, "receiver_id")._jdf.queryExecution().optimizedPlan().toString() for a in (single, summed)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    want = [(i, None if i < 3 else START + (3 if i < 6 else 6) * DAY, 2 if i == 3 else 1 if i == 7 else 0, 7 if i == 3 else 2 if i == 7 else None) for i in range(9)]
+    assert got == [want, want] and not any("lambda" in p for p in plans)
