@@ -201,3 +201,24 @@ def test_runs_are_adopted_over_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     want = [(i, None if i < 3 else START + (3 if i < 6 else 6) * DAY, 2 if i == 3 else 1 if i == 7 else 0, 7 if i == 3 else 2 if i == 7 else None) for i in range(9)]
     assert got == [want, want] and not any("lambda" in p for p in plans)
+
+
+def test_chains_shuffle_no_path(spark):
+    """Legs and pairs are shuffled and written; three or four legs are put together behind the last join only."""
+    r = random.Random(13)
+    rows = [(i, r.randrange(7), r.randrange(7), START + dt.timedelta(hours=r.randrange(300)), r.choice([50, 70, 100, 130])) for i in range(40)]
+    df, now = _ledger(spark, [(*x[:4], x[3], x[4]) for x in rows]), F.lit(START + 13 * DAY)
+    out = graph.chains(df, now)
+    want, paths = set(), [((x,), (x[1], x[2])) for x in rows]
+    for hops in (2, 3, 4):
+        paths = [((*p, x), (*n, x[2])) for p, n in paths for x in rows if x[1] == n[-1] and x[3] >= p[-1][3] and x[3] - p[-1][3] <= 14 * DAY and x[4] >= p[-1][4] * 0.6 and x[2] not in n]
+        want |= {tuple(y[0] for y in p) for p, _ in paths} if hops > 2 else set()
+    assert {tuple(x.members) for x in out.collect()} == want and len(want) == out.count() > 50
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = spark._jvm.PythonSQLUtils.explainString(graph.chains(df, now)._jdf.queryExecution(), "formatted").split("\n\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    sent = [p for p in parts if ") Exchange" in p.split("\n")[0]]
+    assert sent and not any("members" in p for p in sent)
