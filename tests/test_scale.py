@@ -222,3 +222,15 @@ def test_chains_shuffle_no_path(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     sent = [p for p in parts if ") Exchange" in p.split("\n")[0]]
     assert sent and not any("members" in p for p in sent)
+
+
+def test_features_meet_in_one_aggregate(spark):
+    from hindcast.operators import dims, features
+
+    rows = [(i, x[1], x[2], x[3], x[3] + (i % 3) * DAY, x[5]) for i, x in enumerate(_gifts(12, 60, 5, [10, 40, 90], 60))]
+    extra = [F.lit(v).alias(n) for n, v in (("electoral_context", "ctx-1998"), ("sender_type", "individual"), ("receiver_type", "political-party"), ("transaction_kind", "cash"), ("channel", "import"), ("precision", "day"))]
+    ctx = scratch.written(dims.contexts(_ledger(spark, rows).select("*", *extra), dims.calendar(spark), dims.limits(spark)), "contexts")
+    out = features.backfill(ctx, dims.calendar(spark))
+    assert out.count() == len(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") <= 1 and plan.count("Exchange hashpartitioning") <= 2
